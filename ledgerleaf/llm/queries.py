@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash
+from . import boosted_rules, bpe, compression_quality, labelled, language_id, mixing, pii, simhash
 from .common import table
 
+#: The key of the registered PII query; a deployment passes its own secret.
+PII_KEY = b"registered query, not a secret"
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -17,6 +20,30 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymise(docs, PII_KEY)
+    return out.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("pii_spans.kind")), ",").alias("kinds"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.trained(docs))
+    return found.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = compression_quality.score(docs, compression_quality.trained(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (labelled.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = boosted_rules.judge(docs, boosted_rules.trained(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", *boosted_rules.BASE, "base_failed", "kept")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = simhash.near_groups(docs)
@@ -41,9 +68,13 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_language_id": op4_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_compression_quality": op9_compression_quality,
+    "op10_boosted_rules": op10_boosted_rules,
 }
 
 SQL: dict[str, str] = {"op7_source_mixing": mixing.SQL}
