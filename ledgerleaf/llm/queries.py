@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_rules, bpe, compression_quality, labelled, language_id, mixing, pii, simhash
+from . import boosted_rules, bpe, compression_quality, html_extract, labelled, language_id, lattice, mixing, pii, simhash, suffix_dedup
 from .common import table
 
 #: The key of the registered PII query; a deployment passes its own secret.
@@ -44,6 +44,21 @@ def op10_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *boosted_rules.BASE, "base_failed", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return lattice.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = simhash.near_groups(docs)
@@ -69,8 +84,11 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_language_id": op4_language_id,
+    "op5_html_blocks": op5_html_blocks,
+    "op6_lattice_near_dedup": op6_lattice_near_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_compression_quality": op9_compression_quality,
