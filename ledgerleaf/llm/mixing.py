@@ -74,11 +74,24 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 
 def emitted(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: df's rows, each as often as the mix takes it. Rows need distinct keys."""
-    taken = mix(df, key, text, source).select(F.col("key").alias("_key"), "copies")
-    base = without(df, "_key", "_copies")
-    joined = base.join(taken, quoted(key).eqNullSafe(F.col("_key")))
-    return joined.where("copies > 0").withColumn("_copies", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*[quoted(c) for c in base.columns])
+    """The mix itself: df's rows, each as often as the mix takes it.
+
+    A row is found again by its key, source and size, and, where several rows share those, by its turn among them; such rows may
+    trade their copies, which changes no source's total.
+    """
+    base = without(df, "_key", "_copies", "_turn", "_source", "_size")
+    taken = mix(base, key, text, source).select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    taken = stored(taken)
+    names = ["_key", "_source", "_size"]
+    size = F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = base.withColumns({"_key": quoted(key), "_source": quoted(source).cast("string"), "_size": size})
+    if not taken.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        turn = Window.partitionBy(*names)
+        taken = taken.withColumn("_turn", F.row_number().over(turn.orderBy("copies")))
+        rows = rows.withColumn("_turn", F.row_number().over(turn.orderBy(F.xxhash64(quoted(text)))))
+        names = [*names, "_turn"]
+    out = join_alike(rows, taken.where("copies > 0"), names)
+    return out.withColumn("_copies", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*[quoted(c) for c in base.columns])
 
 
 SQL = r"""

@@ -6,6 +6,9 @@ such pair of blocks, and nodes that may link meet in some group, whatever the da
 every fingerprint to the reference fingerprints are tabled; pairs whose coordinates differ by more than `bits` anywhere are
 discarded, and the rest are verified. A group larger than LEAF is split again by the bits not yet used, so no group's
 cost is quadratic, and only the links of a spanning forest leave it.
+
+similar_groups() is for similarities at which too many bits differ for blocks: its fingerprints are four times as long, and nodes meet where
+they share a passage, cut and chosen by its content. Within a group the pivots' tables decide likewise.
 """
 
 from __future__ import annotations
@@ -27,18 +30,23 @@ LEAF = 1024
 PIVOTS = 16
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a text's shingles, repeats included. No word: zero; fewer than `words`: one shingle."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of a text's shingles in order, repeats included, A-Z as a-z. No word: none; fewer than `words`: one shingle."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     n = max(1, len(parts) - words + 1)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()][:n]
     stops = ends[min(words, len(parts)) - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without any."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         part = hashes[k : k + (1 << 16)]
@@ -46,6 +54,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a text's shingles."""
+    return simhash(shingles(text, words))
+
+
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words: int = 3) -> DataFrame:
     """Adds the fingerprint as a signed long. Null texts count as empty."""
 
@@ -184,3 +197,112 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words
     nodes = nodes.join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
     least = nodes.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return prints.join(nodes.join(least, "_root").select("fp", "component_id"), "fp")
+
+
+# ---- lower similarities
+
+#: 64-bit words of a long fingerprint, passages chosen of a text, and shingles in a passage on average.
+LONG, CHOSEN, PASSAGE = 4, 8, 8
+#: Nodes in a group beyond which it is dealt again by each further passage that they share.
+LARGE = 20_000
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def remixed(x: np.ndarray, k: int) -> np.ndarray:
+    y = (x ^ (x >> np.uint64(31))) * MIX[k]
+    return y ^ (y >> np.uint64(32))
+
+
+def sketch(text: str | None, words: int = 5) -> tuple[bytes, list[int]]:
+    """A long fingerprint, and the passages by which a text is found: the least under CHOSEN hashes of all its passages.
+
+    A passage ends at every shingle whose own hash says so, so an edit changes only the passages around it.
+    """
+    hashes = shingles(text, words)
+    long = np.array([simhash(remixed(hashes, k)) for k in range(LONG)], np.uint64).tobytes()
+    if not len(hashes):
+        return long, [0] * CHOSEN
+    cuts = np.flatnonzero(remixed(hashes, 7) % np.uint64(PASSAGE) == 0) + 1
+    passages = np.add.reduceat(remixed(hashes, 6), np.concatenate([[0], cuts[cuts < len(hashes)]]))
+    return long, [int(remixed(passages, k).min().view(np.int64)) for k in range(CHOSEN)]
+
+
+def most_bits(similarity: float, bits: int = 64 * LONG) -> int:
+    """How many bits may differ where the shingles' Jaccard similarity is as given: the angle between them, and one and a half deviations more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def leaders(points: np.ndarray, most: int, pivots: int = PIVOTS) -> list[tuple[int, int]]:
+    """points: rows of 64-bit words. Links that connect each row with the rows within `most` bits, by way of leaders.
+
+    A row that no leader has reached yet leads: its pivots' distances are compared with everyone's, and survivors are verified.
+    Copies of one text have one leader, however many there are.
+    """
+    rng = np.random.default_rng(256)
+    refs = rng.integers(0, 1 << 64, (pivots, points.shape[1]), dtype=np.uint64)
+    table = np.stack([np.bitwise_count(points ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+    reached, links = np.zeros(len(points), bool), []
+    for i in range(len(points)):
+        if reached[i]:
+            continue
+        near = np.flatnonzero(np.abs(table[:, 0] - table[i, 0]) <= most)
+        near = near[(np.abs(table[near] - table[i]) <= most).all(axis=1)]
+        near = near[np.bitwise_count(points[near] ^ points[i]).sum(axis=1, dtype=np.int16) <= most]
+        reached[near] = True
+        links += [(i, j) for j in near.tolist() if j != i]
+    return links
+
+
+def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
+    """Adds component_id and kept, for groups of texts alike by `similarity` of their shingles or more, as SimHash estimates it.
+
+    component_id is the group's least key, null where the whole group has none; kept is true for one row of each group, one with that
+    key. Null and empty texts are one group; texts alike but for case and white space always are. Every row comes back. Columns
+    called like the new ones give way; an empty table gives an empty one.
+    """
+
+    @F.arrow_udf("struct<fp:binary,found:array<long>>")
+    def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [sketch(t.as_py(), words) for t in batch]
+            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "found"])
+
+    base = without(df, "component_id", "kept", "_s", "_fp", "_found", "_uid")
+    rows = base.withColumn("_s", sketched(quoted(text).cast("string"))).withColumns({"_fp": F.col("_s.fp"), "_found": F.col("_s.found")})
+    rows = stored(rows.drop("_s").withColumn("_uid", F.monotonically_increasing_id()))
+    first = F.struct(quoted(key).isNull().alias("none"), quoted(key).alias("key"), F.col("_uid").alias("uid"))
+    nodes = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(first).alias("_first"), F.min("_found").alias("found")))
+    most = most_bits(similarity)
+    spots = nodes.select("fp", "found", F.explode(F.array_distinct("found")).alias("k"))
+    spots = spots.join(spots.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "k")
+    few = spots.where(F.col("n") <= large).select("fp", "k", F.lit(0).cast("long").alias("k2"))
+    rest = spots.where(F.col("n") > large).select("fp", "k", F.explode(F.array_remove(F.array_distinct("found"), F.col("k"))).alias("k2"))
+    # texts with one passage only, all of them it, have no second one to be dealt by
+    alone = spots.where((F.col("n") > large) & (F.size(F.array_distinct("found")) == 1)).select("fp", "k", F.lit(0).cast("long").alias("k2"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = few.union(rest).union(alone).repartition(parts, "k", "k2").sortWithinPartitions("k", "k2")
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(held: list[bytes]) -> pa.RecordBatch:
+            pairs = leaders(np.frombuffer(b"".join(held), np.uint64).reshape(len(held), -1), most) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([held[p[i]] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+        held, at = [], None
+        for batch in batches:
+            for fp, *key in zip(*(batch.column(c).to_pylist() for c in ("fp", "k", "k2")), strict=True):
+                if key != at:
+                    if len(held) > 1:
+                        yield linked(held)
+                    held, at = [], key
+                held.append(fp)
+        if len(held) > 1:
+            yield linked(held)
+
+    pairs = dealt.mapInArrow(grouped, "a binary, b binary").distinct()
+    roots = components(pairs).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
+    named = nodes.select("fp", "_first").join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
+    least = named.groupBy("_root").agg(F.min("_first").alias("_best"))
+    named = named.join(least, "_root").select(F.col("fp").alias("_fp"), "_best")
+    out = rows.drop("_found").join(named, "_fp").withColumns({"component_id": F.col("_best.key"), "kept": F.col("_uid") == F.col("_best.uid")})
+    return out.drop("_fp", "_uid", "_best")
