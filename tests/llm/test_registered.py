@@ -1,0 +1,112 @@
+"""The registered queries and the pipeline on a small table."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from oracle import same
+from test_operators import article, brute_links, brute_repeats, joined, plain_fingerprint, plain_statistics
+
+import corpus_pipeline
+from ledgerleaf.llm import pii
+from ledgerleaf.llm.queries import QUERIES, SQL
+
+
+@pytest.fixture(scope="module")
+def texts(spark, data):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_names():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and SQL.keys() <= QUERIES.keys()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "private_data", "mix", "encode"]
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(name, spark, data):
+    same(QUERIES[name], SQL[name], spark, data)
+
+
+def test_op1(spark, data, texts):
+    for r in QUERIES["op1_pii_surrogates"](spark, data).collect():
+        found = pii.detect(texts[r["doc_id"]])
+        assert r["n_replaced"] == len(found) and (r["text"] == texts[r["doc_id"]]) == (not found)
+        assert not any(texts[r["doc_id"]][a:b] in r["text"] for a, b, *_ in found)
+
+
+def test_op2(spark, data, texts):
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op2_suffix_dedup"](spark, data).collect()}
+    assert got == dict(zip(texts, brute_repeats([t.encode() for t in texts.values()], 400), strict=True))
+
+
+def test_op3(spark, data, texts):
+    got = {r["doc_id"]: r for r in QUERIES["op3_simhash_near_dedup"](spark, data).collect()}
+    ids = sorted(texts)
+    prints = [plain_fingerprint(texts[k]) for k in ids]
+    assert [got[k]["fingerprint"] for k in ids] == [f"{p:016x}" for p in prints]
+    assert [got[k]["component_id"] for k in ids] == [ids[r] for r in joined(prints, 3)]
+
+
+def test_op4(spark, data):
+    for r in QUERIES["op4_language_id"](spark, data).collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["lang_pred"] in ("de", "en", "es", "fr", "und") and 0 <= r["score"] <= 1
+
+
+def test_op5(spark, data):
+    want = {r["page_id"]: article(r["html"]) for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = QUERIES["op5_html_blocks"](spark, data).collect()
+    assert len(got) == len(want) and np.mean([r["text"] == want[r["page_id"]] for r in got]) >= 0.98
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_op6(spark, data):
+    had = sorted((r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect())
+    got = {r["vec_id"]: r for r in QUERIES["op6_lattice_near_dedup"](spark, data).collect()}
+    links, comp = brute_links(had)
+    assert [got[k[0]]["n_links"] for k in had] == links and [got[k[0]]["component_id"] for k in had] == comp
+
+
+def test_op9(spark, data):
+    got = QUERIES["op9_compression_quality"](spark, data).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+
+
+def test_op10(spark, data, texts):
+    for r in QUERIES["op10_boosted_rules"](spark, data).collect():
+        want = plain_statistics(texts[r["doc_id"]])
+        assert [r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+
+
+def test_pipeline(spark, data, texts):
+    from tokenizers import Tokenizer
+
+    from ledgerleaf.llm.common import stored
+    from ledgerleaf.llm.queries import tokenizer_path
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stored(stage(spark, docs, data))
+        seen[name] = [r["doc_id"] for r in after.select("doc_id").collect()]
+        assert name == "encode" or after.columns == columns
+        if name == "private_data":
+            kept = {r["doc_id"]: r["text"] for r in after.collect()}
+        docs = after
+    assert set(seen["quality"]) <= set(texts) and 0.6 * len(texts) <= len(seen["quality"]) < len(texts)
+    assert set(seen["near_duplicates"]) <= set(seen["quality"])
+    first: dict[str, int] = {}
+    for k in sorted(seen["quality"]):
+        first.setdefault(" ".join(texts[k].lower().split()), k)
+    assert set(seen["near_duplicates"]) <= set(first.values())
+    assert sorted(seen["private_data"]) == sorted(seen["near_duplicates"])
+    assert all(not pii.detect(texts[k]) or kept[k] != texts[k] for k in kept)
+    assert set(seen["mix"]) <= set(kept) and max(map(seen["mix"].count, seen["mix"])) <= 2
+    assert sorted(seen["encode"]) == sorted(seen["mix"])
+    there = Tokenizer.from_file(tokenizer_path())
+    for r in docs.collect():
+        assert r["ids"] == there.encode(kept[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+    again = corpus_pipeline.run(spark, data)
+    assert sorted(map(str, again.collect())) == sorted(map(str, docs.collect()))
