@@ -333,7 +333,9 @@ def cut_repeats(df: DataFrame, text: str = "text", *, length: int = LENGTH, gram
     docs = stored(at.select(F.monotonically_increasing_id().alias("_uid"), *rest, F.col("_at.n").alias("n_bytes"), F.col("_at.z").alias("_z"), F.col("_at.anchors").alias("_anchors")))
     placed = docs.select("_uid", F.explode("_anchors").alias("x")).select("_uid", "x.*")
     heads = placed.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1")
-    live = stored(placed.join(heads.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "h"))
+    # stored, so that the join's own exchange deals both sides and can split an anchor that stands everywhere
+    heads = stored(heads.select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
+    live = stored(placed.join(heads, "h"))
     kinds = live.where("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_uid", "p", "a", "b")).alias("x"))
     kinds = stored(kinds.select("h", "c", "n", "x.*"))
     needs = kinds.groupBy("_uid").agg(F.collect_list(F.struct("h", "c", "n", "p", "a", "b")).alias("needs"))
