@@ -11,6 +11,14 @@ def fold(key: str, folds: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
+def likely(h, wanted: int, of: int):
+    """Whether an MD5 is among so many of the least that, of `of` rows, four times `wanted` are; all are if there are few.
+
+    Only these go to the driver from any partition, so what it receives doesn't grow with the number of partitions.
+    """
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") <= min(1.0, 4 * wanted / max(1, of)) * float(1 << 32)
+
+
 def sample(docs: DataFrame, labels: DataFrame, *, per_class: int, folds: int, held_out: int, label: str = "quality") -> DataFrame:
     """doc_id, text and label of at most per_class labelled documents of each class, outside the held-out fold.
 
@@ -19,8 +27,9 @@ def sample(docs: DataFrame, labels: DataFrame, *, per_class: int, folds: int, he
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(fold("doc_id", folds) != held_out)
     known = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_most")).where("label = _most").drop("_most")
-    chosen = None
+    chosen, h = None, F.md5(F.col("doc_id").cast("string").cast("binary"))
+    counts = dict(known.groupBy("label").count().collect())
     for c in (0, 1):
-        part = known.where(F.col("label") == c).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(per_class)
+        part = known.where((F.col("label") == c) & likely(h, per_class, counts.get(c, 0))).orderBy(h, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")

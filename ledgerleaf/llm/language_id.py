@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, quoted, without
-from .labelled import fold
+from .labelled import fold, likely
 
 SPAN = 64
 HIDDEN = 8
@@ -204,8 +204,9 @@ def fit(rows: list[tuple[str, str]], *, epochs: int = 6, batch: int = 512, rate:
 
 def trained(docs: DataFrame, *, sample: int = SAMPLE, excerpt: int = EXCERPT, folds: int = 5, held_out: int = 0) -> Net | None:
     """Fitted on the driver on excerpts of at most `sample` documents with a language, outside the held-out fold, chosen by key."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(fold("doc_id", folds) != held_out)
-    rows = rows.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"), "lang", "doc_id", F.length("text").alias("n"), "text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(fold("doc_id", folds) != held_out)
+    rows = known.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"), "lang", "doc_id", F.length("text").alias("n"), "text")
+    rows = rows.where(likely(F.col("h"), sample, docs.select("doc_id").count()))
     first = 1 + F.pmod(F.crc32(F.col("h").cast("binary")), F.greatest(F.col("n") - excerpt + 1, F.lit(1)))
     rows = rows.select("h", "doc_id", F.substring(F.col("text"), first.cast("int"), F.lit(excerpt)).alias("text"), F.col("lang").cast("string").alias("lang"))
     return fit([(r["text"], r["lang"]) for r in rows.orderBy("h", "doc_id", "text", "lang").limit(sample).collect()])
