@@ -1,7 +1,11 @@
-"""The twelve tools and two resource handlers as functions; each returns a DataFrame unless it says otherwise."""
+"""The twelve tools and two resource handlers as functions; each returns a DataFrame unless it says otherwise.
+
+Where a tool takes a password, it is accepted and not used: encrypted files can't be opened with one either and raise PasswordProtected.
+"""
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
 from collections.abc import Mapping
@@ -22,10 +26,12 @@ class UnknownTool(ValueError):
 
 
 def list_pdfs(spark: SparkSession, directory: str | None = None) -> DataFrame:
+    """The PDF files of a directory, not of those below it."""
     return files.list_directory(spark, directory or DEFAULT_DIRECTORY)
 
 
-def read_pdf_fields(spark: SparkSession, pdf_path: str) -> DataFrame:
+def read_pdf_fields(spark: SparkSession, pdf_path: str, password: str | None = None) -> DataFrame:
+    """name, type, options and current value of each field of a form."""
     return fields.read_fields(forms.read_forms(spark, files.resolve(pdf_path))).orderBy("field_ordinal")
 
 
@@ -45,7 +51,7 @@ def _template(path: str) -> bytes:
         return f.read()
 
 
-def fill_pdf(spark: SparkSession, pdf_path: str, output_path: str, field_data: Mapping[str, Any]) -> DataFrame:
+def fill_pdf(spark: SparkSession, pdf_path: str, output_path: str, field_data: Mapping[str, Any], password: str | None = None) -> DataFrame:
     """Writes one filled form; returns row, n_filled, n_errors, errors."""
     path = files.resolve(pdf_path)
     done = fill.fill(_values(spark, field_data), forms.read_forms(spark, path))
@@ -54,7 +60,7 @@ def fill_pdf(spark: SparkSession, pdf_path: str, output_path: str, field_data: M
     return fill.fill_status(done)
 
 
-def bulk_fill_from_csv(spark: SparkSession, pdf_path: str, csv_path: str, output_directory: str, filename_column: str | None = None) -> DataFrame:
+def bulk_fill_from_csv(spark: SparkSession, pdf_path: str, csv_path: str, output_directory: str, filename_column: str | None = None, password: str | None = None) -> DataFrame:
     """Writes a form for each record; returns row, filename, n_filled, kept and error."""
     path = files.resolve(pdf_path)
     records = csv_text.read(spark, files.resolve(csv_path)).select("row", "record")
@@ -65,20 +71,23 @@ def bulk_fill_from_csv(spark: SparkSession, pdf_path: str, csv_path: str, output
 
 
 def save_profile(profile_name: str, field_data: Mapping[str, Any], root: str = files.PROFILES) -> str:
-    """Returns the path written."""
+    """Saves field data as a profile, over any other of the name; returns the path written."""
     return sinks.write_profile(profile_name, dict(field_data), root)
 
 
 def load_profile(spark: SparkSession, profile_name: str, root: str = files.PROFILES) -> DataFrame:
+    """A profile's text as it was saved."""
     return files.read_profile(spark, profile_name, root)
 
 
 def list_profiles(spark: SparkSession, root: str = files.PROFILES) -> DataFrame:
+    """The names of saved profiles."""
     names = files.list_directory(spark, root, ".json", any_case=False)
     return content.profile_names(names.select(F.element_at(F.split("path", "/"), -1).alias("name")), "name")
 
 
-def fill_with_profile(spark: SparkSession, pdf_path: str, output_path: str, profile_name: str, additional_data: Mapping[str, Any] | None = None, root: str = files.PROFILES) -> DataFrame:
+def fill_with_profile(spark: SparkSession, pdf_path: str, output_path: str, profile_name: str, additional_data: Mapping[str, Any] | None = None, password: str | None = None, root: str = files.PROFILES) -> DataFrame:
+    """Fills a form with a saved profile; additional data wins."""
     profile = json.loads(load_profile(spark, profile_name, root).first()["json"])
     return fill_pdf(spark, pdf_path, output_path, profile | dict(additional_data or {}))
 
@@ -93,7 +102,8 @@ def extract_to_csv(spark: SparkSession, pdf_paths: list[str], output_csv: str) -
     return rows.agg(F.lit(len(pdf_paths)).alias("n_forms"), F.count_distinct("field_name").alias("n_fields"))
 
 
-def validate_pdf(spark: SparkSession, pdf_path: str) -> DataFrame:
+def validate_pdf(spark: SparkSession, pdf_path: str, password: str | None = None) -> DataFrame:
+    """Counts of a form's fields, and which are empty or required and empty."""
     return validate.validate(forms.read_forms(spark, files.resolve(pdf_path)))
 
 
@@ -105,6 +115,7 @@ def read_pdf_content(spark: SparkSession, pdf_path: str) -> DataFrame:
 
 
 def get_pdf_resource_uri(spark: SparkSession, pdf_path: str) -> DataFrame:
+    """The URI under which read_resource gives a file."""
     path = files.resolve(pdf_path)
     size = os.stat(path).st_size
     return spark.range(1).select(content.resource_uri(F.lit(path)).alias("uri"), F.lit(os.path.basename(path)).alias("file"), content.size_kb(F.lit(size)).alias("size_kb"))
@@ -124,8 +135,26 @@ def read_resource(spark: SparkSession, uri: str) -> DataFrame:
 TOOLS = {f.__name__: f for f in (list_pdfs, read_pdf_fields, fill_pdf, bulk_fill_from_csv, save_profile, load_profile, list_profiles, fill_with_profile, extract_to_csv, validate_pdf, read_pdf_content, get_pdf_resource_uri)}
 
 
+#: What each tool does and takes: name -> description, and for each parameter whether it must be given.
+CATALOGUE = {
+    name: {
+        "description": (inspect.getdoc(f) or "").split("\n")[0],
+        "parameters": {k: {"type": str(p.annotation), "required": p.default is p.empty} for k, p in inspect.signature(f).parameters.items() if k not in ("spark", "root")},
+    }
+    for name, f in TOOLS.items()
+}
+
+
 def call(name: str, *args: Any, **kwargs: Any) -> Any:
     """Runs a tool by name."""
     if name not in TOOLS:
         raise UnknownTool(f"Unknown tool: {name}")
     return TOOLS[name](*args, **kwargs)
+
+
+def respond(name: str, *args: Any, **kwargs: Any) -> Any:
+    """Runs a tool by name; an error becomes the text that a caller is shown."""
+    try:
+        return call(name, *args, **kwargs)
+    except Exception as e:  # whatever went wrong is the answer
+        return f"Error: {e}"

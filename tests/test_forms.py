@@ -76,7 +76,7 @@ def test_profiles(spark, form, tmp_path):
     assert tools.load_profile(spark, "work", root).first()["json"] == '{\n  "name": "é",\n  "colour": "red"\n}'
     assert [r["profile_name"] for r in tools.list_profiles(spark, root).collect()] == ["work"]
     out = tmp_path / "o.pdf"
-    assert tools.fill_with_profile(spark, str(form), str(out), "work", {"colour": "blue"}, root).first()["n_filled"] == 2
+    assert tools.fill_with_profile(spark, str(form), str(out), "work", {"colour": "blue"}, root=root).first()["n_filled"] == 2
     assert {x["field_name"]: x["text_value"] for x in pdf.form_rows(out.read_bytes())}["colour"] == "blue"
     with pytest.raises(files.OutsideRoot):
         tools.save_profile("../x", {}, root)
@@ -180,3 +180,11 @@ def test_empty_tables(spark):
 def test_path_of(spark):
     df = spark.createDataFrame([("pdf:///a/b.pdf",)], "u string")
     assert df.select(content.path_of(df.u)).first()[0] == "/a/b.pdf"
+
+
+def test_catalogue(spark):
+    assert len(tools.CATALOGUE) == 12 and all(t["description"] for t in tools.CATALOGUE.values())
+    assert tools.CATALOGUE["fill_pdf"]["parameters"]["password"]["required"] is False
+    assert tools.CATALOGUE["fill_pdf"]["parameters"]["output_path"]["required"] is True
+    assert tools.respond("nothing") == "Error: Unknown tool: nothing"
+    assert tools.respond("validate_pdf", spark, "/no/such.pdf", password="x").startswith("Error: ")
