@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import quoted, without
+from .common import quoted, small_batches, without
 
 #: Labelled documents of each class that a model is fitted on, at most.
 PER_CLASS = 4000
@@ -167,6 +167,7 @@ def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate:
 
 def measured(df: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
     """Adds a struct of the base counts and the features. Null texts count as empty."""
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("struct<" + ",".join(f"{c}:long" for c in BASE) + ",features:array<double>>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, without
+from .common import quoted, small_batches, without
 
 NONE = 1 << 62
 #: Words kept per Python worker; the cache is emptied beyond that.
@@ -160,6 +160,7 @@ def load(path: str) -> str:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the array of token ids of each whole text. Null and empty texts give an empty array; a column called ids gives way."""
+    small_batches(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(load(path))
 
     @F.arrow_udf("array<int>")
@@ -175,6 +176,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of each array of ids, as the library's decode does: unknown and null ids are left out, null gives ''."""
+    small_batches(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(load(path))
 
     @F.arrow_udf("string")

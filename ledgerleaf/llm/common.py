@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,6 +28,19 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+#: Rows and bytes that go to a Python worker at a time, at most; a session's lower limits stay.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold, whatever the texts' lengths."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, most in ((rows, BATCH_ROWS), (size, BATCH_BYTES)):
+        now = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(name).lower())
+        if not now or not 0 < int(now[1]) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[now[2]] <= most:
+            spark.conf.set(name, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share; one is set only if the session names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import quoted, without
+from .common import quoted, small_batches, without
 
 #: Labelled documents of each class that a model is fitted on, at most.
 PER_CLASS = 2000
@@ -119,6 +119,7 @@ def hash_of(key) -> int:
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the calibrated chance, 0 to 1, that a whole text is good. Null and empty texts get the curve's value without evidence."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, without
+from .common import quoted, small_batches, without
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -440,6 +440,7 @@ def main_texts(net: Net, pages: list[str | None], together: int = 64) -> list[st
 
 def extract(df: DataFrame, source: str = "html", text: str = "text") -> DataFrame:
     """Adds the main text of each whole page; null and empty pages, and pages without an article, give ''. A column called text gives way."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(trained())
 
     @F.arrow_udf("string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, quoted, without
+from .common import by_bytes, quoted, small_batches, without
 from .labelled import fold, likely
 
 SPAN = 64
@@ -217,6 +217,7 @@ def identify(df: DataFrame, net: Net | None, text: str = "text", label: str = "l
 
     Columns called like the two new ones give way; other columns, lang among them, are not looked at.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("struct<label:string,score:double>")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, stored, without
+from .common import quoted, small_batches, stored, without
 from .components import components
 from .simhash import Forest
 
@@ -148,6 +148,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     node. Columns called like the new ones give way; an empty table gives an empty one.
     """
     spark = df.sparkSession
+    small_batches(spark)
     base = without(df, "n_links", "component_id", "kept", "_v", "_uid", "_n")
     v = quoted(vector).cast("array<double>")
     usable = quoted(label).isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))

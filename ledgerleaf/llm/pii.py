@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, quoted, stored, without
+from .common import forget, quoted, small_batches, stored, without
 
 # Given names by script and gender; surnames are composed. Any list of common names will do.
 GIVEN = {
@@ -302,6 +302,7 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "pi
     Null texts stay null and have an empty array, like texts without entities, which stay as they are. Rows repeated get the same text.
     A column called like spans gives way; others stay. Entities are distinct and coreferent within this table and key.
     """
+    small_batches(df.sparkSession)
     base = without(df, spans, "_redrawn", "_hash")
     again = redrawn(entities(base, text), key)
     if again is None:

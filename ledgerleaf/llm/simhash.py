@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, stored, without
+from .common import quoted, small_batches, stored, without
 from .components import components
 
 #: Fingerprints in a group that are compared at once.
@@ -61,6 +61,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", words: int = 3) -> DataFrame:
     """Adds the fingerprint as a signed long. Null texts count as empty."""
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("long")
     def printed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -262,6 +263,8 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
     called like the new ones give way; an empty table gives an empty one.
     """
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("struct<fp:binary,found:array<long>>")
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

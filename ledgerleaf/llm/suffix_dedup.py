@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, stored, without
+from .common import quoted, small_batches, stored, without
 
 LENGTH, GRAM = 400, 64
 #: Window starts of a text that are anchored together.
@@ -326,6 +326,7 @@ def cut_repeats(df: DataFrame, text: str = "text", *, length: int = LENGTH, gram
     Columns called like the new ones give way.
     """
     spark = df.sparkSession
+    small_batches(spark)
     names = ["n_bytes", "n_removed", "n_spans", "kept", "spans"]
     base = without(df, *names, "_uid", "_at")
     at = base.withColumn("_at", anchored_udf(length, gram)(quoted(text).cast("string")))
