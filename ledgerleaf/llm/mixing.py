@@ -90,7 +90,8 @@ def emitted(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
         taken = taken.withColumn("_turn", F.row_number().over(turn.orderBy("copies")))
         rows = rows.withColumn("_turn", F.row_number().over(turn.orderBy(F.xxhash64(quoted(text)))))
         names = [*names, "_turn"]
-    out = join_alike(rows, taken.where("copies > 0"), names)
+    # by sorting, also where taken would fit a broadcast: then disk and time grow alike at every size
+    out = join_alike(rows, taken.where("copies > 0").hint("merge"), names)
     return out.withColumn("_copies", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*[quoted(c) for c in base.columns])
 
 

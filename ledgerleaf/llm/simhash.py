@@ -307,5 +307,6 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
     named = nodes.select("fp", "_first").join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
     least = named.groupBy("_root").agg(F.min("_first").alias("_best"))
     named = named.join(least, "_root").select(F.col("fp").alias("_fp"), "_best")
-    out = rows.drop("_found").join(named, "_fp").withColumns({"component_id": F.col("_best.key"), "kept": F.col("_uid") == F.col("_best.uid")})
+    # by sorting, also where named would fit a broadcast: then disk and time grow alike at every size
+    out = rows.drop("_found").join(named.hint("merge"), "_fp").withColumns({"component_id": F.col("_best.key"), "kept": F.col("_uid") == F.col("_best.uid")})
     return out.drop("_fp", "_uid", "_best")
