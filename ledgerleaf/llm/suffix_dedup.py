@@ -237,16 +237,21 @@ def anchored_udf(length: int, gram: int):
 
 def segments_of(joined: DataFrame, length: int) -> DataFrame:
     """joined: z, and needs (h, c, n, p, a, b). Returns h, c, n, left, right: a segment's bytes before and from its anchor."""
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]))
-
     @F.arrow_udf("array<struct<h:long,c:long,n:long,left:binary,right:binary>>")
     def cut(z: pa.Array, needs: pa.Array) -> pa.Array:
         unpack = zstandard.ZstdDecompressor()
-        out = []
-        for packed, need in zip(z, needs, strict=True):
+        flat, counts = needs.flatten(), needs.value_lengths().to_numpy(zero_copy_only=False)
+        places = zip(*(flat.field(k).to_pylist() for k in ("p", "a", "b")), strict=True)
+        left, right = [], []
+        for packed, count in zip(z, counts.tolist(), strict=True):
             data = unpack.decompress(packed.as_py())
-            out.append([{"h": x["h"], "c": x["c"], "n": x["n"], "left": data[x["a"] : x["p"]], "right": data[x["p"] : x["b"] + length]} for x in need.as_py()])
-        return pa.array(out, kind)
+            for _ in range(count):
+                p, a, b = next(places)
+                left.append(data[a:p])
+                right.append(data[p : b + length])
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        parts = [flat.field("h"), flat.field("c"), flat.field("n"), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["h", "c", "n", "left", "right"]))
 
     return joined.select(F.explode(cut("z", "needs")).alias("s")).select("s.*")
 
