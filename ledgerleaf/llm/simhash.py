@@ -238,7 +238,7 @@ def leaders(points: np.ndarray, most: int, pivots: int = PIVOTS) -> list[tuple[i
     """points: rows of 64-bit words. Links that connect each row with the rows within `most` bits, by way of leaders.
 
     A row that no leader has reached yet leads: its pivots' distances are compared with everyone's, and survivors are verified.
-    Copies of one text have one leader, however many there are.
+    Copies of one text have one leader, however many there are, and it is the same in every group if rows come in order.
     """
     rng = np.random.default_rng(256)
     refs = rng.integers(0, 1 << 64, (pivots, points.shape[1]), dtype=np.uint64)
@@ -284,7 +284,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
     # texts with one passage only, all of them it, have no second one to be dealt by
     alone = spots.where((F.col("n") > large) & (F.size(F.array_distinct("found")) == 1)).select("fp", "k", F.lit(0).cast("long").alias("k2"))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = few.union(rest).union(alone).repartition(parts, "k", "k2").sortWithinPartitions("k", "k2")
+    dealt = few.union(rest).union(alone).repartition(parts, "k", "k2").sortWithinPartitions("k", "k2", "fp")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(held: list[bytes]) -> pa.RecordBatch:
