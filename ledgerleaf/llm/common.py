@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,27 @@ def quoted(name: str) -> Column:
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors by way of the shared folder, once for a Spark context, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerleaf_sent", False):
+        return
+    root, held = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = f"{shared_dir(spark).rstrip('/')}/ledgerleaf-{uuid.uuid4().hex}.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where, True)
+    out.write(held.getvalue())
+    out.close()
+    context.addPyFile(path)
+    context._ledgerleaf_sent = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Python workers hold, whatever the texts' lengths."""
+    """Bounds what Python workers hold, whatever the texts' lengths; sees to it that they find this package."""
+    ship(spark)
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     for name, most in ((rows, BATCH_ROWS), (size, BATCH_BYTES)):
         now = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(name).lower())
