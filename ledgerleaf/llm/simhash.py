@@ -235,7 +235,7 @@ def most_bits(similarity: float, bits: int = 64 * LONG) -> int:
 
 
 def leaders(points: np.ndarray, most: int, pivots: int = PIVOTS) -> list[tuple[int, int]]:
-    """points: rows of 64-bit words. Links that connect each row with the rows within `most` bits, by way of leaders.
+    """points: rows of 64-bit words. Links of a spanning forest that connects each row with the rows within `most` bits, by way of leaders.
 
     A row that no leader has reached yet leads: its pivots' distances are compared with everyone's, and survivors are verified.
     Copies of one text have one leader, however many there are, and it is the same in every group if rows come in order.
@@ -243,7 +243,7 @@ def leaders(points: np.ndarray, most: int, pivots: int = PIVOTS) -> list[tuple[i
     rng = np.random.default_rng(256)
     refs = rng.integers(0, 1 << 64, (pivots, points.shape[1]), dtype=np.uint64)
     table = np.stack([np.bitwise_count(points ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
-    reached, links = np.zeros(len(points), bool), []
+    reached, tree, links = np.zeros(len(points), bool), np.arange(len(points)), []
     for i in range(len(points)):
         if reached[i]:
             continue
@@ -251,7 +251,13 @@ def leaders(points: np.ndarray, most: int, pivots: int = PIVOTS) -> list[tuple[i
         near = near[(np.abs(table[near] - table[i]) <= most).all(axis=1)]
         near = near[np.bitwise_count(points[near] ^ points[i]).sum(axis=1, dtype=np.int16) <= most]
         reached[near] = True
-        links += [(i, j) for j in near.tolist() if j != i]
+        roots, first = np.unique(tree[near], return_index=True)
+        new = roots != tree[i]
+        links += [(i, j) for j in near[first[new]].tolist()]  # one link to each tree that i isn't part of yet
+        if new.any():
+            joined = np.zeros(len(points), bool)
+            joined[roots] = True
+            tree[joined[tree]] = min(int(roots.min()), int(tree[i]))
     return links
 
 
