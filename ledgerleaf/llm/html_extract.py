@@ -295,7 +295,7 @@ PHRASES = {
     "header": ["Home", "Skip to content"],
     "menu": ["Home", "About", "Contact", "News"],
 }
-TAGS = {"menu": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "side": ["aside", "div", "section"], "ad": ["div", "section", "aside"], "notice": ["div", "section"], "form": ["form", "div"], "comments": ["section", "div"], "share": ["div", "ul"]}
+TAGS = {"menu": ["nav", "nav", "div", "ul", "table"], "header": ["header", "div"], "footer": ["footer", "div"], "side": ["aside", "div", "section"], "ad": ["div", "section", "aside"], "notice": ["div", "section"], "form": ["form", "div"], "comments": ["section", "div"], "share": ["div", "ul"]}
 
 
 def page(rng: np.random.Generator) -> tuple[str, list[str]]:
@@ -354,12 +354,12 @@ def page(rng: np.random.Generator) -> tuple[str, list[str]]:
 
     def chrome(kind: str) -> str:
         tag = pick(TAGS[kind])
-        names = f' {pick(["class", "class", "id"])}="{pick(CHROME[kind])}"' if tag in ("div", "section", "ul") or chance(0.5) else ""
+        names = f' {pick(["class", "class", "id"])}="{pick(CHROME[kind])}"' if tag in ("div", "section", "ul", "table") or chance(0.5) else ""
         n = int(rng.integers(1, 8))
         if kind in ("menu", "share") or kind in ("footer", "header", "side") and chance(0.4):
             items = [f'<a href="/{k}">{pick(PHRASES[kind]) if chance(0.3) else word()}</a>' for k in range(n)]
             inner = "".join(f"<li>{x}</li>" for x in items)
-            inner = inner if tag == "ul" else f"<ul>{inner}</ul>" if chance(0.7) else " ".join(items)
+            inner = "<tr>" + "".join(f"<td>{x}" for x in items) + "</tr>" if tag == "table" else inner if tag == "ul" else f"<ul>{inner}</ul>" if chance(0.7) else " ".join(items)
         elif kind == "comments":
             inner = (f"<h3>{pick(PHRASES[kind])}</h3>" if chance(0.7) else "") + "".join(f'<{pick(["div", "p"])} class="{pick(CHROME[kind])}">{"<b>" + word() + "</b> " if chance(0.5) else ""}{prose()}</div>' for _ in range(n))
         elif kind == "form":
@@ -369,7 +369,7 @@ def page(rng: np.random.Generator) -> tuple[str, list[str]]:
             inner = texts[0] if len(texts) == 1 else "".join(f"<p>{t}</p>" for t in texts)
         return f"<{tag}{names}>{inner}</{tag}>"
 
-    wrap = pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), *((f'<div {pick(["class", "id"])}="{pick(ARTICLE)}">', "</div>") for _ in range(3))])
+    wrap = pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), *((f'<div {pick(["class", "id"])}="{pick(ARTICLE)}">', "</div>") for _ in range(3)), ("", ""), ("<div>", "</div>"), ("<section>", "</section>")])
     before = [chrome(k) for k in ("header", "menu", "notice", "ad", "form", "menu") if chance(0.45)]
     between = [chrome(k) for k in ("side",) if chance(0.2)]
     after = [chrome(k) for k in ("share", "comments", "side", "ad", "form", "notice", "footer") if chance(0.4)]
