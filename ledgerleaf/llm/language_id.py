@@ -23,7 +23,7 @@ HIDDEN = 8
 #: Spans that go through the network together.
 TOGETHER = 2048
 #: Documents that a model is fitted on, at most, and the characters of each.
-SAMPLE, EXCERPT = 2400, 1024
+SAMPLE, EXCERPT = 1500, 1024
 PAD = 256
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -170,7 +170,7 @@ def gradient(net: Net, ids: np.ndarray, y: np.ndarray) -> tuple[float, list[np.n
     return float(loss), [*dw, *du, *db, dv, dc]
 
 
-def fit(rows: list[tuple[str, str]], *, epochs: int = 6, batch: int = 512, rate: float = 0.02, seed: int = 4) -> Net | None:
+def fit(rows: list[tuple[str, str]], *, epochs: int = 4, batch: int = 512, rate: float = 0.02, seed: int = 4) -> Net | None:
     """rows: (text, language). Adam, with the rate falling to nothing; None without a row that has a letter."""
     rows = [(t, y) for t, y in rows if t and LETTER.search(t)]
     if not rows:
