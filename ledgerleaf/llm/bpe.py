@@ -1,13 +1,15 @@
 """Byte-pair encoding with a segment tree over the ranks of adjacent pairs, and decoding.
 
-A word's adjacent pairs are the leaves of a tree of minima, so the root is the leftmost pair of the lowest rank. A merge
-changes three leaves at most, each in logarithmic time, until no pair of the vocabulary is left. A word of n symbols
+The ranks of a word's adjacent pairs are the leaves of a segment tree of minima with FAN children to a node: the root is the lowest rank, and
+the first child that holds it, level by level, leads to its leftmost pair. A merge changes three leaves at most, each in logarithmic time, until no
+pair of the vocabulary is left. A word of n symbols
 costs O(n log n), so one very long "word" costs no more than the same length in short ones.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import quoted, small_batches, without
 
-NONE = 1 << 62
-#: Words kept per Python worker; the cache is emptied beyond that.
-CACHE_WORDS = 400_000
+#: Children of a node of the segment tree, whose minimum is one built-in call.
+FAN = 8
+#: A leaf that is no pair of the vocabulary.
+NONE = 1 << 29
+#: Words kept per Python worker.
+CACHE_WORDS = 300_000
 #: What the vocabulary's normaliser and splitter call white space (Unicode's White_Space).
 SPACE = r"\t-\r \x85\xA0  -     　"
 
@@ -38,53 +43,49 @@ def byte_letters() -> list[str]:
     return letters
 
 
-def merge_word(symbols: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merges a word's symbol ids. rank: pair of ids -> (rank, merged id)."""
+def merge_word(symbols: list[int], rank: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
+    """Merges a word's symbol ids. rank: pair of ids -> its rank; merged: the id that a rank's pair becomes."""
     n = len(symbols)
     if n < 2:
         return symbols
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [NONE] * (2 * size)
     get = rank.get
-    for i in range(n - 1):
-        if (r := get((symbols[i], symbols[i + 1]))) is not None:
-            tree[size + i] = r[0] << 32 | i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), bytearray(b"\x01") * n
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-            k >>= 1
-
-    while (root := tree[1]) != NONE:
-        i = root & 0xFFFFFFFF
-        j = right[i]
-        symbols[i] = rank[symbols[i], symbols[j]][1]
-        alive[j] = 0
-        after, before = right[j], left[i]
-        right[i] = after
+    leaves = [get(pair, NONE) for pair in zip(symbols, symbols[1:], strict=False)]
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([min(low[k : k + FAN]) for k in range(0, len(low), FAN)])
+    top, inner = levels.pop(), levels[::-1]
+    steps = list(zip(levels, [*levels[1:], top], strict=False))  # each level and the one above
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    while (least := top[0]) != NONE:
+        i = 0
+        for level in inner:  # the first child that holds the root's value
+            i = level.index(least, i * FAN)
+        j, before = right[i], left[i]
+        after = right[i] = right[j]
+        symbols[i] = new = merged[least]
+        low = high = i
         if j < n - 1:
-            put(j, NONE)
+            leaves[j] = NONE
+            high = j
         if after < n:
             left[after] = i
-            r = get((symbols[i], symbols[after]))
-            put(i, NONE if r is None else r[0] << 32 | i)
+            leaves[i] = get((new, symbols[after]), NONE)
         else:
-            put(i, NONE)
+            leaves[i] = NONE
         if before >= 0:
-            r = get((symbols[before], symbols[i]))
-            put(before, NONE if r is None else r[0] << 32 | before)
-    return [s for s, a in zip(symbols, alive, strict=True) if a]
+            leaves[before] = get((symbols[before], new), NONE)
+            low = before
+        for below, above in steps:
+            low //= FAN
+            high //= FAN
+            for k in range(low, high + 1):
+                above[k] = min(below[k * FAN : k * FAN + FAN])
+    out, k = [], 0
+    while k < n:
+        out.append(symbols[k])
+        k = right[k]
+    return out
 
 
 class WordBpe:
@@ -94,9 +95,9 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
-        self.rank = {}
-        for k, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.rank[self.vocab[a], self.vocab[b]] = (k, self.vocab[a + b])
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.rank = {(self.vocab[a], self.vocab[b]): k for k, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         letters = byte_letters()
@@ -104,26 +105,32 @@ class WordBpe:
         self.last = [self.vocab[x + self.end] for x in letters]
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        #: Words lately seen, and those seen before them: the older half goes when the newer is full, so frequent words stay.
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_word(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        symbols = [self.inner[b] for b in raw]
-        symbols[-1] = self.last[raw[-1]]
-        out = np.array(merge_word(symbols, self.rank), np.int32).tobytes()
+        if (out := self.older.get(word)) is None:
+            out = self.merge(word)
         if len(word) <= 64:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
+            if len(self.cache) >= CACHE_WORDS // 2:
+                self.cache, self.older = {}, self.cache
             self.cache[word] = out
         return out
 
+    def merge(self, word: str) -> bytes:
+        raw = word.encode("utf-8", "surrogatepass")
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        return array("i", merge_word(symbols, self.rank, self.merged)).tobytes()
+
     def plain(self, text: str, out: list[bytes]) -> None:
         if not text.isascii():
             import unicodedata
 
             # letter by letter, so no rule for a word's last sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        get, new = self.cache.get, self.encode_word
+        get, new = self.cache.get, self.encode_word  # should a new word start a new cache, this one's words are still right
         out += [get(w) or new(w) for w in self.words.findall(text.lower())]
 
     def encode(self, text: str | None) -> bytes:
