@@ -538,7 +538,9 @@ def test_bpe_is_the_librarys(spark, texts, odd, none):
     for r in out.collect():
         want = there.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == want and r["decoded"] == there.decode(want, skip_special_tokens=False)
-    assert bpe.encode(none, path).count() == 0
+    again = bpe.round_trip(df.withColumn("Decoded", F.lit(1)), path)
+    assert sorted(map(str, again.select("doc_id", "ids", "decoded").collect())) == sorted(map(str, out.select("doc_id", "ids", "decoded").collect()))
+    assert bpe.encode(none, path).count() == 0 and bpe.round_trip(none, path).count() == 0
     odd_ids = spark.createDataFrame([(None,), ([],), ([1, None, 49407, 10**6],)], "ids array<int>")
     with_null = odd_ids.where("ids is null or size(ids) = 0")
     assert {r["decoded"] for r in bpe.decode(with_null, path).collect()} == {""}
