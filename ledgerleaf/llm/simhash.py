@@ -7,8 +7,8 @@ every fingerprint to the reference fingerprints are tabled; pairs whose coordina
 discarded, and the rest are verified. A group larger than LEAF is split again by the bits not yet used, so no group's
 cost is quadratic, and only the links of a spanning forest leave it.
 
-similar_groups() is for similarities at which too many bits differ for blocks: its fingerprints are four times as long, and nodes meet where
-they share a passage, cut and chosen by its content. Within a group the pivots' tables decide likewise.
+similar_groups() is for similarities at which too many bits differ for blocks: there texts meet where they share a shingle of their prefixes, the
+part of each set in which two sets alike enough must meet, and what sizes and histograms don't rule out is decided by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -202,117 +202,179 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words
 
 # ---- lower similarities
 
-#: 64-bit words of a long fingerprint, passages chosen of a text, and shingles in a passage on average.
-LONG, CHOSEN, PASSAGE = 4, 8, 8
-#: Nodes in a group beyond which it is dealt again by each further passage that they share.
-LARGE = 20_000
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
+#: Rows in a group beyond which it is dealt as pairs of blocks; shingles put last in prefixes; counters in a histogram.
+LARGE, HOT, COUNTERS = 20_000, 100_000, 128
 
 
-def remixed(x: np.ndarray, k: int) -> np.ndarray:
-    y = (x ^ (x >> np.uint64(31))) * MIX[k]
-    return y ^ (y >> np.uint64(32))
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of n shingles, the first in an order that holds for all texts, any set alike by `similarity` has one of among its own first."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def sketch(text: str | None, words: int = 5) -> tuple[bytes, list[int]]:
-    """A long fingerprint, and the passages by which a text is found: the least under CHOSEN hashes of all its passages.
-
-    A passage ends at every shingle whose own hash says so, so an edit changes only the passages around it.
-    """
-    hashes = shingles(text, words)
-    long = np.array([simhash(remixed(hashes, k)) for k in range(LONG)], np.uint64).tobytes()
-    if not len(hashes):
-        return long, [0] * CHOSEN
-    cuts = np.flatnonzero(remixed(hashes, 7) % np.uint64(PASSAGE) == 0) + 1
-    passages = np.add.reduceat(remixed(hashes, 6), np.concatenate([[0], cuts[cuts < len(hashes)]]))
-    return long, [int(remixed(passages, k).min().view(np.int64)) for k in range(CHOSEN)]
+def prefix(known: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
+    """The prefix of distinct sorted shingles; the order is by hash, but those in hot (distinct, sorted) come last."""
+    n = prefix_length(len(known), similarity)
+    if not len(hot) or not n:
+        return known[:n]
+    late = hot[np.minimum(np.searchsorted(hot, known), len(hot) - 1)] == known
+    return np.concatenate([known[~late], known[late]])[:n]
 
 
-def most_bits(similarity: float, bits: int = 64 * LONG) -> int:
-    """How many bits may differ where the shingles' Jaccard similarity is as given: the angle between them, and one and a half deviations more."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+def histogram(known: np.ndarray) -> bytes:
+    """How many of a set's shingles fall to each counter, 255 at most; two sets differ in at least as many shingles as their histograms."""
+    return np.minimum(np.bincount((known >> np.uint64(32)).astype(np.int64) % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes()
 
 
-def leaders(points: np.ndarray, most: int, pivots: int = PIVOTS) -> list[tuple[int, int]]:
-    """points: rows of 64-bit words. Links of a spanning forest that connects each row with the rows within `most` bits, by way of leaders.
+def connected(n: int, near) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest of n rows; near(i, rest) tells which of the rows in rest are linked to row i.
 
-    A row that no leader has reached yet leads: its pivots' distances are compared with everyone's, and survivors are verified.
-    Copies of one text have one leader, however many there are, and it is the same in every group if rows come in order.
+    Each row is compared with all that no tree has reached yet, so no link is missed that a forest could need; where most rows are linked
+    few are left after the first.
     """
-    rng = np.random.default_rng(256)
-    refs = rng.integers(0, 1 << 64, (pivots, points.shape[1]), dtype=np.uint64)
-    table = np.stack([np.bitwise_count(points ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
-    reached, tree, links = np.zeros(len(points), bool), np.arange(len(points)), []
-    for i in range(len(points)):
-        if reached[i]:
-            continue
-        near = np.flatnonzero(np.abs(table[:, 0] - table[i, 0]) <= most)
-        near = near[(np.abs(table[near] - table[i]) <= most).all(axis=1)]
-        near = near[np.bitwise_count(points[near] ^ points[i]).sum(axis=1, dtype=np.int16) <= most]
-        reached[near] = True
-        roots, first = np.unique(tree[near], return_index=True)
-        new = roots != tree[i]
-        links += [(i, j) for j in near[first[new]].tolist()]  # one link to each tree that i isn't part of yet
-        if new.any():
-            joined = np.zeros(len(points), bool)
-            joined[roots] = True
-            tree[joined[tree]] = min(int(roots.min()), int(tree[i]))
-    return links
+    rest = np.arange(n)
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            i = todo.pop()
+            hit = near(i, rest)
+            if hit.any():
+                found, rest = rest[hit].tolist(), rest[~hit]
+                todo += found
+                yield from ((i, j) for j in found)
+
+
+def may_link(sizes: np.ndarray, counts: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of a forest of the sets whose sizes and histograms don't rule out that they are alike by similarity."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(rest), bool)
+        for k in range(0, len(rest), 1 << 14):
+            part = rest[k : k + (1 << 14)]
+            at = np.flatnonzero(np.minimum(sizes[part], sizes[i]) >= similarity * np.maximum(sizes[part], sizes[i]) - 1e-6)
+            apart = np.abs(counts[part[at]].astype(np.int16) - counts[i].astype(np.int16)).sum(axis=1, dtype=np.int64)
+            hit[k + at[apart <= share * (sizes[part[at]] + sizes[i]) + 1e-6]] = True
+        return hit
+
+    return connected(len(sizes), near)
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of a forest of the sets (distinct, sorted) whose Jaccard similarity is as given or more, exactly."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(rest), bool)
+        at = np.flatnonzero(np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-6)
+        for k in at.tolist():
+            other = sets[rest[k]]
+            both = int((sets[i][np.minimum(np.searchsorted(sets[i], other), sizes[i] - 1)] == other).sum())
+            hit[k] = both >= similarity * (sizes[i] + len(other) - both) - 1e-9
+        return hit
+
+    return connected(len(sets), near)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[list, list[tuple]]]:
+    """The other columns' rows of each key of batches sorted by it, once the key is over."""
+    held, at = [], None
+    for batch in batches:
+        rest = [c for c in batch.schema.names if c not in keys]
+        known = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+        for key, row in zip(known, zip(*(batch.column(c).to_pylist() for c in rest), strict=True), strict=True):
+            if key != at:
+                if held:
+                    yield at, held
+                held, at = [], key
+            held.append(row)
+    if held:
+        yield at, held
+
+
+def shared_prefixes(spots: DataFrame) -> DataFrame:
+    """(s, n): the shingles that stand in the prefixes of n > 1 nodes. spots: columns uid and s."""
+    return spots.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
-    """Adds component_id and kept, for groups of texts alike by `similarity` of their shingles or more, as SimHash estimates it.
+    """Adds component_id and kept, for groups of texts that links of Jaccard similarity `similarity` or more of their shingles connect.
 
     component_id is the group's least key, null where the whole group has none; kept is true for one row of each group, one with that
     key. Null and empty texts are one group; texts alike but for case and white space always are. Every row comes back. Columns
-    called like the new ones give way; an empty table gives an empty one.
+    called like the new ones give way; an empty table gives an empty one. Links are exact but for hash collisions.
     """
 
     small_batches(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    hashed = lambda t: np.unique(shingles(t, words))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    longs = lambda sets: pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
 
-    @F.arrow_udf("struct<fp:binary,found:array<long>>")
+    @F.arrow_udf("struct<fp:binary,p:array<long>>")
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [sketch(t.as_py(), words) for t in batch]
-            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "found"])
-
-    base = without(df, "component_id", "kept", "_s", "_fp", "_found", "_uid")
-    rows = base.withColumn("_s", sketched(quoted(text).cast("string"))).withColumns({"_fp": F.col("_s.fp"), "_found": F.col("_s.found")})
+            fps, firsts = [], []
+            for t in batch:
+                known = hashed(t.as_py())
+                fps.append(xxhash.xxh3_128_digest(known.tobytes()))
+                firsts.append(prefix(known, similarity, known[:0]).copy())
+            yield pa.StructArray.from_arrays([pa.array(fps, pa.binary()), longs(firsts)], ["fp", "p"])
+
+    base = without(df, "component_id", "kept", "_s", "_fp", "_p", "_uid")
+    rows = base.withColumn("_s", sketched(quoted(text).cast("string"))).withColumns({"_fp": F.col("_s.fp"), "_p": F.col("_s.p")})
     rows = stored(rows.drop("_s").withColumn("_uid", F.monotonically_increasing_id()))
     first = F.struct(quoted(key).isNull().alias("none"), quoted(key).alias("key"), F.col("_uid").alias("uid"))
-    nodes = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(first).alias("_first"), F.min("_found").alias("found")))
-    most = most_bits(similarity)
-    spots = nodes.select("fp", "found", F.explode(F.array_distinct("found")).alias("k"))
-    spots = spots.join(spots.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "k")
-    few = spots.where(F.col("n") <= large).select("fp", "k", F.lit(0).cast("long").alias("k2"))
-    rest = spots.where(F.col("n") > large).select("fp", "k", F.explode(F.array_remove(F.array_distinct("found"), F.col("k"))).alias("k2"))
-    # texts with one passage only, all of them it, have no second one to be dealt by
-    alone = spots.where((F.col("n") > large) & (F.size(F.array_distinct("found")) == 1)).select("fp", "k", F.lit(0).cast("long").alias("k2"))
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = few.union(rest).union(alone).repartition(parts, "k", "k2").sortWithinPartitions("k", "k2", "fp")
+    nodes = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(first).alias("_first"))).withColumn("uid", F.col("_first.uid"))
+    texts = rows.select(F.col("_uid").alias("uid"), quoted(text).cast("string").alias("t"))
+
+    # a node that shares no shingle of its prefix is alone; of the others, frequent shingles go to the prefix's end
+    spots = rows.select(F.col("_uid").alias("uid"), "_p").join(nodes.select("uid"), "uid", "left_semi").select("uid", F.explode("_p").alias("s"))
+    counts = stored(shared_prefixes(spots))
+    near = spots.join(counts, "s", "left_semi").select("uid").distinct()
+    hot = counts.orderBy(F.desc("n"), "s").limit(HOT).select("s").toArrow().column("s").to_numpy()
+    sent = sc.broadcast(np.sort(hot.view(np.uint64)))
+
+    @F.arrow_udf("struct<p:array<long>,size:long,counts:binary>")
+    def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [hashed(t.as_py()) for t in batch]
+            firsts = longs([prefix(s, similarity, sent.value) for s in sets])
+            yield pa.StructArray.from_arrays([firsts, pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())], ["p", "size", "counts"])
+
+    some = stored(texts.join(near, "uid").withColumn("d", described("t")).select("uid", "d.*"))
+    spots = some.select("uid", F.explode("p").alias("s"))
+    spots = spots.join(shared_prefixes(spots), "s")
+    dealt = spots.select("uid", "s", F.lit(0).alias("k2")).join(some.select("uid", "size", "counts"), "uid")
+    dealt = dealt.repartition(parts, "s", "k2").sortWithinPartitions("s", "k2", "uid")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(held: list[bytes]) -> pa.RecordBatch:
-            pairs = leaders(np.frombuffer(b"".join(held), np.uint64).reshape(len(held), -1), most) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([held[p[i]] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+        for _, held in by_key(batches, ["s", "k2"]):
+            uids, sizes, counts = zip(*held, strict=True)
+            found = list(may_link(np.array(sizes), np.frombuffer(b"".join(counts), np.uint8).reshape(len(held), -1), similarity))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([uids[p[i]] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        held, at = [], None
+    roots = components(dealt.mapInArrow(grouped, "a long, b long").distinct()).select(F.col("node").alias("uid"), "root")
+
+    # of what may be alike, the shingles themselves decide
+    @F.arrow_udf("binary")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for fp, *key in zip(*(batch.column(c).to_pylist() for c in ("fp", "k", "k2")), strict=True):
-                if key != at:
-                    if len(held) > 1:
-                        yield linked(held)
-                    held, at = [], key
-                held.append(fp)
-        if len(held) > 1:
-            yield linked(held)
+            yield pa.array([hashed(t.as_py()).tobytes() for t in batch], pa.binary())
+
+    held = texts.join(roots, "uid").select("root", "uid", known("t").alias("known")).repartition(parts, "root").sortWithinPartitions("root", "uid")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in by_key(batches, ["root"]):
+            up = list(range(len(held)))  # links go from a tree's first row outwards
+            for i, j in alike([np.frombuffer(x, np.uint64) for _, x in held], similarity):
+                up[j] = up[i]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in held], pa.int64()), pa.array([held[i][0] for i in up], pa.int64())], ["uid", "_root"])
 
-    pairs = dealt.mapInArrow(grouped, "a binary, b binary").distinct()
-    roots = components(pairs).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
-    named = nodes.select("fp", "_first").join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
+    named = nodes.join(held.mapInArrow(verified, "uid long, _root long"), "uid", "left").select("fp", "_first", F.coalesce("_root", "uid").alias("_root"))
+    named = stored(named)
     least = named.groupBy("_root").agg(F.min("_first").alias("_best"))
     named = named.join(least, "_root").select(F.col("fp").alias("_fp"), "_best")
     # by sorting, also where named would fit a broadcast: then disk and time grow alike at every size
-    out = rows.drop("_found").join(named.hint("merge"), "_fp").withColumns({"component_id": F.col("_best.key"), "kept": F.col("_uid") == F.col("_best.uid")})
+    out = rows.drop("_p").join(named.hint("merge"), "_fp").withColumns({"component_id": F.col("_best.key"), "kept": F.col("_uid") == F.col("_best.uid")})
     return out.drop("_fp", "_uid", "_best")

@@ -296,6 +296,38 @@ def test_similar_groups(spark, odd, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def grouped_by_jaccard(texts, similarity=0.8, words=5):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))})
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and up[i] != up[j]:
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    return up
+
+
+def similar_to_brute_force(spark, texts, large=simhash.LARGE):
+    df = spark.createDataFrame(rows(texts), DOCS).repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, large=large).collect()}
+    assert [got[k] for k in range(len(texts))] == grouped_by_jaccard(texts)
+
+
+def test_similar_groups_of_short_texts(spark):
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for n in (5, 8, 9, 12, 20, 25, 30):
+        for _ in range(25):
+            base = [word() for _ in range(n)]
+            changed = [word(), *base[1:]]
+            texts += [" ".join(base), " ".join([*base, word()]), " ".join(changed)]
+    similar_to_brute_force(spark, texts)
+
+
 # ---- 4 language
 
 
