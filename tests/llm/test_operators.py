@@ -328,6 +328,22 @@ def test_similar_groups_of_short_texts(spark):
     similar_to_brute_force(spark, texts)
 
 
+def test_similar_groups_of_chains(spark):
+    rng = random.Random(22)
+    texts = []
+    for _ in range(6):  # revisions, each like the next but not like those far off, between two of which others may stand
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(30):
+            base[rng.randrange(len(base))] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    similar_to_brute_force(spark, texts)
+    sizes = np.array([100] * 3)
+    counts = np.zeros((3, simhash.COUNTERS), np.uint8)
+    counts[0, :100], counts[1, 11:111], counts[2, 22:122] = 1, 1, 1
+    assert sorted(map(sorted, simhash.may_link(sizes, counts, 0.8))) == [[0, 1], [1, 2]]
+
+
 # ---- 4 language
 
 
