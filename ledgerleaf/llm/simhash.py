@@ -344,7 +344,11 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
     some = stored(texts.join(near, "uid").withColumn("d", described("t")).select("uid", "d.*"))
     spots = some.select("uid", F.explode("p").alias("s"))
     spots = spots.join(shared_prefixes(spots), "s")
-    dealt = spots.select("uid", "s", F.lit(0).alias("k2")).join(some.select("uid", "size", "counts"), "uid")
+    # a large group goes out as all pairs of its blocks, so that its nodes meet all the same
+    blocks = F.ceil(F.col("n") / large).cast("int")
+    mine = F.pmod(F.xxhash64("uid"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(x, mine) * blocks + F.greatest(x, mine))
+    dealt = spots.select("uid", "s", F.explode(pairs).alias("k2")).join(some.select("uid", "size", "counts"), "uid")
     dealt = dealt.repartition(parts, "s", "k2").sortWithinPartitions("s", "k2", "uid")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -344,6 +344,15 @@ def test_similar_groups_of_chains(spark):
     assert sorted(map(sorted, simhash.may_link(sizes, counts, 0.8))) == [[0, 1], [1, 2]]
 
 
+def test_similar_groups_of_a_shared_passage(spark):
+    rng = random.Random(23)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = words(14)
+    texts = [" ".join(shared), *(" ".join([*shared, *words(n)]) for n in (1, 2, 3, 9, 12, 20) for _ in range(6))]
+    for large in (simhash.LARGE, 5, 2):
+        similar_to_brute_force(spark, texts, large)
+
+
 # ---- 4 language
 
 
