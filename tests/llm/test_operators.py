@@ -353,6 +353,16 @@ def test_similar_groups_of_a_shared_passage(spark):
         similar_to_brute_force(spark, texts, large)
 
 
+def test_similar_groups_leave_texts_below_the_similarity(spark):
+    rng = random.Random(24)
+    texts = []
+    for k in range(120):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        cut = 10 + k % 30  # as many shingles are exchanged of 200: 0.8 is at 22
+        texts += [" ".join(base), " ".join([*base[: 204 - cut], *(f"v{rng.randrange(10**6)}" for _ in range(cut))])]
+    similar_to_brute_force(spark, texts)
+
+
 # ---- 4 language
 
 
