@@ -51,7 +51,16 @@ IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")
 CARD = re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])")
-PHONE = re.compile(r"(?:(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|(?<![\w.\-+])(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|0\d{1,4}[ /\-]\d{3,4}(?:[ \-]?\d{2,4}){1,2}))(?![\w\-])")
+#: After + or 00 and a country code, groups of any usual length; else the forms of North America, with or without a leading 1, pairs after 0
+#: (French), area codes with 0 (German), nine digits without one (Spanish) and ten after 8 (Russian). Numbers of groups of three are told apart by
+#: what stands before and after.
+PHONE = re.compile(
+    r"(?:(?:(?<![\d+])\+\d{1,3}[ .\-]?|(?<![\w.\-+])00\d{1,3}[ .\-])(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-/]?\d{2,4}){1,5}"
+    r"|(?<![\w.\-+])(?:(?:1[ .\-])?(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})|0\d(?:[ .\-]?\d{2}){4}|\(0\d{1,4}\) ?\d{3,4}(?:[ \-]?\d{2,4}){1,2}"
+    r"|0\d{1,4}[ /\-]\d{3,4}(?:[ \-]?\d{2,4}){1,2}|0\d{2,4}(?: \d{2}){3,4}"
+    r"|(?<!\d )(?:(?:1 )?[2-9]\d{2} \d{3}[ \-]\d{4}|[6-9]\d{2} \d{3} \d{3}|[6-9]\d{2}(?: \d{2}){3}|9\d \d{3} \d{2} \d{2}|8[ \-](?:\(\d{3}\)|\d{3})[ \-]\d{3}[ \-]\d{2}[ \-]\d{2})(?! \d)))"
+    r"(?![\w\-])"
+)
 DIGITS = re.compile(r"\d\d")
 IPV4_HINT = re.compile(r"\d\.\d")
 _CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][\w'\-]+"

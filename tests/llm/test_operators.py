@@ -91,6 +91,22 @@ def test_pii_leaves_clean_text():
         assert pii.replaced(t, {}, b"k") == (t, [])
 
 
+def test_pii_phones_by_language():
+    phones = {
+        "fr": ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33 (0)1 23 45 67 89", "0033 1 23 45 67 89", "01 23 45 67 89", "06.12.34.56.78", "0612345678"],
+        "de": ["+49 30 123456", "+49 (0)171 1234567", "030 123456", "030/1234567", "(030) 123456", "0171-1234567", "030 12 34 56 78"],
+        "es": ["+34 612 345 678", "612 345 678", "912 34 56 78", "91 234 56 78"],
+        "en": ["+1 (555) 123-4567", "555 123 4567", "555-123-4567", "(555) 123-4567", "1-800-555-1234", "+44 20 7946 0958"],
+        "ru": ["+7 (495) 123-45-67", "8 (495) 123-45-67", "8-800-555-35-35"],
+    }
+    for phone in (p for ps in phones.values() for p in ps):
+        text = f"Tel. {phone}, or so"
+        assert [(text[a:b], k) for a, b, k, _ in pii.detect(text)] == [(phone, "phone")]
+        assert phone not in pii.replaced(text, {}, b"k")[0]
+    for t in ("On 05.12.2024 and 05-12-2024, at 01:23:45", "1 612 345 678 people", "12 345 678 of 2 345 678", "100 200 300", "pages 10 20 30 40"):
+        assert not pii.detect(t), t
+
+
 def test_permutations_are_permutations():
     assert len({pii.permuted_digits(b"k", "t", f"{n:03d}") for n in range(1000)}) == 1000
     assert len({pii.surrogate("ip", f"10.0.{a}.{b}", 0, b"k") for a in range(20) for b in range(20)}) == 400
