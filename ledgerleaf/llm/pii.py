@@ -65,8 +65,9 @@ DIGITS = re.compile(r"\d\d")
 IPV4_HINT = re.compile(r"\d\.\d")
 _CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][\w'\-]+"
 #: These two start with a letter, not with a boundary, so that the search skips to capitals; detect() looks at what stands before.
-TITLED = re.compile(rf"({'|'.join(sorted(TITLES, key=len, reverse=True))})(?:\. |\.? )({_CAP})(?: ({_CAP}))?")
-NAMED = re.compile(rf"({'|'.join(sorted(KNOWN, key=len, reverse=True))}) ({_CAP})")
+_TITLE, _RUN = "|".join(sorted(TITLES, key=len, reverse=True)), rf"{_CAP}(?: {_CAP})*"
+TITLED = re.compile(rf"((?:(?:{_TITLE})\.? )+)({_RUN})")
+NAMED = re.compile(rf"((?:{'|'.join(sorted(KNOWN, key=len, reverse=True))}) {_RUN})")
 
 
 def digits_of(surface: str) -> str:
@@ -119,17 +120,20 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                     continue
                 add(m.start(), m.end(), kind)
     whole = lambda m: not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")
+
+    def name(start: int, run: str, gender: str | None) -> None:
+        """The last word is the surname, those before it are given names; without a title only the known ones are taken for such."""
+        words = run.split(" ")
+        for k, w in enumerate(words):
+            known = KNOWN[w][1] if w in KNOWN else None
+            given = k < len(words) - 1 and (gender is not None or known)
+            add(start, start + len(w), f"given_{gender or known or ''}" if given else "surname")
+            start += len(w) + 1
+
     for m in filter(whole, TITLED.finditer(text)):
-        gender = TITLES[m[1]]
-        if m[3] and m[2] in KNOWN:
-            gender = gender or KNOWN[m[2]][1]
-            add(m.start(2), m.end(2), f"given_{gender}")
-            add(m.start(3), m.end(3), "surname")
-        else:
-            add(m.start(2), m.end(2), "surname")
+        name(m.start(2), m[2], next((g for t in m[1].replace(".", "").split() if (g := TITLES[t])), ""))
     for m in filter(whole, NAMED.finditer(text)):
-        add(m.start(1), m.end(1), f"given_{KNOWN[m[1]][1]}")
-        add(m.start(2), m.end(2), "surname")
+        name(m.start(1), m[1], None)
     found.sort()
     return found
 

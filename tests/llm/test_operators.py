@@ -107,6 +107,20 @@ def test_pii_phones_by_language():
         assert not pii.detect(t), t
 
 
+def test_pii_whole_names():
+    for text, want in {
+        "Dr. Ahmed Hassan came": [("Ahmed", "given_"), ("Hassan", "surname")],
+        "Mrs Aisha Noor Hassan came": [("Aisha", "given_f"), ("Noor", "given_f"), ("Hassan", "surname")],
+        "Mr John Michael Smith came": [("John", "given_m"), ("Michael", "given_m"), ("Smith", "surname")],
+        "then John Michael Smith came": [("John", "given_m"), ("Michael", "given_m"), ("Smith", "surname")],
+        "then Lucía Gómez Ortega came": [("Lucía", "given_f"), ("Gómez", "surname"), ("Ortega", "surname")],
+        "Prof. Dr. Anna Smith came": [("Anna", "given_f"), ("Smith", "surname")],
+        "Frau Dr. Nguyen came": [("Nguyen", "surname")],
+    }.items():
+        assert [(text[a:b], k) for a, b, k, _ in pii.detect(text)] == want
+        assert not any(w in pii.replaced(text, {}, b"k")[0] for w, _ in want)
+
+
 def test_permutations_are_permutations():
     assert len({pii.permuted_digits(b"k", "t", f"{n:03d}") for n in range(1000)}) == 1000
     assert len({pii.surrogate("ip", f"10.0.{a}.{b}", 0, b"k") for a in range(20) for b in range(20)}) == 400
