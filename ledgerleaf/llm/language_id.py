@@ -12,18 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, quoted, small_batches, without
-from .labelled import fold, likely
+from .labelled import fold
 
 SPAN = 64
 HIDDEN = 8
 #: Spans that go through the network together.
 TOGETHER = 2048
 #: Documents that a model is fitted on, at most, and the characters of each.
-SAMPLE, EXCERPT = 1500, 1024
+SAMPLE, EXCERPT = 2400, 1024
 PAD = 256
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -170,7 +170,7 @@ def gradient(net: Net, ids: np.ndarray, y: np.ndarray) -> tuple[float, list[np.n
     return float(loss), [*dw, *du, *db, dv, dc]
 
 
-def fit(rows: list[tuple[str, str]], *, epochs: int = 4, batch: int = 512, rate: float = 0.02, seed: int = 4) -> Net | None:
+def fit(rows: list[tuple[str, str]], *, epochs: int = 6, batch: int = 512, rate: float = 0.02, seed: int = 4) -> Net | None:
     """rows: (text, language). Adam, with the rate falling to nothing; None without a row that has a letter."""
     rows = [(t, y) for t, y in rows if t and LETTER.search(t)]
     if not rows:
@@ -202,14 +202,34 @@ def fit(rows: list[tuple[str, str]], *, epochs: int = 4, batch: int = 512, rate:
     return net
 
 
+def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """How many documents of each language to take: as even as the counts allow, one at least, of about `sample` in all."""
+    out, left = {}, sample
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = max(1, min(counts[lang], left // (len(counts) - k)))
+        left = max(0, left - out[lang])
+    return out
+
+
 def trained(docs: DataFrame, *, sample: int = SAMPLE, excerpt: int = EXCERPT, folds: int = 5, held_out: int = 0) -> Net | None:
-    """Fitted on the driver on excerpts of at most `sample` documents with a language, outside the held-out fold, chosen by key."""
+    """Fitted on the driver on excerpts of at most `sample` documents with a language, outside the held-out fold, chosen by key.
+
+    Each language has an even share, or all that it has; with more than `sample` languages each has one document.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(fold("doc_id", folds) != held_out)
+    known = known.withColumn("lang", F.col("lang").cast("string"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    # only keys with the least hashes are ranked: four times the share and some, so that few documents are enough
+    bounds = [(lang, n, min(1.0, (4 * n + 32) / counts[lang]) * float(1 << 32)) for lang, n in shares(counts, sample).items()]
+    bounds = docs.sparkSession.createDataFrame(bounds, "lang string, _share long, _bound double")
     rows = known.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"), "lang", "doc_id", F.length("text").alias("n"), "text")
-    rows = rows.where(likely(F.col("h"), sample, docs.select("doc_id").count()))
+    rows = rows.join(F.broadcast(bounds), "lang").where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") <= F.col("_bound"))
     first = 1 + F.pmod(F.crc32(F.col("h").cast("binary")), F.greatest(F.col("n") - excerpt + 1, F.lit(1)))
-    rows = rows.select("h", "doc_id", F.substring(F.col("text"), first.cast("int"), F.lit(excerpt)).alias("text"), F.col("lang").cast("string").alias("lang"))
-    return fit([(r["text"], r["lang"]) for r in rows.orderBy("h", "doc_id", "text", "lang").limit(sample).collect()])
+    rows = rows.select("h", "doc_id", F.substring(F.col("text"), first.cast("int"), F.lit(excerpt)).alias("text"), "lang", "_share")
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where("_rank <= _share")
+    return fit([(r["text"], r["lang"]) for r in rows.orderBy("h", "doc_id", "text", "lang").select("text", "lang").collect()])
 
 
 def identify(df: DataFrame, net: Net | None, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -445,6 +445,16 @@ def test_language_of_a_long_text_is_its_parts(texts):
         assert language_id.predict(net, [t])[1][0] == pytest.approx(mean.max(), rel=1e-4)
 
 
+def test_language_sample_is_even(spark):
+    # one language in a thousand documents, and labels that are few in a large table
+    texts = {"en": "the house and the garden of the town", "el": "το σπίτι και ο κήπος της πόλης", "fr": "la maison et le jardin de la ville"}
+    common = [(k, texts["el" if k % 1000 == 7 else "en"], "el" if k % 1000 == 7 else "en", "s", 1) for k in range(4000)]
+    assert language_id.trained(spark.createDataFrame(common, DOCS), sample=40).labels == ["el", "en"]
+    sparse = [(k, texts["en"], ("en" if k % 2 else "fr") if k % 1000 < 2 else None, "s", 1) for k in range(4000)]
+    assert language_id.trained(spark.createDataFrame(sparse, DOCS), sample=8).labels == ["en", "fr"]
+    assert language_id.shares({"a": 3, "b": 100, "c": 100}, 43) == {"a": 3, "b": 20, "c": 20}
+
+
 # ---- 5 HTML
 
 
