@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -15,25 +13,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import quoted, small_batches, without
+from .common import forget, quoted, small_batches, stored, without
 
 #: Labelled documents of each class that a model is fitted on, at most.
 PER_CLASS = 2000
+#: Pieces of each class's texts that a dictionary is built from, at most.
+PIECES = 40_000
 #: Bytes of each dictionary.
 DICTIONARY = 65536
 LEVEL = 3
 #: Bytes of a text that are compressed at a time, so that a long text's own words don't outweigh the dictionary.
 PIECE = 512
+#: The most that a text scores for which the good dictionary saves nothing over the bad one.
+NO_EVIDENCE = 0.49
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    #: What the curve makes of the difference, of the shortage and of a constant.
-    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    #: Compressed bytes a byte that good text seldom goes below.
-    usual: float = 0.0
+    #: The calibrated curve: differences, ascending, and the chance that each stands for; straight lines between.
+    at: tuple[float, ...] = ()
+    chances: tuple[float, ...] = ()
 
 
 @lru_cache(maxsize=8)
@@ -43,93 +44,120 @@ def compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
         words = zstandard.ZstdCompressionDict(data)
         words.precompute_compress(level=LEVEL)
         out.append(zstandard.ZstdCompressor(dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return [*out, zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)]
+    return out
 
 
-def sizes(text: str | None, good: bytes, bad: bytes) -> tuple[int, int, int, int]:
-    """A whole text's bytes, and those of its pieces compressed with the good dictionary, with the bad one and with none."""
+def difference(text: str | None, good: bytes, bad: bytes) -> float:
+    """How many bytes the good dictionary saves over the bad one, for each byte of a whole text; 0 without any.
+
+    It is normalised by the text's own length, so a text that repeats itself, short under either dictionary, says as little as an empty one.
+    """
     data = (text or "").encode("utf-8", "surrogatepass")
-    a, b, c = compressors(good, bad)
-    x = y = z = 0
+    a, b = compressors(good, bad)
+    saved = 0
     for k in range(0, len(data), PIECE):
         piece = data[k : k + PIECE]
-        x += len(a.compress(piece))
-        y += len(b.compress(piece))
-        z += len(c.compress(piece))
-    return len(data), x, y, z
-
-
-def evidence(n: int, x: int, y: int, z: int, usual: float) -> tuple[float, float, float]:
-    """The normalised difference; how far the text alone compresses below good text, as repeated text does; a constant."""
-    return (2 * (y - x) / (x + y) if x + y else 0.0), (max(0.0, usual - z / n) if n else 0.0), 1.0
-
-
-def calibrate(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float, float]:
-    """Weights of a logistic curve, the classes weighing as often as they occur, by Newton's method with a little shrinkage."""
-    w = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
-    beta = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        grad = z.T @ (w * (p - y)) + 1e-4 * beta
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(len(beta)), grad)
-        beta -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return tuple(beta.tolist())
-
-
-def fit(rows: list[tuple[str, int]], prior: float = 0.5) -> Model:
-    """rows: (text, label); prior: the share of good documents. Two thirds build the dictionaries, the rest calibrates; no row of a class gives a model that says 0.5."""
-    pieces: dict[int, list[bytes]] = {0: [], 1: []}
-    held = []
-    for k, (text, label) in enumerate(rows):
-        if k % 3 == 2:
-            held.append((text, label))
-            continue
-        data = text.encode("utf-8", "surrogatepass")
-        pieces[label] += [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-    if not all(pieces.values()) or {y for _, y in held} != {0, 1}:
+        saved += len(b.compress(piece)) - len(a.compress(piece))
+    return saved / max(1, len(data))
+
+
+def chance(model: Model, text: str | None) -> float:
+    """0 to 1. Below a half for a text without evidence, such as an empty one; a half for any text if the model had nothing to learn from."""
+    if not model.good:
+        return 0.5
+    d = difference(text, model.good, model.bad)
+    found = float(np.interp(d, model.at, model.chances))
+    return found if d > 0 else min(found, NO_EVIDENCE)
+
+
+def calibrate(d: np.ndarray, y: np.ndarray, prior: float) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The chance that a text is good, never falling with the difference: isotonic regression by pooling neighbours, the classes weighing
+    as often as they occur. Each pool counts one more text, of the prior."""
+    weight = {1: prior / max(1, int((y == 1).sum())), 0: (1 - prior) / max(1, int((y == 0).sum()))}
+    one = 1 / len(y)
+    pools: list[list[float]] = []  # good weight, weight, sum of differences, texts
+    for k in np.argsort(d, kind="stable").tolist():
+        w = weight[int(y[k])]
+        pools.append([w * y[k], w, float(d[k]), 1.0])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    chances = np.maximum.accumulate([(g + one * prior) / (w + one) for g, w, *_ in pools])
+    return tuple(s / n for *_, s, n in pools), tuple(chances.tolist())
+
+
+def dictionary(pieces: list[bytes]) -> bytes:
+    """A dictionary trained on pieces; of pieces too few or too much alike to train on, as many as fit, evenly from all of them."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
+    except zstandard.ZstdError:
+        whole = sum(map(len, pieces))
+        step = max(1, -(-whole // DICTIONARY))
+        return b"".join(p[: -(-len(p) // step)] for p in pieces)[:DICTIONARY] if step > 1 else b"".join(pieces)
+
+
+def fit(good: list[bytes], bad: list[bytes], measured: Callable[[bytes, bytes], list[tuple[float, int]]], prior: float = 0.5) -> Model:
+    """Dictionaries from pieces of good and bad text, and a curve from measured(good, bad): differences of other labelled texts.
+
+    prior: the share of good documents. Without pieces or measured texts of a class the model says 0.5.
+    """
+    if not good or not bad:
+        return Model(b"", b"")
+    built = dictionary(good), dictionary(bad)
+    found = measured(*built)
+    y = np.array([label for _, label in found])
+    if {*y.tolist()} != {0, 1}:
         return Model(b"", b"")
-    trained = []
-    for label in (1, 0):
-        try:
-            trained.append(zstandard.train_dictionary(DICTIONARY, pieces[label]).as_bytes())
-        except zstandard.ZstdError:  # too few samples: the text itself is the dictionary
-            trained.append(b"".join(pieces[label])[:DICTIONARY])
-    found = [sizes(t, *trained) for t, _ in held]
-    y = np.array([label for _, label in held])
-    usual = float(np.quantile([z / n for (n, _, _, z), label in zip(found, y, strict=True) if label and n] or [0.0], 0.02))
-    z = np.array([evidence(*f, usual) for f in found])
-    return Model(*trained, calibrate(z, y, prior), usual)
+    return Model(*built, *calibrate(np.array([d for d, _ in found]), y, prior))
+
+
+def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, pieces: int = PIECES, folds: int = 3, held_out: int = 1) -> Model:
+    """Fitted on at most 2 * per_class labelled documents outside the held-out fold, whole, of any length.
 
+    Two thirds of them build the dictionaries, on the driver, from at most 2 * `pieces` pieces, an even share from all over each; the rest is
+    measured whole on the executors, and only differences and labels come back.
+    """
+    small_batches(docs.sparkSession)
+    rows = stored(labelled.sample(docs, labels, per_class=per_class, folds=folds, held_out=held_out))
+    turn = F.crc32(F.concat(F.lit("fit-"), F.col("doc_id").cast("string")).cast("binary")) % 3
+    held: dict[int, list[bytes]] = {}
+    for label in (0, 1):
+        got = labelled.pieces(rows.where((turn != 2) & (F.col("label") == label)), PIECE, max(1, pieces // per_class)).collect()
+        held[label] = [bytes(x) for r in sorted(got, key=lambda r: str(r["doc_id"])) for x in r["pieces"]]
 
-def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> Model:
-    """Fitted on the driver on at most 2 * per_class labelled documents outside the held-out fold."""
-    rows = labelled.sample(docs, labels, per_class=per_class, folds=folds, held_out=held_out).collect()
-    rows.sort(key=lambda r: (hash_of(r["doc_id"]), r["label"], r["text"]))
-    counts = dict(labels.where(labelled.fold("doc_id", folds) != held_out).groupBy("quality").count().where("quality in (0, 1)").collect())
-    return fit([(r["text"], r["label"]) for r in rows], counts.get(1, 1) / max(1, sum(counts.values())))
+    def measured(good: bytes, bad: bytes) -> list[tuple[float, int]]:
+        out = rows.where(turn == 2).select("doc_id", "label", differing(good, bad)("text").alias("d")).collect()
+        return [(r["d"], r["label"]) for r in sorted(out, key=lambda r: (str(r["doc_id"]), r["label"]))]
 
+    counts = dict(rows.groupBy("label").count().collect())
+    of = dict(labels.where(labelled.fold("doc_id", folds) != held_out).groupBy("quality").count().where("quality in (0, 1)").collect()) if counts else {}
+    model = fit(held[1], held[0], measured, of.get(1, 1) / max(1, sum(of.values())))
+    forget(rows)
+    return model
 
-def hash_of(key) -> int:
-    import zlib
 
-    return zlib.crc32(f"fit-{key}".encode())
+def differing(good: bytes, bad: bytes):
+    @F.arrow_udf("double")
+    def differences(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([difference(t.as_py(), good, bad) for t in batch], pa.float64())
+
+    return differences
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the calibrated chance, 0 to 1, that a whole text is good. Null and empty texts get the curve's value without evidence."""
+    """Adds the calibrated chance, 0 to 1, that a whole text is good.
+
+    Null and empty texts, and others that neither dictionary tells anything about, score the same, below a half; a model without both classes
+    gives every text a half. Texts alike score alike, so rows repeated do; very long texts are compressed piece by piece, whole. An empty table
+    gives an empty one. A column called like the new one gives way, other columns stay.
+    """
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = sent.value
         for batch in batches:
-            if not m.good:
-                yield pa.array([0.5] * len(batch), pa.float64())
-                continue
-            x = [sum(map(mul, m.weights, evidence(*sizes(t.as_py(), m.good, m.bad), m.usual))) for t in batch]
-            yield pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in x], pa.float64())
+            yield pa.array([chance(sent.value, t.as_py()) for t in batch], pa.float64())
 
     return without(df, out).withColumn(out, scored(quoted(text).cast("string")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, per_class: int, folds: int, he
     """doc_id, text and label of at most per_class labelled documents of each class, outside the held-out fold.
 
     The rows are those whose key has the least MD5, so the same whatever the partitions; null keys and labels are left out, and so are
-    keys labelled twice in different ways. per_class bounds what is broadcast and, later, what reaches the driver.
+    keys labelled twice in different ways. Of rows that share a key the least text counts, so no key comes twice. per_class bounds what
+    is broadcast and, later, what reaches the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(fold("doc_id", folds) != held_out)
     known = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_most")).where("label = _most").drop("_most")
@@ -32,4 +36,25 @@ def sample(docs: DataFrame, labels: DataFrame, *, per_class: int, folds: int, he
     for c in (0, 1):
         part = known.where((F.col("label") == c) & likely(h, per_class, counts.get(c, 0))).orderBy(h, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+def pieces(rows: DataFrame, size: int, each: int, *keys: str) -> DataFrame:
+    """doc_id, keys and pieces: at most `each` pieces of `size` bytes of every whole text of rows (doc_id, text, keys), in order.
+
+    A longer text's pieces are drawn from all over it, the same ones for the same key, so no text counts by its first part alone, and
+    what a bounded sample of rows sends to the driver is bounded, however long its texts are.
+    """
+
+    @F.arrow_udf("array<binary>")
+    def cut(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for k, t in zip(ids, texts, strict=True):
+            data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            n = -(-len(data) // size)
+            places = range(n) if n <= each else sorted(random.Random(k.as_py()).sample(range(n), each))
+            out.append([data[size * i : size * (i + 1)] for i in places])
+        return pa.array(out, pa.list_(pa.binary()))
+
+    return rows.select("doc_id", *keys, cut(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("pieces"))
