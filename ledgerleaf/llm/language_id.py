@@ -16,19 +16,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, quoted, small_batches, without
-from .labelled import fold
+from .labelled import fold, pieces
 
 SPAN = 64
 HIDDEN = 8
 #: Spans that go through the network together.
 TOGETHER = 2048
-#: Documents that a model is fitted on, at most, and the characters of each.
-SAMPLE, EXCERPT = 2400, 1024
+#: Documents that a model is fitted on, at most, and spans of their texts.
+SAMPLE, SPANS = 2400, 40_000
 PAD = 256
-LETTER = re.compile(r"[^\W\d_]")
+#: What may hold a letter; numerals such as fractions count as word characters too, so str.isalpha() decides.
+WORD_CHARACTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in WORD_CHARACTER.finditer(text))
+
+
 @dataclass
 class Net:
     """w: input rows by byte, for the update gate, the reset gate and the candidate; u: recurrent weights; both by direction. v, c: output."""
@@ -98,7 +103,7 @@ def spans_of(data: np.ndarray) -> np.ndarray:
 def predict(net: Net, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Each text's language and its probability; without a letter: und, 0."""
     labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if has_letter(t)]
     for start, stop in by_bytes([texts[i] for i in known]):
         at = known[start:stop]
         rows = [spans_of(np.frombuffer(texts[i].encode("utf-8", "surrogatepass"), np.uint8)) for i in at]
@@ -170,16 +175,16 @@ def gradient(net: Net, ids: np.ndarray, y: np.ndarray) -> tuple[float, list[np.n
     return float(loss), [*dw, *du, *db, dv, dc]
 
 
-def fit(rows: list[tuple[str, str]], *, epochs: int = 6, batch: int = 512, rate: float = 0.02, seed: int = 4) -> Net | None:
-    """rows: (text, language). Adam, with the rate falling to nothing; None without a row that has a letter."""
-    rows = [(t, y) for t, y in rows if t and LETTER.search(t)]
+def fit(rows: list[tuple[list[bytes], str]], *, epochs: int = 6, batch: int = 512, rate: float = 0.02, seed: int = 4) -> Net | None:
+    """rows: (spans of a text, language). Adam, with the rate falling to nothing; None without a row."""
+    rows = [(spans, y) for spans, y in rows if spans]
     if not rows:
         return None
     labels = sorted({y for _, y in rows})
     net = fresh(labels, seed=seed)
     ids, y = [], []
-    for text, lang in rows:
-        part = spans_of(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+    for spans, lang in rows:
+        part = np.concatenate([spans_of(np.frombuffer(x, np.uint8)) for x in spans])
         ids.append(part), y.append(np.full(len(part), labels.index(lang)))
     ids, y = np.concatenate(ids), np.concatenate(y)
     rng = np.random.default_rng(seed)
@@ -211,12 +216,14 @@ def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
     return out
 
 
-def trained(docs: DataFrame, *, sample: int = SAMPLE, excerpt: int = EXCERPT, folds: int = 5, held_out: int = 0) -> Net | None:
-    """Fitted on the driver on excerpts of at most `sample` documents with a language, outside the held-out fold, chosen by key.
+def trained(docs: DataFrame, *, sample: int = SAMPLE, spans: int = SPANS, folds: int = 5, held_out: int = 0) -> Net | None:
+    """Fitted on the driver on spans of at most `sample` documents with a language and a letter, outside the held-out fold, chosen by key.
 
-    Each language has an even share, or all that it has; with more than `sample` languages each has one document.
+    Each language has an even share, or all that it has; with more than `sample` languages each has one document. A document gives at most
+    spans / sample spans, drawn from all over its whole text.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(fold("doc_id", folds) != held_out)
+    small_batches(docs.sparkSession)
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).where(fold("doc_id", folds) != held_out)
     known = known.withColumn("lang", F.col("lang").cast("string"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -224,18 +231,20 @@ def trained(docs: DataFrame, *, sample: int = SAMPLE, excerpt: int = EXCERPT, fo
     # only keys with the least hashes are ranked: four times the share and some, so that few documents are enough
     bounds = [(lang, n, min(1.0, (4 * n + 32) / counts[lang]) * float(1 << 32)) for lang, n in shares(counts, sample).items()]
     bounds = docs.sparkSession.createDataFrame(bounds, "lang string, _share long, _bound double")
-    rows = known.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"), "lang", "doc_id", F.length("text").alias("n"), "text")
+    rows = known.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"), "lang", "doc_id", "text")
     rows = rows.join(F.broadcast(bounds), "lang").where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") <= F.col("_bound"))
-    first = 1 + F.pmod(F.crc32(F.col("h").cast("binary")), F.greatest(F.col("n") - excerpt + 1, F.lit(1)))
-    rows = rows.select("h", "doc_id", F.substring(F.col("text"), first.cast("int"), F.lit(excerpt)).alias("text"), "lang", "_share")
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where("_rank <= _share")
-    return fit([(r["text"], r["lang"]) for r in rows.orderBy("h", "doc_id", "text", "lang").select("text", "lang").collect()])
+    # the texts stay out of the sort
+    rows = pieces(rows, SPAN, max(1, spans // sample), "lang", "h", "_share")
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "pieces"))).where("_rank <= _share")
+    return fit([([bytes(x) for x in r["pieces"]], r["lang"]) for r in rows.orderBy("h", "doc_id", "pieces", "lang").select("pieces", "lang").collect()])
 
 
 def identify(df: DataFrame, net: Net | None, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds each whole text's language and probability. Null texts, texts without a letter and any text without a model: und, 0.
 
-    Columns called like the two new ones give way; other columns, lang among them, are not looked at.
+    Of languages that are equally probable the first by code point counts. Texts alike get the same, so rows repeated do. Very long texts are read
+    span by span, whole, in bounded memory. An empty table gives an empty one. Columns called like the two new ones give
+    way; other columns, lang among them, are not looked at.
     """
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(net)
