@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,47 +26,91 @@ from .common import quoted, small_batches, without
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements whose text is no page text.
-SILENT = {"script", "style", "noscript", "template", "title", "textarea", "select", "option", "svg", "iframe", "object", "canvas", "head", "datalist", "math", "video", "audio"}
+SILENT = {"script", "style", "noscript", "template", "title", "textarea", "select", "option", "svg", "iframe", "canvas", "head", "datalist", "video", "audio"}
 #: Of these, the ones whose content is not markup.
 RAW = {"script", "style", "noscript", "title", "textarea", "iframe"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "br", "wbr", "meta", "link"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "br", "wbr", "meta", "link", "object", "math", "mi", "mo", "mn", "ms", "mrow", "mtext", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "mover", "munder", "munderover", "mspace", "mstyle", "semantics"}
 #: What an opening tag closes if it is the innermost open block.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"td", "th", "tr", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 SPACES = re.compile(r"\s+")
+#: Blocks, with what pads pages to one length, that go through the network at a time.
+STEPS = 8192
 
 
-@dataclass
+PATHS, WORDS, MEASURES = 512, 1024, 8
+WIDTH = 16
+HIDDEN = 16
+
+
+@lru_cache(maxsize=1 << 16)
+def bucket(token: str, size: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: list[str]
+    #: Buckets of the tags, classes and ids on the way to it, shared with other blocks, and that of the last two.
+    path: frozenset[int]
+    last: int
     linked: int = 0
 
 
+@dataclass(slots=True)
+class Open:
+    """An open element: its tag, what of the path ends with it, and where the run of inline elements that it ends begins."""
+
+    tag: str
+    path: frozenset[int]
+    ends: tuple[str, ...]
+    run: int
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order: white space as one space, character references decoded, empty ones left out."""
+    """The leaf blocks of a page in order: white space as one space, character references decoded, empty ones left out.
+
+    Time and memory go with the page's length, also where tags are nested or left open by the thousand.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    stack: list[Open] = []
+    standing: Counter[str] = Counter()
     parts: list[str] = []
     linked = silent = links = 0
     page = page or ""
+    nowhere = frozenset()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, [x for _, names in stack for x in names], min(linked, len(text))))
+                path, ends = (stack[-1].path, stack[-1].ends) if stack else (nowhere, ())
+                out.append(Block(text, path, bucket(">".join(ends), PATHS), min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def shut(k: int) -> None:
         nonlocal silent, links
-        for name, _ in stack[k:]:
-            silent -= name in SILENT
-            links -= name == "a"
+        for x in stack[k:]:
+            silent -= x.tag in SILENT
+            links -= x.tag == "a"
+            standing[x.tag] -= 1
         del stack[k:]
 
+    def opened(tag: str, attributes: str) -> None:
+        nonlocal silent, links
+        path, ends = (stack[-1].path, stack[-1].ends) if stack else (nowhere, ())
+        if tag not in ("html", "body"):
+            names = [tag] + [f".{x.lower()}" for n in NAMES.finditer(attributes) for x in re.split(r"[\s_\-]+", n[1] or n[2] or n[3] or "") if x]
+            new = {bucket(x, PATHS) for x in names}
+            path, ends = path if new <= path else path | new, (*ends, *names)[-2:]
+        run = (stack[-1].run if stack and stack[-1].tag in INLINE else len(stack)) if tag in INLINE else len(stack) + 1
+        stack.append(Open(tag, path, ends, run))
+        standing[tag] += 1
+        silent += tag in SILENT
+        links += tag == "a"
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -82,12 +128,11 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+            low = stack[-1].run if tag in INLINE and stack else 0  # an inline element is closed only if no block stands within it
+            for k in range(len(stack) - 1, low - 1, -1) if standing[tag] > 0 else ():
+                if stack[k].tag == tag:
                     shut(k)
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
             continue
         if tag in VOID:
             if not silent and (tag == "br" or tag not in INLINE):
@@ -101,18 +146,19 @@ def blocks(page: str | None) -> list[Block]:
                 shut(0)
             inner = CLOSES.get(tag, {"p"} if tag not in SILENT else set())
             k = len(stack)
-            while k and (stack[k - 1][0] in INLINE or stack[k - 1][0] in inner):
-                k -= 1
-                if stack[k][0] in inner:
+            while k:
+                if stack[k - 1].tag in INLINE:
+                    k = stack[k - 1].run
+                elif stack[k - 1].tag in inner:
+                    k -= 1
                     shut(k)
+                else:
+                    break
             if tag == "body":
                 shut(0)
-        names = [tag] + [f".{x.lower()}" for n in NAMES.finditer(m[3] or "") for x in re.split(r"[\s_\-]+", n[1] or n[2] or n[3] or "") if x]
         if (m[3] or "").endswith("/") and tag in SILENT:
             continue
-        stack.append((tag, names))
-        silent += tag in SILENT
-        links += tag == "a"
+        opened(tag, m[3] or "")
         if tag in RAW:
             close = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = close.start() if close else end
@@ -122,28 +168,16 @@ def blocks(page: str | None) -> list[Block]:
 
 # ---- features
 
-PATHS, WORDS, MEASURES = 512, 1024, 8
-WIDTH = 16
-HIDDEN = 16
-
-
-@lru_cache(maxsize=1 << 16)
-def bucket(token: str, size: int) -> int:
-    import zlib
-
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
-
-
-def features(found: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Buckets of the path (each element, and the last two together), buckets of the words, and measures of each block."""
-    paths, words, measures = [], [], np.zeros((len(found), MEASURES), np.float32)
-    for i, b in enumerate(found):
-        tags = [x for x in b.path if x not in ("html", "body")]
-        paths.append(sorted({bucket(x, PATHS) for x in tags} | {bucket(">".join(tags[-2:]), PATHS)}))
+def features(found: list[Block], lo: int = 0, hi: int | None = None) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+    """Buckets of the path (each element, and the last two together), buckets of the words, and measures of blocks lo to hi of a page."""
+    some = found[lo:hi]
+    paths, words, measures = [], [], np.zeros((len(some), MEASURES), np.float32)
+    for i, b in enumerate(some):
+        paths.append(sorted({*b.path, b.last}))
         tokens = b.text.lower().split()
         words.append([bucket(w.strip(".,;:!?()\"'"), WORDS) for w in tokens])
-        n = len(b.text)
-        measures[i] = [np.log1p(n) / 6, b.linked / n, min(1.0, sum(map(b.text.count, ".!?")) / 5), np.log1p(len(tokens)) / 5, b.text[-1] in ".!?:;\"”»", i / len(found), 1 / (1 + i), 1 / (len(found) - i)]
+        n, at = len(b.text), lo + i
+        measures[i] = [np.log1p(n) / 6, b.linked / n, min(1.0, sum(map(b.text.count, ".!?")) / 5), np.log1p(len(tokens)) / 5, b.text[-1] in ".!?:;\"”»", at / len(found), 1 / (1 + at), 1 / (len(found) - at)]
     return paths, words, measures
 
 
@@ -183,8 +217,8 @@ class Batch:
     measures: np.ndarray
 
 
-def batched(pages: list[tuple[list[list[int]], list[list[int]], np.ndarray]]) -> Batch:
-    steps, n = max(len(p[0]) for p in pages), len(pages)
+def batched(pages: list[tuple[list[list[int]], list[list[int]], np.ndarray]], steps: int | None = None) -> Batch:
+    steps, n = steps or max(len(p[0]) for p in pages), len(pages)
     real, measures = np.zeros((steps, n), bool), np.zeros((steps, n, MEASURES), np.float32)
     flat: list[tuple[list[int], list[int], list[float]]] = [([], [], []), ([], [], [])]
     for j, (paths, words, m) in enumerate(pages):
@@ -215,9 +249,46 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def inputs(net: Net, batch: Batch) -> np.ndarray:
+    steps, n = batch.real.shape
+    return np.concatenate([summed(net.path, batch.path, steps * n), summed(net.word, batch.word, steps * n), batch.measures.reshape(steps * n, -1)], axis=1).reshape(steps, n, -1)
+
+
+def predicted(net: Net, pages: list[list[Block]], most: int | None = None) -> np.ndarray:
+    """steps x pages: the chance that a block is the article's, as forward() gives it, without what training needs.
+
+    Of a page with more than `most` blocks so many are described at a time, in order and again in reverse; only states pass from one part to the next.
+    """
+    steps, n, most = max(map(len, pages)), len(pages), most or STEPS
+    out = np.full((steps, n), net.c[0], np.float32)
+    parts = [(k, min(k + most, steps)) for k in range(0, steps, most)]
+    x = None
+    for way in (0, 1):
+        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        for lo, hi in parts if way == 0 else parts[::-1]:
+            if x is None or len(parts) > 1:
+                batch = batched([features(p, lo, hi) for p in pages], hi - lo)
+                x = inputs(net, batch)
+            a, all_real = x @ net.w[way] + net.b[way], batch.real.all(axis=1)
+            held = np.empty((hi - lo, n, HIDDEN), np.float32)
+            for t in range(hi - lo) if way == 0 else range(hi - lo - 1, -1, -1):
+                pre = a[t] + h @ net.u[way]
+                g = sigmoid(pre[:, : 3 * HIDDEN])
+                cell = g[:, HIDDEN : 2 * HIDDEN] * c + g[:, :HIDDEN] * np.tanh(pre[:, 3 * HIDDEN :])
+                after = g[:, 2 * HIDDEN :] * np.tanh(cell)
+                if all_real[t]:
+                    h, c = after, cell
+                else:
+                    real = batch.real[t][:, None]
+                    h, c = np.where(real, after, h), np.where(real, cell, c)
+                held[t] = h
+            out[lo:hi] += held @ net.v[way * HIDDEN : (way + 1) * HIDDEN]
+    return sigmoid(out)
+
+
 def forward(net: Net, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     steps, n = batch.real.shape
-    x = np.concatenate([summed(net.path, batch.path, steps * n), summed(net.word, batch.word, steps * n), batch.measures.reshape(steps * n, -1)], axis=1).reshape(steps, n, -1)
+    x = inputs(net, batch)
     both, trails = np.zeros((steps, n, 2 * HIDDEN), np.float32), []
     for way in (0, 1):
         a = x @ net.w[way] + net.b[way]
@@ -426,20 +497,30 @@ def trained(pages: int = 1200, epochs: int = 16, batch: int = 30, rate: float =
 
 
 def main_texts(net: Net, pages: list[str | None], together: int = 64) -> list[str]:
-    """The kept blocks of each page, joined by newlines."""
+    """The kept blocks of each page, joined by newlines. Pages of like length go together, STEPS blocks at a time with what pads them."""
     out = [""] * len(pages)
     found = [blocks(p) for p in pages]
     order = sorted((i for i in range(len(pages)) if found[i]), key=lambda i: len(found[i]))
-    for k in range(0, len(order), together):
-        at = order[k : k + together]
-        *_, p, _ = forward(net, batched([features(found[i]) for i in at]))
+    k = 0
+    while k < len(order):
+        size = 1
+        while size < together and k + size < len(order) and (size + 1) * len(found[order[k + size]]) <= STEPS:
+            size += 1
+        at = order[k : k + size]
+        p = predicted(net, [found[i] for i in at])
         for j, i in enumerate(at):
             out[i] = "\n".join(b.text for b, x in zip(found[i], p[:, j], strict=False) if x >= 0.5)
+        k += size
     return out
 
 
 def extract(df: DataFrame, source: str = "html", text: str = "text") -> DataFrame:
-    """Adds the main text of each whole page; null and empty pages, and pages without an article, give ''. A column called text gives way."""
+    """Adds the main text of each whole page; null and empty pages, and pages without an article, give ''.
+
+    Blocks that are as likely the article's as not are kept. Pages alike get the same text, so rows repeated do, but for rounding in which pages go through
+    the network together. Very long pages go through it alone, in parts, and need memory for their text and blocks only. An empty table gives an
+    empty one. A column called like the new one gives way.
+    """
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(trained())
 
