@@ -27,6 +27,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in drop])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names that df has no columns of, each with as many underscores behind it as that takes, for an operator's own columns."""
+    there, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in there:
+            n += "_"
+        there.add(n.lower())
+        out.append(n)
+    return out
+
+
 def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
@@ -64,30 +75,51 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; one is set only if the session names none, as in tests."""
+    """The checkpoint folder that driver and executors share. Only where all of Spark is this one process, as in tests, is one made up."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='ledgerleaf-')}"
+        if current.isDefined():
+            folder = current.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            folder = f"file://{tempfile.mkdtemp(prefix='ledgerleaf-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: Folders that stored() wrote and nothing has deleted yet, in order, by application.
+_written: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
     """Cuts df's lineage: written as Parquet in the shared folder and read again, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ledgerleaf-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes what stored() wrote, for a table that nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/ledgerleaf-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, for tables that nothing reads any more."""
+    for df in tables:
+        forget_paths(df.sparkSession, list({f.rpartition("/")[0] for f in df.inputFiles() if "/ledgerleaf-" in f}))
+
+
+def forget_paths(spark: SparkSession, paths: list[str]) -> None:
+    held, names = _written.get(spark.sparkContext.applicationId, []), {p.rpartition("/")[2] for p in paths}
+    held[:] = [p for p in held if p.rpartition("/")[2] not in names]
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """What stored() wrote in this application and nothing has deleted, in order. Operators' results read some of it, so it can go once they are
+    written: forget_paths(spark, written(spark)[n:]) for all since there were n."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
 
 
 def by_bytes(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:

@@ -2,22 +2,26 @@
 
 Each detected entity is replaced by one of its own type and format, drawn by a secret key from its normal form, so the same person,
 number or address gets the same surrogate everywhere (coreference), however it is written. Numbers go through a keyed permutation
-of all numbers of their length. The entities of the whole table are then checked: where a surrogate
-is also some entity's surrogate, or is itself an entity of the table, the loser draws again until all are distinct.
+of all numbers of their length. A name once found by a title or a known given name is replaced wherever it stands in the same text.
+The entities of the whole table are then checked: where a surrogate is also some entity's surrogate, or is itself an entity of the
+table, the loser draws again until all are distinct.
+
+Names are found in Latin, Greek and Cyrillic script; numbers and addresses in any.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, quoted, small_batches, stored, without
+from .common import forget, quoted, small_batches, stored, unused, without
 
 # Given names by script and gender; surnames are composed. Any list of common names will do.
 GIVEN = {
@@ -28,12 +32,13 @@ GIVEN = {
     ("greek", "f"): "Άννα Ελένη Μαρία Σοφία Κατερίνα Ειρήνη".split(),
     ("greek", "m"): "Γιώργος Νίκος Κώστας Πέτρος Δημήτρης Ανδρέας".split(),
 }
-KNOWN = {n: k for k, names in GIVEN.items() for n in names} | {
-    n: ("latin", g)
+KNOWN = {n.lower(): k for k, names in GIVEN.items() for n in names} | {
+    n.lower(): ("latin", g)
     for g, names in (("f", "Mary Anna Emma Emily Sarah Linda Susan Lisa Karen Maria Claire Sophie Camille Lucía Carmen Isabel Sabine Ursula Monika Heidi Jane"), ("m", "John James Michael William Richard Peter Paul Jean Pierre Luis José Juan Miguel Hans Klaus Jürgen Wolfgang Stefan Frank Daniel"))
     for n in names.split()
 }
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Señorita": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Dr": "", "Prof": "", "Professor": "", "Г-н": "m", "Г-жа": "f"}
+TITLES |= {t.upper(): g for t, g in TITLES.items()}
 SYLLABLES = {
     "latin": ["ba", "den", "for", "gar", "hol", "kin", "lan", "mer", "nor", "pel", "ros", "sel", "tor", "ven", "wick", "zan"],
     "cyrillic": ["ба", "вол", "гор", "ден", "кар", "лен", "мир", "нов", "пет", "ром", "сел", "тар"],
@@ -63,15 +68,24 @@ PHONE = re.compile(
 )
 DIGITS = re.compile(r"\d\d")
 IPV4_HINT = re.compile(r"\d\.\d")
-_CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][\w'\-]+"
-#: These two start with a letter, not with a boundary, so that the search skips to capitals; detect() looks at what stands before.
-_TITLE, _RUN = "|".join(sorted(TITLES, key=len, reverse=True)), rf"{_CAP}(?: {_CAP})*"
+#: Capital letters of the scripts that names are found in.
+_UP = "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper())
+_CAP = rf"[{_UP}]\w+(?:['’\-]\w+)*"
+#: Small words within names, which stay.
+PARTICLES = {"von", "van", "der", "den", "zu", "zum", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "bin", "ibn", "al", "el", "y"}
+_PARTICLE = "|".join(sorted(PARTICLES, key=len, reverse=True))
+#: Capitalised words and initials, with small words only between them. These start with a letter, not with a boundary, so that the
+#: search skips to capitals; detect() looks at what stands before.
+_WORD = rf"(?:{_CAP}|[{_UP}]\.)"
+_TITLE, _RUN = "|".join(sorted(TITLES, key=len, reverse=True)), rf"{_WORD}(?:(?: (?:{_PARTICLE})){{0,3}} {_WORD})*"
 TITLED = re.compile(rf"((?:(?:{_TITLE})\.? )+)({_RUN})")
-NAMED = re.compile(rf"((?:{'|'.join(sorted(KNOWN, key=len, reverse=True))}) {_RUN})")
+_SPELLED = sorted({n for names in GIVEN.values() for n in names} | {w.title() for w in KNOWN}, key=len, reverse=True)
+NAMED = re.compile(rf"((?:{'|'.join([*_SPELLED, *(n.upper() for n in _SPELLED)])})(?!\w)(?:(?: (?:{_PARTICLE})){{0,3}} {_WORD})+)")
+CAPITALISED = re.compile(_CAP)
 
 
 def digits_of(surface: str) -> str:
-    return re.sub(r"\D", "", surface)
+    return "".join(str(unicodedata.decimal(c)) for c in surface if c.isdecimal())
 
 
 def script_of(word: str) -> str:
@@ -81,8 +95,8 @@ def script_of(word: str) -> str:
 
 def normal(kind: str, surface: str) -> str:
     """What two ways of writing one entity have in common."""
-    if kind == "email":
-        return surface.lower()
+    if kind == "email" or kind == "surname" or kind.startswith("given"):
+        return unicodedata.normalize("NFC", surface).lower()
     if kind == "phone":
         d = digits_of(surface)
         return d[-10:] if len(d) >= 10 else d
@@ -95,17 +109,36 @@ def normal(kind: str, surface: str) -> str:
     return surface
 
 
+def gender_of(name: str) -> str:
+    """f, m or '' of a given name: as listed, else by its ending where a script's names have one."""
+    name = name.lower()
+    if name in KNOWN:
+        return KNOWN[name][1]
+    script = script_of(name)
+    if script == "cyrillic":
+        return "f" if name[-1] in "ая" else "m"
+    if script == "greek":
+        return "m" if name[-1] in "ςσ" else "f" if name[-1] in "αάηή" else ""
+    return "f" if name[-1] == "a" else ""
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) of each entity, in order and not overlapping; where two overlap the kind named first below wins."""
+    """(start, end, kind, normal form) of each entity, in order and not overlapping; where two overlap the kind named first below wins.
+
+    Names come last: after a title or a known given name, and then every other capitalised mention of a name so found. Time goes with
+    the text's length.
+    """
     if not text:
         return []
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray()
 
-    def add(start: int, end: int, kind: str, form: str | None = None) -> None:
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
-            found.append((start, end, kind, form or normal(kind, text[start:end])))
+    def add(start: int, end: int, kind: str) -> None:
+        if not taken:
+            taken.extend(bytes(len(text)))
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
+            found.append((start, end, kind, normal(kind, text[start:end])))
 
     for m in SECRET.finditer(text) if any(x in text for x in ("=", ":", "AKIA", "gh", "sk-", "xox", "eyJ")) and SECRET_HINT.search(text) else ():
         k = 1 if m[1] else 2
@@ -120,20 +153,43 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                     continue
                 add(m.start(), m.end(), kind)
     whole = lambda m: not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")
+    names: dict[str, str] = {}
+
+    def bare(word: str) -> str:
+        """Without a possessive ending."""
+        return word[:-2] if len(word) > 3 and word[-2:] in ("'s", "’s", "'S", "’S") else word
 
     def name(start: int, run: str, gender: str | None) -> None:
         """The last word is the surname, those before it are given names; without a title only the known ones are taken for such."""
-        words = run.split(" ")
+        words, last = run.split(" "), 0
         for k, w in enumerate(words):
-            known = KNOWN[w][1] if w in KNOWN else None
-            given = k < len(words) - 1 and (gender is not None or known)
-            add(start, start + len(w), f"given_{gender or known or ''}" if given else "surname")
+            if w not in PARTICLES and not w.endswith("."):
+                last = k
+        for k, w in enumerate(words):
+            if w not in PARTICLES and not w.endswith("."):
+                part = bare(w)
+                given = k < last and (gender is not None or part.lower() in KNOWN)
+                kind = f"given_{gender or gender_of(part)}" if given else "surname"
+                form = normal(kind, part)
+                if given and kind == "given_" and names.get(form, "").startswith("given"):
+                    kind = names[form]
+                add(start, start + len(part), kind)
+                if names.get(form, "given_") == "given_":
+                    names[form] = kind
             start += len(w) + 1
 
     for m in filter(whole, TITLED.finditer(text)):
         name(m.start(2), m[2], next((g for t in m[1].replace(".", "").split() if (g := TITLES[t])), ""))
     for m in filter(whole, NAMED.finditer(text)):
         name(m.start(1), m[1], None)
+    if names:
+        # one person's given name is one entity, also where only one mention tells the gender
+        found[:] = [(a, b, names[f] if k == "given_" and names.get(f, "").startswith("given") else k, f) for a, b, k, f in found]
+        for m in CAPITALISED.finditer(text):
+            part = bare(m[0])
+            kind = names.get(unicodedata.normalize("NFC", part).lower())
+            if kind and whole(m):
+                add(m.start(), m.start() + len(part), kind)
     found.sort()
     return found
 
@@ -178,17 +234,31 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def iban_check(country: str, body: str) -> int:
+    """The check number, 2 to 98, that a country and an account call for."""
+    return 98 - int("".join(str(int(c, 36)) for c in body + country) + "00") % 97
+
+
+@lru_cache(maxsize=4096)
+def letters_near(c: str) -> str:
+    """Letters of c's script and case: the plain alphabet of Latin, Cyrillic and Greek, else those of its kind in its block of 128 characters."""
+    kind, script = unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]
+    pool = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзиклмнопрстуфхцчшя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}.get(script)
+    if pool:
+        return pool.upper() if c.isupper() else pool
+    block = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in block if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script) or c
+
+
 def letters_like(draw: Draw, text: str) -> str:
-    """Each letter becomes one of its case and script, each digit a digit, the rest stays."""
+    """Each letter becomes one of its case and script, each digit a digit of its script, the rest stays."""
     out = []
     for c in text:
-        if c.isdigit():
-            out.append(str(draw.below(10)))
+        if c.isdecimal():
+            out.append(chr(ord(c) - unicodedata.decimal(c) + draw.below(10)))
         elif c.isalpha():
-            s = script_of(c)
-            pool = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}[s]
-            x = pool[draw.below(len(pool))]
-            out.append(x.upper() if c.isupper() else x)
+            pool = letters_near(c)
+            out.append(pool[draw.below(len(pool))])
         else:
             out.append(c)
     return "".join(out)
@@ -214,49 +284,61 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
         local, _, domain = form.rpartition("@")
         labels = domain.split(".")
         return letters_like(draw, local) + "@" + ".".join([*(letters_like(Draw(key, "label", x, attempt), x) for x in labels[:-1]), labels[-1]])
-    if kind == "iban":
-        return form[:2] + letters_like(draw, form[2:])
+    if kind == "iban":  # valid check digits stay valid, others stay as wrong as they were
+        body = letters_like(draw, form[4:])
+        off = (int(form[2:4]) - iban_check(form[:2], form[4:])) % 97
+        return f"{form[:2]}{(iban_check(form[:2], body) - 2 + off) % 97 + 2:02d}{body}"
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+", form):
             return "".join("0123456789abcdef"[draw.below(16)] for _ in form)
         head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-|", form)[0]
         return head + letters_like(draw, form[len(head) :])
+    if "-" in form:  # a name of two parts gets one of two parts
+        return "-".join(named(kind, part, attempt, Draw(key, tweak, form, i)) for i, part in enumerate(form.split("-")) if part)
+    return named(kind, form, attempt, draw)
+
+
+def named(kind: str, form: str, attempt: int, draw: Draw) -> str:
+    """A name in small letters, of the form's script, and of the kind's gender if that is a given name."""
     script = script_of(form)
-    if kind.startswith("given_"):
+    if kind.startswith("given"):
         gender = kind[-1] if kind[-1] in "fm" else "fm"[draw.below(2)]
         pool = GIVEN[script, gender]
         if attempt < 4:
-            return pool[draw.below(len(pool))]
-        return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + attempt // 8)).capitalize() + ENDS[script, gender]
-    return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + draw.below(2) + attempt // 4)).capitalize()
+            return pool[draw.below(len(pool))].lower()
+        return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + attempt // 8)) + ENDS[script, gender]
+    return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + draw.below(2) + attempt // 4))
 
 
 def rendered(kind: str, surface: str, core: str) -> str:
-    """A replacement written as the entity was: its separators, prefix and case."""
+    """A replacement written as the entity was: its separators, prefix, digits and case."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(core[::-1])
-        return "".join([next(digits, c) if c.isdigit() else c for c in reversed(surface)])[::-1]
+        return "".join([chr(ord(c) - unicodedata.decimal(c) + int(next(digits, str(unicodedata.decimal(c))))) if c.isdecimal() else c for c in reversed(surface)])[::-1]
     if kind == "iban":
         chars = iter(core)
         return "".join(c if c == " " else next(chars) for c in surface)
     if kind == "email":
         return "".join(x.upper() if c.isupper() else x for c, x in zip(surface, core, strict=True)) if len(core) == len(surface) else core
-    if surface.isupper() and len(surface) > 1:
-        return core.upper()
+    if kind == "surname" or kind.startswith("given"):
+        return core.upper() if surface.isupper() and len(surface) > 1 else "-".join(x[:1].upper() + x[1:] for x in core.split("-")) if surface[:1].isupper() else core
     return core
 
 
-def replaced(text: str | None, attempts: dict[tuple[str, str], int], key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """The text with surrogates, and (start, end, kind) of each in the original."""
-    spans = detect(text)
-    if not spans:
-        return text, []
+def written(text: str, spans: list[tuple[int, int, str, str]], attempts: dict[tuple[str, str], int], key: bytes) -> str:
+    """The text with the surrogates of detect()'s spans."""
     draw = _cached(key)
     out, at = [], 0
     for start, end, kind, form in spans:
         out += [text[at:start], rendered(kind, text[start:end], draw(kind, form, attempts.get((kind, form), 0)))]
         at = end
-    return "".join([*out, text[at:]]), [(a, b, k) for a, b, k, _ in spans]
+    return "".join([*out, text[at:]])
+
+
+def replaced(text: str | None, attempts: dict[tuple[str, str], int], key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
+    """The text with surrogates, and (start, end, kind) of each in the original."""
+    spans = detect(text)
+    return written(text, spans, attempts, key) if spans else text, [(a, b, k) for a, b, k, _ in spans]
 
 
 @lru_cache(maxsize=4)
@@ -265,83 +347,95 @@ def _cached(key: bytes):
 
 
 SPANS = "array<struct<start:int,end:int,kind:string>>"
+_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("form", pa.string())]))
 
 
-def entities(df: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct (kind, form) of a table's texts."""
+def detected(text: Column) -> Column:
+    """detect() of a column."""
 
-    @F.arrow_udf("array<struct<kind:string,form:string>>")
+    @F.arrow_udf("array<struct<start:int,end:int,kind:string,form:string>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("form", pa.string())]))
         for batch in batches:
-            yield pa.array([[{"kind": k, "form": f} for k, f in dict.fromkeys((k, f) for *_, k, f in detect(t.as_py()))] for t in batch], kind)
+            yield pa.array([[dict(zip(("start", "end", "kind", "form"), x, strict=True)) for x in detect(t.as_py())] for t in batch], _FOUND)
 
-    return df.select(F.explode(found(quoted(text).cast("string"))).alias("e")).select("e.*").distinct()
+    return found(text)
 
 
 def redrawn(known: DataFrame, key: bytes) -> DataFrame | None:
-    """(kind, form, attempt) of the entities whose first surrogate was another's, or an entity itself; None if there are none."""
+    """(kind, form, attempt) of the entities whose first surrogate was another's, or an entity itself; None if there are none.
+
+    Rounds go on until all are settled. Who is settled stays so: each round joins those still to settle with the others, and only they draw again.
+    """
 
     @F.arrow_udf("string")
     def core(kinds: pa.Array, forms: pa.Array, attempts: pa.Array) -> pa.Array:
         return pa.array([surrogate(k.as_py(), f.as_py(), a.as_py(), key) for k, f, a in zip(kinds, forms, attempts, strict=True)], pa.string())
 
-    known = stored(known)
     family = F.regexp_replace("kind", "_.*", "")  # given names are distinct whatever their gender
-    drawn = stored(known.withColumn("attempt", F.lit(0)).withColumn("core", core("kind", "form", "attempt")))
-    taken = known.select(family.alias("_family"), F.col("form").alias("core")).distinct()
-    changed = False
+    first = known.withColumn("attempt", F.lit(0)).withColumn("core", core("kind", "form", "attempt")).withColumn("family", family)
+    first = stored(first)
+    taken = first.select("family", F.col("form").alias("core")).distinct()
+
+    def settled(drawn: DataFrame, before: DataFrame | None) -> DataFrame:
+        """drawn with column ok: whether an entity may keep what it drew."""
+        own = drawn.groupBy("family", "core").agg(F.min(F.struct("kind", "form")).alias("_first"))
+        out = drawn.join(own, ["family", "core"]).withColumn("ok", (F.col("kind") == F.col("_first.kind")) & (F.col("form") == F.col("_first.form"))).drop("_first")
+        gone = taken if before is None else taken.unionByName(before.where("ok").select("family", "core"))
+        gone = drawn.select("family", "core").distinct().join(gone, ["family", "core"], "left_semi").withColumn("_gone", F.lit(True))
+        return out.join(gone, ["family", "core"], "left").withColumn("ok", F.col("ok") & F.col("_gone").isNull()).drop("_gone")
+
+    rounds = [stored(settled(first, None))]
     while True:
-        named = drawn.withColumn("_family", family)
-        # of those that share a surrogate the one that has had it longest keeps it
-        first = named.groupBy("_family", "core").agg(F.min(F.struct(F.col("attempt"), "kind", "form")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        bad = first.where("_n > 1").select("_family", "core", "_first")
-        losers = named.join(bad, ["_family", "core"]).where("attempt <> _first.attempt or kind <> _first.kind or form <> _first.form").select("kind", "form")
-        losers = losers.union(named.join(taken, ["_family", "core"], "left_semi").select("kind", "form")).distinct()
-        losers = stored(losers)
+        losers = rounds[-1].where("not ok")
         if losers.isEmpty():
             break
-        changed = True
-        again = drawn.join(losers, ["kind", "form"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("core", core("kind", "form", "attempt"))
-        after = stored(drawn.join(losers, ["kind", "form"], "left_anti").unionByName(again))
-        forget(drawn), forget(losers)
-        drawn = after
-    return drawn.where("attempt > 0").select("kind", "form", "attempt") if changed else None
+        again = losers.drop("core", "ok").withColumn("attempt", F.col("attempt") + 1).withColumn("core", core("kind", "form", "attempt"))
+        before = rounds[0]
+        for x in rounds[1:]:
+            before = before.unionByName(x)
+        rounds.append(stored(settled(again, before)))
+    forget(first)
+    if len(rounds) == 1:
+        forget(rounds[0])
+        return None
+    out = rounds[1].where("ok")
+    for x in rounds[2:]:
+        out = out.unionByName(x.where("ok"))
+    out = stored(out.select("kind", "form", "attempt"))
+    forget(*rounds)
+    return out
 
 
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "pii_spans") -> DataFrame:
     """df with its texts' entities replaced, and an array of (start, end, kind) of what was replaced in the original text.
 
     Null texts stay null and have an empty array, like texts without entities, which stay as they are. Rows repeated get the same text.
-    A column called like spans gives way; others stay. Entities are distinct and coreferent within this table and key.
+    Where entities overlap the kind that detect() names first counts. Very long texts are read whole, in time that goes with their length. An empty
+    table gives an empty one. A column called like spans gives way; others stay. Entities are distinct and coreferent within this
+    table and key. Texts are searched once: what was found is stored along with them.
     """
     small_batches(df.sparkSession)
-    base = without(df, spans, "_redrawn", "_hash")
-    again = redrawn(entities(base, text), key)
+    base = without(df, spans)
+    uid, hits, again_, new = unused(base, "_uid", "_hits", "_again", "_new")
+    held = stored(base.withColumns({uid: F.monotonically_increasing_id(), hits: detected(quoted(text).cast("string"))}))
+    each = held.where(F.size(hits) > 0).select(uid, F.explode(F.array_distinct(F.transform(hits, lambda x: F.struct(x.kind.alias("kind"), x.form.alias("form"))))).alias("e")).select(uid, "e.*")
+    known = stored(each.select("kind", "form").distinct())
+    again = redrawn(known, key)
+    forget(known)
     if again is None:
-        base = base.withColumn("_redrawn", F.lit(None).cast("array<struct<kind:string,form:string,attempt:int>>"))
+        held = held.withColumn(again_, F.lit(None).cast("array<struct<kind:string,form:string,attempt:int>>"))
     else:
-        hashed = base.withColumn("_hash", F.sha2(quoted(text).cast("string"), 256))
-
-        @F.arrow_udf("array<struct<kind:string,form:string>>")
-        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("form", pa.string())]))
-            for batch in batches:
-                yield pa.array([[{"kind": k, "form": f} for k, f in dict.fromkeys((k, f) for *_, k, f in detect(t.as_py()))] for t in batch], kind)
-
-        held = hashed.select("_hash", F.explode(found(quoted(text).cast("string"))).alias("e")).select("_hash", "e.*").join(again, ["kind", "form"]).distinct()
-        held = held.groupBy("_hash").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("_redrawn"))
-        base = hashed.join(held, "_hash", "left").drop("_hash")
-
-    @F.arrow_udf(f"struct<text:string,spans:{SPANS}>")
-    def changed(texts: pa.Array, again: pa.Array) -> pa.Array:
-        out, spans = [], []
-        for t, a in zip(texts, again, strict=True):
-            new, at = replaced(t.as_py(), {(x["kind"], x["form"]): x["attempt"] for x in a.as_py() or ()}, key)
-            out.append(new)
-            spans.append([{"start": a, "end": b, "kind": k} for a, b, k in at])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(spans, kind)], ["text", "spans"])
-
-    base = base.withColumn("_new", changed(quoted(text).cast("string"), F.col("_redrawn")))
-    return base.withColumn(text, F.col("_new.text")).withColumn(spans, F.col("_new.spans")).drop("_new", "_redrawn")
+        drawn = each.join(again, ["kind", "form"]).groupBy(uid).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(again_))
+        held = held.join(drawn, uid, "left")
+
+    @F.arrow_udf("string")
+    def changed(texts: pa.Array, hits: pa.Array, again: pa.Array) -> pa.Array:
+        out = []
+        for t, h, a in zip(texts, hits, again, strict=True):
+            found = [(x["start"], x["end"], x["kind"], x["form"]) for x in h.as_py() or ()]
+            out.append(written(t.as_py(), found, {(x["kind"], x["form"]): x["attempt"] for x in a.as_py() or ()}, key) if found else t.as_py())
+        return pa.array(out, pa.string())
+
+    out = held.withColumn(new, changed(quoted(text).cast("string"), F.col(hits), F.col(again_)))
+    columns = [F.col(new).alias(c) if c.lower() == text.lower() else quoted(c) for c in base.columns]
+    return out.select(*columns, F.transform(hits, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))).alias(spans))

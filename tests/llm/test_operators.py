@@ -126,25 +126,85 @@ def test_permutations_are_permutations():
     assert len({pii.surrogate("ip", f"10.0.{a}.{b}", 0, b"k") for a in range(20) for b in range(20)}) == 400
 
 
+def test_pii_later_mentions_and_case():
+    def names(text):
+        return [(text[a:b], k) for a, b, k, _ in pii.detect(text)]
+
+    text = "Mrs Joan Baker and Dr Alexandra Smith met Mr Schmidt. Later Schmidt and SCHMIDT left; Baker stayed, Baker's dog and Joan too, but a baker did not."
+    assert [w for w, _ in names(text)] == ["Joan", "Baker", "Alexandra", "Smith", "Schmidt", "Schmidt", "SCHMIDT", "Baker", "Baker", "Joan"]
+    new = pii.replaced(text, {}, b"k")[0]
+    parts = re.fullmatch(r"Mrs (\w+) (\w+) and Dr (\w+) (\w+) met Mr (\w+)\. Later (\w+) and (\w+) left; (\w+) stayed, (\w+)'s dog and (\w+) too, but a baker did not\.", new)
+    assert parts[5] == parts[6] and parts[7] == parts[5].upper() and parts[2] == parts[8] == parts[9] and parts[1] == parts[10]
+    assert {parts[1], parts[3]} <= set(pii.GIVEN["latin", "f"]) and len({*parts.groups()}) == 6
+    assert not any(re.search(rf"\b{w}\b", new, re.I) for w in ("Joan", "Alexandra", "Smith", "Schmidt"))
+    assert names("Maria Lopez called. Lopez agreed. MARIA LOPEZ") == [("Maria", "given_f"), ("Lopez", "surname"), ("Lopez", "surname"), ("MARIA", "given_f"), ("LOPEZ", "surname")]
+    assert names("Mr J. R. Smith-Jones, Herr Otto von Bismarck, Señora Šimić, Frau Łucja Żak") == [("Smith-Jones", "surname"), ("Otto", "given_m"), ("Bismarck", "surname"), ("Šimić", "surname"), ("Łucja", "given_f"), ("Żak", "surname")]
+    assert names("Г-жа Ольга Петрова; Петрова") == [("Ольга", "given_f"), ("Петрова", "surname"), ("Петрова", "surname")]
+    # whose gender one mention tells, other mentions take it from there
+    assert names("Dr Joan Baker spoke. Mrs Joan Baker left.") == [("Joan", "given_f"), ("Baker", "surname")] * 2
+    new = pii.replaced("Mr Smith-Jones and Г-н Иванов", {}, b"k")[0]
+    assert re.fullmatch(r"Mr [A-Z][a-z]+-[A-Z][a-z]+ and Г-н [А-Я][а-я]+", new)
+
+
+def test_pii_checksums_and_scripts():
+    def rest(iban):
+        iban = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+    for valid in ("DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606"):
+        for key in (b"a", b"b", b"c"):
+            new = pii.replaced(f"to {valid}.", {}, key)[0][3:-1]
+            assert rest(valid) == 1 and rest(new) == 1 and new[:2] == valid[:2] and new != valid and [c == " " for c in new] == [c == " " for c in valid]
+    assert rest(pii.replaced("DE88370400440532013000", {}, b"k")[0]) != 1
+    card = "4111 1111 1111 1112"  # not valid, and stays so
+    assert pii.luhn(pii.digits_of(pii.replaced(card, {}, b"k")[0])[:-1]) != int(pii.digits_of(pii.replaced(card, {}, b"k")[0])[-1])
+    import unicodedata
+
+    for address in ("محمد@example.com", "почта@пример.рф", "数学@example.com", "กข@example.com", "שלום9@example.com"):
+        new = pii.replaced(f"an {address} .", {}, b"k")[0][3:-2]
+        assert new != address and new.count("@") == 1 and len(new) == len(address)
+        for a, b in zip(address, new, strict=True):
+            assert unicodedata.category(a) == unicodedata.category(b) and unicodedata.name(a).split(" ")[0] == unicodedata.name(b).split(" ")[0]
+    new = pii.replaced("٠١٢ +٩٦٦ ٥٠١٢٣٤٥٦٧", {}, b"k")
+    assert not new[1] or all(c in "٠١٢٣٤٥٦٧٨٩+ " for c in new[0])
+
+
+def test_pii_time_goes_with_length():
+    import time
+
+    def taken(n):
+        text = " ".join(f"k{i}@mail.example.com, Mr Abc{i}x, 10.{i % 250}.0.{i // 250}" for i in range(n))
+        start = time.perf_counter()
+        assert len(pii.detect(text)) >= 2 * n
+        return time.perf_counter() - start
+
+    taken(100)
+    assert taken(16_000) < 16 * max(taken(2_000), 0.02)
+
+
 def test_pii_surrogates_are_distinct(spark):
     # far more given names than the list holds, and short numbers that meet each other
-    names = [f"{a}{b}" for a in "BCDFG" for b in "aeiou"]
-    known = [("given_f", f"{n}{m}") for n in names for m in ("na", "la", "ra", "ta")] + [("given_m", "Adam"), ("given_m", "Bruno")] + [("surname", f"{a}{b}".capitalize()) for a in pii.SYLLABLES["latin"] for b in pii.SYLLABLES["latin"]]
+    names = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    known = [("given_f", f"{n}{m}") for n in names for m in ("na", "la", "ra", "ta")] + [("given_m", "adam"), ("given_m", "bruno")] + [("surname", f"{a}{b}") for a in pii.SYLLABLES["latin"] for b in pii.SYLLABLES["latin"]]
     known += [("ssn", f"{k:09d}") for k in range(0, 3000, 7)]
     df = spark.createDataFrame(known, "kind string, form string")
     again = {(r["kind"], r["form"]): r["attempt"] for r in pii.redrawn(df, b"k").collect()}
+    assert again == {(r["kind"], r["form"]): r["attempt"] for r in pii.redrawn(df.repartition(7), b"k").collect()}
     drawn = collections.defaultdict(list)
     for kind, form in known:
         drawn[kind.partition("_")[0]].append(pii.surrogate(kind, form, again.get((kind, form), 0), b"k"))
     for family, cores in drawn.items():
         assert len(set(cores)) == len(cores), family
         assert not set(cores) & {f for k, f in known if k.partition("_")[0] == family}
+    assert pii.redrawn(spark.createDataFrame([("email", "a@b.example")], df.schema), b"k") is None
 
 
 def test_pii_over_tables(spark, odd, none):
-    out = pii.pseudonymise(odd.withColumn("PII_spans", F.lit(1)), b"k")
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "pii_spans"]
+    extra = odd.withColumn("PII_spans", F.lit(1)).withColumn("_uid", F.lit(7)).withColumn("_NEW", F.lit("n")).withColumn("_hits", F.lit(8)).withColumn("_again", F.lit(9))
+    out = pii.pseudonymise(extra, b"k")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_uid", "_NEW", "_hits", "_again", "pii_spans"]
     assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
+    assert {tuple(r) for r in out.select("_uid", "_NEW", "_hits", "_again").collect()} == {(7, "n", 8, 9)}
     assert pii.pseudonymise(none, b"k").count() == 0
     texts = [f"Frau Ilse{'abcdefghij'[k % 10]} schrieb an k{k}@mail.example.com" for k in range(60)]
     df = spark.createDataFrame(rows(texts), DOCS)
@@ -152,6 +212,8 @@ def test_pii_over_tables(spark, odd, none):
     surnames = [t.split()[1] for t in (got[k] for k in range(60))]
     assert len(set(surnames)) == 10 and all(surnames[k] == surnames[k % 10] for k in range(60))
     assert len({t.split()[-1] for t in got.values()}) == 60 and not set(got.values()) & set(texts)
+    again = pii.pseudonymise(df.union(df), b"k").collect()
+    assert collections.Counter(r["text"] for r in again) == {t: 2 for t in got.values()}
 
 
 # ---- 2 suffix arrays
