@@ -95,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_boosted_rules": op10_boosted_rules,
 }
 
-SQL: dict[str, str] = {"op7_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op7_source_mixing": mixing.SQL}

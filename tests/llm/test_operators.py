@@ -262,7 +262,7 @@ def test_passage_in_many_texts(spark):
     df = spark.createDataFrame(rows(texts), DOCS).repartition(5)
     want = wanted(df, 100)
     assert all(r[2] >= len(passage) for r in want)
-    for more in ({}, {"hot": 10}, {"batch": 16}):
+    for more in ({}, {"hot": 10}, {"hot": 2}, {"batch": 16}):
         assert cut(df, length=100, gram=16, **more) == want
 
 
@@ -272,10 +272,9 @@ def test_family_of_levels():
     n = 16
     counts = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     segments, places = [], []
-    _, x = suffix_dedup.anchors(texts, n, 6)
-    owner = np.repeat(np.arange(len(texts)), suffix_dedup.anchors(texts, n, 6)[0])
-    for k in range(len(owner)):
-        t, p, a, b = texts[owner[k]], *(int(x[c][k]) for c in "pab")
+    x, _ = suffix_dedup.anchors(texts, n, 6, distinct=False)
+    for k in range(len(x["i"])):
+        t, p, a, b = texts[x["i"][k]], *(int(x[c][k]) for c in "pab")
         segments.append((int(x["h"][k]), t[a:p], t[p : b + n]))
         places.append((t, p, a, b))
     assert sum(b - a + 1 for _, _, a, b in places) == sum(max(0, len(t) - n + 1) for t in texts)
@@ -287,6 +286,76 @@ def test_family_of_levels():
             assert hits[k, p - i] == (counts[t[i : i + n]] > 1)
     ranks = [level.rank for level in family.levels]
     assert ranks == sorted(set(ranks), reverse=True)
+    # a level from before is compared with what is added, not with itself
+    old, new = segments[:200], segments[200:]
+    family = suffix_dedup.Family(n, 40)
+    family.load(sorted(old, key=lambda s: s[2]))
+    family.add(new)
+    hits, order = np.concatenate(family.hits), sorted(range(200), key=lambda k: segments[k][2])
+    later = collections.Counter(t[i : i + n] for t, _, a, b in places[200:] for i in range(a, b + 1))
+    for k, place in enumerate(order):
+        t, p, a, b = places[place]
+        for i in range(a, b + 1):
+            assert (later[t[i : i + n]] > 0) <= hits[k, p - i] <= (counts[t[i : i + n]] > 1)
+
+
+PERIODIC = ["a" * 30_000, "ab" * 4000, "abc" * 2000 + "x" + "abc" * 500, "b" * 399, "b" * 400, "b" * 401, "".join(chr(97 + k * k % 23) for k in range(4000)) * 2]
+
+
+def test_segments_of_periodic_texts():
+    for t in PERIODIC[:2]:
+        x, twice = suffix_dedup.anchors([t.encode()] * 2)
+        assert len(x["i"]) <= 8 and list(twice["i"]) == [0, 1] and (twice["a"] <= 1).all() and (twice["b"] >= len(t) - 402).all()
+    x, twice = suffix_dedup.anchors([("a" * 3_000_000).encode()], piece=1 << 16)
+    assert len(x["i"]) == 1 and int(x["n"][0]) == 3_000_000 - 399 and len(twice["i"]) == 1
+    rng = np.random.default_rng(6)
+    i, a = rng.integers(0, 4, 60), rng.integers(0, 300, 60)
+    b = a + rng.integers(0, 9, 60)
+    cover = {(int(k), p) for k, x, y in zip(i, a, b, strict=True) for p in range(x, y + 1)}
+    got = suffix_dedup.ranges(i, a, b)
+    assert {(int(k), p) for k, x, y in zip(*(got[c] for c in "iab"), strict=True) for p in range(x, y + 1)} == cover
+    assert all(k != l or y + 1 < x for k, y, l, x in zip(got["i"], got["b"], got["i"][1:], got["a"][1:], strict=False))
+
+
+def test_suffix_dedup_of_periodic_texts(spark):
+    df = spark.createDataFrame(rows([*PERIODIC, *PERIODIC[2:4], "q" + PERIODIC[1][:700]]), DOCS).repartition(3)
+    assert cut(df) == wanted(df, 400)
+    assert cut(df, length=50, gram=8, hot=2) == wanted(df, 50)
+
+
+def test_suffix_dedup_of_a_long_text(spark):
+    # 10 MB that repeat nothing, twice 60 kB of them in another text, and 10 MB of one byte
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(33, 127, 10_000_000, dtype=np.uint8)).decode()
+    df = spark.createDataFrame(rows([long, long[5_000_000:5_060_000] + "|" + long[9_000_000:9_060_000], "z" * 10_000_000]), DOCS)
+    got = {r["doc_id"]: r for r in suffix_dedup.cut_repeats(df).collect()}
+    assert (got[0]["n_removed"], got[0]["n_spans"], got[1]["n_removed"], got[2]["n_removed"], got[2]["n_spans"]) == (120_000, 2, 120_000, 10_000_000, 1)
+    assert bytes(got[0]["kept"]).decode() == long[:5_000_000] + long[5_060_000:9_000_000] + long[9_060_000:] and bytes(got[1]["kept"]) == b"|"
+
+
+def test_suffix_dedup_clashing_columns(spark):
+    names = ["_uid", "_AT", "_z", "_anchors", "_twice", "_hits", "_done", "uid", "h", "N_spans"]
+    df = spark.createDataFrame([("t" * 500, *range(10)), (None, *range(10)), ("t" * 500, *range(10))], f"text string, {', '.join(n + ' int' for n in names)}")
+    out = suffix_dedup.cut_repeats(df)
+    assert out.columns == [*names[:-1], "n_bytes", "n_removed", "n_spans", "kept", "spans"]
+    assert sorted((r["n_bytes"], r["n_removed"], r["_z"], r["_AT"], r["uid"]) for r in out.collect()) == [(0, 0, 2, 1, 7), (500, 500, 2, 1, 7), (500, 500, 2, 1, 7)]
+
+
+@pytest.mark.parametrize("more", [{"batch": 16}, {"batch": 64, "hot": 3}])
+def test_index_of_batches(spark, docs, more):
+    some = docs.where("n_chars < 3000").select("doc_id", "text").orderBy("doc_id").limit(90)
+    extra = spark.createDataFrame([(1000 + k, t) for k, t in enumerate([None, "", "a" * 900, "ab" * 300, "a" * 150])], some.schema)
+    whole = some.union(extra)
+    index = suffix_dedup.RepeatIndex(length=60, gram=16, **more)
+    for k in range(4):
+        index.add(whole.where(f"doc_id % 4 = {k}").repartition(2))
+        ranks = [r for r, _ in index.levels]
+        assert ranks == sorted(set(ranks), reverse=True)
+    got = [tuple(r) for k in range(4) for r in index.repeats(k).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()]
+    assert sorted(got, key=str) == wanted(whole, 60)
+    for _, level in index.levels:
+        for part in level.rdd.glom().collect():
+            assert [bytes(r["right"]) for r in part] == sorted(bytes(r["right"]) for r in part)
 
 
 # ---- 3 SimHash
