@@ -9,11 +9,12 @@ cost is quadratic, and only the links of a spanning forest leave it.
 
 similar_groups() is for similarities at which too many bits differ for blocks: there texts meet where they share a shingle of their prefixes, the
 part of each set in which two sets alike enough must meet, and what sizes and histograms don't rule out is decided by the shingles themselves.
+Both are looked for in groups of any size, see in_groups().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches, stored, without
+from .common import forget, quoted, small_batches, stored, unused, without
 from .components import components
 
 #: Fingerprints in a group that are compared at once.
@@ -114,11 +115,18 @@ def compare(points: np.ndarray, at: np.ndarray, table: np.ndarray, bits: int, fo
             forest.join(int(at[i]), j)
 
 
-def forest_of(points: np.ndarray, bits: int, used: int, leaf: int = LEAF, pivots: int = PIVOTS) -> list[tuple[int, int]]:
-    """Links that connect all of a group's points (distinct, alike in the used bits) that paths of steps of at most `bits` connect."""
-    rng = np.random.default_rng(64)
-    refs = rng.integers(0, 1 << 64, pivots, dtype=np.uint64)
-    table = np.bitwise_count(points[:, None] ^ refs[None, :]).astype(np.int16)
+def pivot_distances(points: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
+    """The Hamming distances of fingerprints to the reference fingerprints, a row for each."""
+    refs = np.random.default_rng(64).integers(0, 1 << 64, pivots, dtype=np.uint64)
+    return np.bitwise_count(points[:, None] ^ refs[None, :])
+
+
+def forest_of(points: np.ndarray, table: np.ndarray, bits: int, used: int, leaf: int = LEAF) -> list[tuple[int, int]]:
+    """Links that connect all of a group's points (distinct, alike in the used bits) that paths of steps of at most `bits` connect.
+
+    table: their pivot distances.
+    """
+    table = table.astype(np.int16)
     forest = Forest(len(points))
     todo = [(np.arange(len(points)), used)]
     while todo:
@@ -144,34 +152,42 @@ def links(nodes: DataFrame, bits: int = 3, leaf: int = LEAF, pivots: int = PIVOT
     keys = [(m, s) for m in masks(ALL, bits + 1) for s in masks(ALL & ~m, bits + 1)]
     used = [m | s for m, s in keys]
     signed = [int(np.uint64(u).view(np.int64)) for u in used]
-    dealt = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(u)) for u in signed])).alias("k", "part"))
+
+    @F.arrow_udf("binary")
+    def distances(fps: pa.Array) -> pa.Array:
+        rows = pivot_distances(fps.to_numpy(zero_copy_only=False).view(np.uint64), pivots)
+        return pa.array([r.tobytes() for r in rows], pa.binary())
+
+    tabled = nodes.select("fp", distances("fp").alias("far"))
+    dealt = tabled.select("fp", "far", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(u)) for u in signed])).alias("k", "part"))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(parts, "k", "part").sortWithinPartitions("k", "part")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(k: int, points: list[np.ndarray], out: list) -> None:
-            x = np.concatenate(points)
+        def linked(k: int, held: list[tuple[np.ndarray, np.ndarray]], out: list) -> None:
+            x = np.concatenate([p for p, _ in held])
             if len(x) > 1:
-                pairs = forest_of(x, bits, used[k], leaf, pivots)
+                pairs = forest_of(x, np.concatenate([t for _, t in held]), bits, used[k], leaf)
                 if pairs:
                     i = np.array(pairs)
                     out.append((x[i[:, 0]], x[i[:, 1]]))
 
         held, at = [], None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out: list = []
             fp = batch.column("fp").to_numpy().view(np.uint64)
+            far = np.frombuffer(b"".join(batch.column("far").to_pylist()), np.uint8).reshape(len(fp), pivots)
             k, part = batch.column("k").to_numpy(), batch.column("part").to_numpy()
             cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(part) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)], strict=True):
-                if a == b:
-                    continue
                 key = (int(k[a]), int(part[a]))
                 if key != at:
                     if held:
                         linked(at[0], held, out)
                     held, at = [], key
-                held.append(fp[a:b])
+                held.append((fp[a:b], far[a:b]))
             yield from packed(out)
         out = []
         if held:
@@ -189,21 +205,25 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words
     """Adds fp (signed long) and component_id: the least non-null key that links of at most `bits` differing bits reach.
 
     Every row comes back, repeated rows and rows with a null key too; component_id is null only where a whole
-    component has no key. Null and empty texts have fingerprint zero and link like any other. An empty table gives an empty one.
-    Columns called fp or component_id give way.
+    component has no key. Null and empty texts have fingerprint zero and link like any other. Very long texts are hashed whole, in parts.
+    An empty table gives an empty one. Columns called fp or component_id give way.
     """
     prints = stored(fingerprints(without(df, "fp", "component_id"), text, "fp", words))
     nodes = stored(prints.groupBy("fp").agg(F.min(quoted(key)).alias("_least")))
     roots = components(links(nodes.select("fp"), bits, leaf)).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
-    nodes = nodes.join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
-    least = nodes.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return prints.join(nodes.join(least, "_root").select("fp", "component_id"), "fp")
+    named = nodes.join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
+    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return prints.join(named.join(least, "_root").select("fp", "component_id"), "fp")
 
 
 # ---- lower similarities
 
-#: Rows in a group beyond which it is dealt as pairs of blocks; shingles put last in prefixes; counters in a histogram.
-LARGE, HOT, COUNTERS = 20_000, 100_000, 128
+#: Rows that share a shingle, and shingles of texts that are to be verified together, beyond which a group is dealt in blocks.
+ROWS, SHINGLES = 1000, 1 << 20
+#: Rows of such a group that all its blocks have, on average.
+LEADERS = 16
+#: Shingles put last in prefixes, at most; counters in a histogram.
+HOT, COUNTERS = 100_000, 128
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -225,7 +245,7 @@ def histogram(known: np.ndarray) -> bytes:
     return np.minimum(np.bincount((known >> np.uint64(32)).astype(np.int64) % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes()
 
 
-def connected(n: int, near) -> Iterator[tuple[int, int]]:
+def connected(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest of n rows; near(i, rest) tells which of the rows in rest are linked to row i.
 
     Each row is compared with all that no tree has reached yet, so no link is missed that a forest could need; where most rows are linked
@@ -243,8 +263,19 @@ def connected(n: int, near) -> Iterator[tuple[int, int]]:
                 yield from ((i, j) for j in found)
 
 
-def may_link(sizes: np.ndarray, counts: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
-    """Links of a forest of the sets whose sizes and histograms don't rule out that they are alike by similarity."""
+def crossing(asked: np.ndarray, others: np.ndarray, label: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links between the rows asked and others that connect what links between them connect, beyond what one label says is connected already."""
+    label = label.copy()
+    for i in asked.tolist():
+        rest = others[label[others] != label[i]]
+        for j in rest[near(i, rest)].tolist() if len(rest) else ():
+            if label[j] != label[i]:
+                yield i, j
+                label[label == label[j]] = label[i]
+
+
+def may_be_near(sizes: np.ndarray, counts: np.ndarray, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For connected(): whether sizes and histograms of two sets don't rule out that they are alike by similarity."""
     share = (1 - similarity) / (1 + similarity)
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
@@ -256,11 +287,11 @@ def may_link(sizes: np.ndarray, counts: np.ndarray, similarity: float) -> Iterat
             hit[k + at[apart <= share * (sizes[part[at]] + sizes[i]) + 1e-6]] = True
         return hit
 
-    return connected(len(sizes), near)
+    return near
 
 
-def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
-    """Links of a forest of the sets (distinct, sorted) whose Jaccard similarity is as given or more, exactly."""
+def is_near(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For connected(): whether the Jaccard similarity of two sets (distinct, sorted) is as given or more, exactly."""
     sizes = np.array([len(s) for s in sets], np.int64)
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
@@ -268,11 +299,11 @@ def alike(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]
         at = np.flatnonzero(np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-6)
         for k in at.tolist():
             other = sets[rest[k]]
-            both = int((sets[i][np.minimum(np.searchsorted(sets[i], other), sizes[i] - 1)] == other).sum())
+            both = int((sets[i][np.minimum(np.searchsorted(sets[i], other), sizes[i] - 1)] == other).sum()) if sizes[i] else 0
             hit[k] = both >= similarity * (sizes[i] + len(other) - both) - 1e-9
         return hit
 
-    return connected(len(sets), near)
+    return near
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[list, list[tuple]]]:
@@ -296,18 +327,88 @@ def shared_prefixes(spots: DataFrame) -> DataFrame:
     return spots.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
+def in_groups(rows: DataFrame, nearness: Callable[[list[tuple]], Callable[[int, np.ndarray], np.ndarray]], payload: list[str], most: int, leaders: int = LEADERS) -> DataFrame:
+    """(uid, root): what links between rows of one group connect; root is a uid, rows without a link may be missing.
+
+    rows: g (the group), uid, w (a row's weight) and payload columns, of which nearness makes the near() of connected(). A group that weighs more
+    than `most` is dealt in blocks of rows at random, all of which have a few leaders in common. Where most rows of a group
+    are linked that connects them. Whatever it leaves apart from a group's largest part is then compared with the whole group, block by
+    block, so nothing is missed, and no task holds more than two blocks.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    large = rows.groupBy("g").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") > most)
+    large = stored(large.select("g", F.ceil(F.col("all") / most).cast("int").alias("blocks"), (leaders / F.col("n")).alias("share")))
+    random = lambda seed: (F.xxhash64("uid", F.lit(seed)).cast("double") / float(1 << 64)) + 0.5
+    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in by_key(batches, ["g", "block"]):
+            yield pairs(held, connected(len(held), nearness([x[1:] for x in held])))
+
+    def pairs(held: list[tuple], found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+        at = list(found)
+        return pa.RecordBatch.from_arrays([pa.array([held[p[i]][0] for p in at], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    each = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(random(1) < F.col("share"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    dealt = rows.join(large, "g", "left").select("g", F.explode(each).alias("block"), "uid", *payload)
+    first = stored(dealt.repartition(parts, "g", "block").sortWithinPartitions("g", "block", "uid").mapInArrow(linked, "a long, b long").distinct())
+    roots = components(first).select(F.col("node").alias("uid"), "root")
+    if not large.isEmpty():
+        roots = stored(roots)
+        named = rows.select("g", "uid", "w").join(large.select("g", "blocks"), "g").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        named = stored(named)
+        labels = named.groupBy("g", "root").agg(F.sum("w").alias("w"))
+        spread = labels.groupBy("g").agg(F.max_by("root", F.struct("w", "root")).alias("main"), F.count(F.lit(1)).alias("k"), (F.sum("w") - F.max("w")).alias("left")).where("k > 1")
+        spread = stored(spread.select("g", "main", F.ceil(F.col("left") / most).cast("int").alias("asks")))
+        if not spread.isEmpty():
+            both = named.join(spread, "g")
+            asked = both.where("root <> main").select("g", "uid", "root", F.lit(True).alias("asked"), F.pmod(F.xxhash64("uid"), F.col("asks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+            others = both.select("g", "uid", "root", F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"), block.alias("j"))
+            met = asked.unionByName(others).join(rows.select("g", "uid", *payload), ["g", "uid"]).select("g", "i", "j", "uid", "asked", "root", *payload)
+
+            def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for _, held in by_key(batches, ["g", "i", "j"]):
+                    ask = np.array([x[1] for x in held])
+                    label = np.unique(np.array([x[2] for x in held]), return_inverse=True)[1]
+                    yield pairs(held, crossing(np.flatnonzero(ask), np.flatnonzero(~ask), label, nearness([x[3:] for x in held])))
+
+            more = stored(met.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "uid").mapInArrow(crossed, "a long, b long").distinct())
+            forget(roots)
+            roots = components(first.unionByName(more)).select(F.col("node").alias("uid"), "root")
+            roots = stored(roots)
+            forget(more)
+        forget(named, spread)
+    forget(first, large)
+    return roots
+
+
+def frequent(counts: DataFrame, most: int) -> np.ndarray:
+    """The shingles that stand in the most prefixes, at most `most` of them, sorted. Where to stop is read off a histogram, so no more reach the driver."""
+    level = F.floor(8 * F.log2("n")).cast("int")
+    bound, total = None, 0
+    for k, n in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        bound = k
+    if bound is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.where(level >= bound).select("s").toArrow().column("s").to_numpy().view(np.uint64))
+
+
+def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, similarity: float = 0.8, most: tuple[int, int] = (ROWS, SHINGLES)) -> DataFrame:
     """Adds component_id and kept, for groups of texts that links of Jaccard similarity `similarity` or more of their shingles connect.
 
     component_id is the group's least key, null where the whole group has none; kept is true for one row of each group, one with that
-    key. Null and empty texts are one group; texts alike but for case and white space always are. Every row comes back. Columns
-    called like the new ones give way; an empty table gives an empty one. Links are exact but for hash collisions.
+    key. Null and empty texts are one group; texts alike but for case and white space always are. Every row comes back, rows repeated too. Columns
+    called like the new ones give way; others stay. An empty table gives an empty one. Very long texts count whole. Links are exact but
+    for hash collisions. most: what a task compares at a time, rows that share a shingle and shingles of texts to be verified.
     """
 
     small_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
     hashed = lambda t: np.unique(shingles(t, words))
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     longs = lambda sets: pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
 
     @F.arrow_udf("struct<fp:binary,p:array<long>>")
@@ -320,19 +421,19 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
                 firsts.append(prefix(known, similarity, known[:0]).copy())
             yield pa.StructArray.from_arrays([pa.array(fps, pa.binary()), longs(firsts)], ["fp", "p"])
 
-    base = without(df, "component_id", "kept", "_s", "_fp", "_p", "_uid")
-    rows = base.withColumn("_s", sketched(quoted(text).cast("string"))).withColumns({"_fp": F.col("_s.fp"), "_p": F.col("_s.p")})
-    rows = stored(rows.drop("_s").withColumn("_uid", F.monotonically_increasing_id()))
-    first = F.struct(quoted(key).isNull().alias("none"), quoted(key).alias("key"), F.col("_uid").alias("uid"))
-    nodes = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(first).alias("_first"))).withColumn("uid", F.col("_first.uid"))
-    texts = rows.select(F.col("_uid").alias("uid"), quoted(text).cast("string").alias("t"))
+    base = without(df, "component_id", "kept")
+    s_, fp_, p_, uid_, best_ = unused(base, "_s", "_fp", "_p", "_uid", "_best")
+    rows = base.withColumn(s_, sketched(quoted(text).cast("string"))).withColumns({fp_: F.col(s_)["fp"], p_: F.col(s_)["p"]})
+    rows = stored(rows.drop(s_).withColumn(uid_, F.monotonically_increasing_id()))
+    first = F.struct(quoted(key).isNull().alias("none"), quoted(key).alias("key"), F.col(uid_).alias("uid"))
+    nodes = stored(rows.groupBy(F.col(fp_).alias("fp")).agg(F.min(first).alias("_first"))).withColumn("uid", F.col("_first.uid"))
+    texts = rows.select(F.col(uid_).alias("uid"), quoted(text).cast("string").alias("t"))
 
     # a node that shares no shingle of its prefix is alone; of the others, frequent shingles go to the prefix's end
-    spots = rows.select(F.col("_uid").alias("uid"), "_p").join(nodes.select("uid"), "uid", "left_semi").select("uid", F.explode("_p").alias("s"))
+    spots = rows.select(F.col(uid_).alias("uid"), F.col(p_).alias("p")).join(nodes.select("uid"), "uid", "left_semi").select("uid", F.explode("p").alias("s"))
     counts = stored(shared_prefixes(spots))
     near = spots.join(counts, "s", "left_semi").select("uid").distinct()
-    hot = counts.orderBy(F.desc("n"), "s").limit(HOT).select("s").toArrow().column("s").to_numpy()
-    sent = sc.broadcast(np.sort(hot.view(np.uint64)))
+    sent = sc.broadcast(frequent(counts, HOT))
 
     @F.arrow_udf("struct<p:array<long>,size:long,counts:binary>")
     def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -343,22 +444,14 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
 
     some = stored(texts.join(near, "uid").withColumn("d", described("t")).select("uid", "d.*"))
     spots = some.select("uid", F.explode("p").alias("s"))
-    spots = spots.join(shared_prefixes(spots), "s")
-    # a large group goes out as all pairs of its blocks, so that its nodes meet all the same
-    blocks = F.ceil(F.col("n") / large).cast("int")
-    mine = F.pmod(F.xxhash64("uid"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(x, mine) * blocks + F.greatest(x, mine))
-    dealt = spots.select("uid", "s", F.explode(pairs).alias("k2")).join(some.select("uid", "size", "counts"), "uid")
-    dealt = dealt.repartition(parts, "s", "k2").sortWithinPartitions("s", "k2", "uid")
+    met = spots.join(shared_prefixes(spots).select("s"), "s", "left_semi").select(F.col("s").alias("g"), "uid")
+    met = met.join(some.select("uid", "size", "counts"), "uid").withColumn("w", F.lit(1))
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in by_key(batches, ["s", "k2"]):
-            uids, sizes, counts = zip(*held, strict=True)
-            found = list(may_link(np.array(sizes), np.frombuffer(b"".join(counts), np.uint8).reshape(len(held), -1), similarity))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([uids[p[i]] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    def by_histograms(held: list[tuple]):
+        sizes, found = zip(*held, strict=True)
+        return may_be_near(np.array(sizes), np.frombuffer(b"".join(found), np.uint8).reshape(len(held), -1), similarity)
 
-    roots = components(dealt.mapInArrow(grouped, "a long, b long").distinct()).select(F.col("node").alias("uid"), "root")
+    maybe = stored(in_groups(met, by_histograms, ["size", "counts"], most[0]))
 
     # of what may be alike, the shingles themselves decide
     @F.arrow_udf("binary")
@@ -366,19 +459,12 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
         for batch in batches:
             yield pa.array([hashed(t.as_py()).tobytes() for t in batch], pa.binary())
 
-    held = texts.join(roots, "uid").select("root", "uid", known("t").alias("known")).repartition(parts, "root").sortWithinPartitions("root", "uid")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in by_key(batches, ["root"]):
-            up = list(range(len(held)))  # links go from a tree's first row outwards
-            for i, j in alike([np.frombuffer(x, np.uint64) for _, x in held], similarity):
-                up[j] = up[i]
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in held], pa.int64()), pa.array([held[i][0] for i in up], pa.int64())], ["uid", "_root"])
-
-    named = nodes.join(held.mapInArrow(verified, "uid long, _root long"), "uid", "left").select("fp", "_first", F.coalesce("_root", "uid").alias("_root"))
-    named = stored(named)
-    least = named.groupBy("_root").agg(F.min("_first").alias("_best"))
-    named = named.join(least, "_root").select(F.col("fp").alias("_fp"), "_best")
-    # by sorting, also where named would fit a broadcast: then disk and time grow alike at every size
-    out = rows.drop("_p").join(named.hint("merge"), "_fp").withColumns({"component_id": F.col("_best.key"), "kept": F.col("_uid") == F.col("_best.uid")})
-    return out.drop("_fp", "_uid", "_best")
+    held = maybe.join(some.select("uid", F.col("size").alias("w")), "uid").join(texts, "uid").select(F.col("root").alias("g"), "uid", "w", known("t").alias("known"))
+    roots = in_groups(held, lambda x: is_near([np.frombuffer(k, np.uint64) for (k,) in x], similarity), ["known"], most[1])
+    named = stored(nodes.join(roots, "uid", "left").select("fp", "_first", F.coalesce("root", "uid").alias("_root")))
+    forget(counts, some, maybe)
+    least = named.groupBy("_root").agg(F.min("_first").alias(best_))
+    found = named.join(least, "_root").select(F.col("fp").alias(fp_), best_)
+    # by sorting, also where found would fit a broadcast: then disk and time grow alike at every size
+    out = rows.drop(p_).join(found.hint("merge"), fp_).withColumns({"component_id": F.col(best_)["key"], "kept": F.col(uid_) == F.col(best_)["uid"]})
+    return out.drop(fp_, uid_, best_)

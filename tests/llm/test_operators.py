@@ -445,8 +445,8 @@ def test_similar_groups(spark, odd, none):
             texts.append(" ".join(mine))
             group.append(g)
     df = spark.createDataFrame(rows(texts), DOCS).repartition(4)
-    for large in (20_000, 3):
-        got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in simhash.similar_groups(df, large=large).collect()}
+    for most in ((simhash.ROWS, simhash.SHINGLES), (3, 700)):
+        got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in simhash.similar_groups(df, most=most).collect()}
         assert [got[k][0] for k in range(len(texts))] == [group.index(g) for g in group]
         assert [k for k in range(len(texts)) if got[k][1]] == sorted({group.index(g) for g in group})
     out = simhash.similar_groups(odd.withColumn("KEPT", F.lit(1))).collect()
@@ -471,9 +471,9 @@ def grouped_by_jaccard(texts, similarity=0.8, words=5):
     return up
 
 
-def similar_to_brute_force(spark, texts, large=simhash.LARGE):
+def similar_to_brute_force(spark, texts, most=(simhash.ROWS, simhash.SHINGLES)):
     df = spark.createDataFrame(rows(texts), DOCS).repartition(4)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, large=large).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, most=most).collect()}
     assert [got[k] for k in range(len(texts))] == grouped_by_jaccard(texts)
 
 
@@ -498,11 +498,50 @@ def test_similar_groups_of_chains(spark):
             base[rng.randrange(len(base))] = f"w{rng.randrange(10**6)}"
             texts.append(" ".join(base))
     rng.shuffle(texts)
-    similar_to_brute_force(spark, texts)
+    for most in ((simhash.ROWS, simhash.SHINGLES), (2, 150), (7, 600)):
+        similar_to_brute_force(spark, texts, most)
     sizes = np.array([100] * 3)
     counts = np.zeros((3, simhash.COUNTERS), np.uint8)
     counts[0, :100], counts[1, 11:111], counts[2, 22:122] = 1, 1, 1
-    assert sorted(map(sorted, simhash.may_link(sizes, counts, 0.8))) == [[0, 1], [1, 2]]
+    assert sorted(map(sorted, simhash.connected(3, simhash.may_be_near(sizes, counts, 0.8)))) == [[0, 1], [1, 2]]
+
+
+def test_large_groups_lose_no_link(spark):
+    # points on a line, linked at a distance of 1, in groups that need many blocks; few of them may meet a leader
+    rng = random.Random(41)
+    points = [rng.uniform(0, 400) for _ in range(700)]
+    groups = [(g, k) for g in range(3) for k in range(len(points)) if k % 3 != g]
+    df = spark.createDataFrame([(g, k, 1, points[k]) for g, k in groups], "g long, uid long, w int, x double")
+
+    def nearness(held):
+        x = np.array([v for (v,) in held])
+        return lambda i, rest: np.abs(x[rest] - x[i]) <= 1
+
+    up = list(range(len(points)))
+    for g in range(3):
+        order = sorted((k for k in range(len(points)) if k % 3 != g), key=points.__getitem__)
+        for a, b in zip(order, order[1:], strict=False):
+            if points[b] - points[a] <= 1:
+                a, b = sorted((up[a], up[b]))
+                up = [a if y == b else y for y in up]
+    for most, leaders in ((10_000, 16), (60, 16), (25, 2), (25, 0)):
+        got = {r["uid"]: r["root"] for r in simhash.in_groups(df, nearness, ["x"], most, leaders).collect()}
+        assert [got.get(k, k) for k in range(len(points))] == up
+
+
+def test_frequent_shingles(spark):
+    df = spark.createDataFrame([(k, 2 + k) for k in range(200)] + [(1000 + k, 9000) for k in range(5)], "s long, n long")
+    for most in (0, 3, 5, 17, 60, 205, 1000):
+        got = simhash.frequent(df, most)
+        assert len(got) <= most and (len(got) >= min(205, most) * 0.4 or most < 5) and (not len(got) or 1000 in got)
+
+
+def test_similar_groups_clashing_columns(spark):
+    names = ["_s", "_FP", "_p", "_uid", "_best", "uid", "root", "s", "component_ID"]
+    df = spark.createDataFrame([(k, f"a b c d e f g h {k // 2}", *range(9)) for k in range(6)], f"doc_id long, text string, {', '.join(n + ' int' for n in names)}")
+    out = simhash.similar_groups(df)
+    assert out.columns == ["doc_id", "text", *names[:-1], "component_id", "kept"]
+    assert sorted((r["doc_id"], r["component_id"], r["_uid"], r["_FP"], r["uid"]) for r in out.collect()) == [(k, k // 2 * 2, 3, 1, 5) for k in range(6)]
 
 
 def test_similar_groups_of_a_shared_passage(spark):
@@ -510,8 +549,8 @@ def test_similar_groups_of_a_shared_passage(spark):
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     shared = words(14)
     texts = [" ".join(shared), *(" ".join([*shared, *words(n)]) for n in (1, 2, 3, 9, 12, 20) for _ in range(6))]
-    for large in (simhash.LARGE, 5, 2):
-        similar_to_brute_force(spark, texts, large)
+    for most in ((simhash.ROWS, simhash.SHINGLES), (5, 100), (2, 30)):
+        similar_to_brute_force(spark, texts, most)
 
 
 def test_similar_groups_leave_texts_below_the_similarity(spark):
