@@ -5,7 +5,8 @@ source is added, and a document is emitted once for each whole number its interv
 has been taken then never strays from what was expected by more than the largest document.
 
 A source may hold any share of the rows, so its documents are never ranked in one window. Ranks come from three levels: the
-sizes of a source, SPREAD buckets of each size, and the rows of one bucket.
+sizes of a source, SPREAD buckets of each size, and the rows of one bucket. Sources may be many, such as hosts: their running sums are
+taken by ranges.
 """
 
 from __future__ import annotations
@@ -13,33 +14,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_alike, quoted, stored, without
+from .common import WORD, join_alike, quoted, stored, unused
 
 WEIGHTS = (5, 2, 1)
-#: Buckets into which the documents of one source and size are dealt by their key.
-SPREAD = 1024
+#: Buckets into which the documents of one source and size are dealt by a hash of key and text, as many as three hexadecimal digits give.
+SPREAD = 4096
 SEED = "mix-1"
 
 
+def running(df: DataFrame, order: list, **values) -> DataFrame:
+    """df with a column for each value: its sum over all rows that come before in an order without ties. Ranges of the order are summed each
+    by itself, and then the ranges' totals, of which there are as many as partitions."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_{n}") for n, v in values.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in values])
+    here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({n: F.coalesce(F.sum(v).over(here), F.lit(0)) for n, v in values.items()}).join(F.broadcast(totals), "_part")
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in values])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes: source, source_size, a row for each source. Adds target: `share` of all sizes by weight, each at most `most` times its size.
 
     Resharing the excess until none is above fills all sources to one level per weight; sources stop in the order of
     most * size / weight, so running sums over the sources find which have stopped. Sources take the weights by
-    code point in turn, null last.
+    code point in turn, null last. The result is stored.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_level = Window.orderBy("_level", F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights) + 1
-    df = sizes.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn))
-    df = df.withColumn("_cap", most * F.col("source_size")).withColumn("_level", F.col("_cap") / F.col("_weight"))
-    every = Window.partitionBy()
-    df = df.withColumn("_left", share * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    df = df.withColumn("_rest", F.sum("_weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
+    by_name = F.col("source").asc_nulls_last()
+    df = running(sizes, [by_name], _turn=F.lit(1))
+    df = df.withColumn("_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_turn") % len(weights) + 1).cast("int")))
+    df = df.withColumn("_cap", most * F.col("source_size")).withColumn("_level", F.col("_cap") / F.col("_weight")).drop("_turn")
+    df = stored(running(df, [F.col("_level"), by_name], _filled=F.col("_cap"), _passed=F.col("_weight")))
+    size, weight = df.agg(F.sum("source_size"), F.sum("_weight")).first()
     # a source is still below its cap if what is left, dealt by weight among it and the later ones, doesn't reach it
-    df = df.withColumn("_open", F.col("_left") / F.col("_rest") < F.col("_level"))
-    df = df.withColumn("_fill", F.min(F.when(F.col("_open"), F.struct("_level", (F.col("_left") / F.col("_rest")).alias("at")))).over(every)["at"])
-    return df.select("source", "source_size", F.when(F.col("_open"), F.least("_cap", F.col("_fill") * F.col("_weight"))).otherwise(F.col("_cap")).alias("target"))
+    left = F.lit(share * (size or 0)) - F.col("_filled")
+    at = left / (F.lit(float(weight or 0)) - F.col("_passed"))
+    first = df.where(at < F.col("_level")).agg(F.min(F.struct("_level", at.alias("at")))["at"]).first()[0]
+    full = F.col("_cap")
+    target = full if first is None else F.when(at < F.col("_level"), F.least(full, F.lit(first) * F.col("_weight"))).otherwise(full)
+    return df.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def offset(source) -> F.Column:
@@ -50,11 +65,13 @@ def offset(source) -> F.Column:
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A row per document: key, source, size, source_size, target, copies, taken.
 
-    Null texts have size 0; null sources are one source, last; null keys go first; rows alike in source, size and key are interchangeable.
-    Documents without words are emitted like others, and take no words. An empty table gives an empty one.
+    key may be of any type that sorts. Null texts have size 0; null sources are one source, last; rows alike in source, size, key and text are
+    interchangeable. Documents without words are emitted like others, and take no words. Very long texts are measured whole. An
+    empty table gives an empty one. Columns besides the three named are not looked at.
     """
-    rows = df.select(quoted(key).alias("key"), quoted(source).cast("string").alias("source"), F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = stored(rows.withColumn("bucket", F.coalesce(F.pmod(F.col("key"), F.lit(SPREAD)), F.lit(-1))))
+    id_, body = quoted(key), quoted(text).cast("string")
+    rows = df.select(id_.alias("key"), quoted(source).cast("string").alias("source"), F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("/"), F.coalesce(body, F.lit(""))).cast("binary")), 1, 3).alias("bucket"))
+    rows = stored(rows)
     cells = stored(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
     steps = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sums = targets(steps.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
@@ -74,29 +91,29 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 
 def emitted(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: df's rows, each as often as the mix takes it.
+    """The mix itself: df's rows, all columns, each as often as the mix takes it; see mix() for nulls, ties and long texts.
 
     A row is found again by its key, source and size, and, where several rows share those, by its turn among them; such rows may
-    trade their copies, which changes no source's total.
+    trade their copies, which changes no source's total. An empty table gives an empty one.
     """
-    base = without(df, "_key", "_copies", "_turn", "_source", "_size")
-    taken = mix(base, key, text, source).select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    names = key_, source_, size_, turn_, copies_ = unused(df, "_key", "_source", "_size", "_turn", "_copies")
+    taken = mix(df, key, text, source).select(F.col("key").alias(key_), F.col("source").alias(source_), F.col("size").alias(size_), F.col("copies").alias(copies_))
     taken = stored(taken)
-    names = ["_key", "_source", "_size"]
-    size = F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = base.withColumns({"_key": quoted(key), "_source": quoted(source).cast("string"), "_size": size})
-    if not taken.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        turn = Window.partitionBy(*names)
-        taken = taken.withColumn("_turn", F.row_number().over(turn.orderBy("copies")))
-        rows = rows.withColumn("_turn", F.row_number().over(turn.orderBy(F.xxhash64(quoted(text)))))
-        names = [*names, "_turn"]
+    on = list(names[:3])
+    size = F.coalesce(F.regexp_count(quoted(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = df.withColumns({key_: quoted(key), source_: quoted(source).cast("string"), size_: size})
+    if not taken.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        turn = Window.partitionBy(*on)
+        taken = taken.withColumn(turn_, F.row_number().over(turn.orderBy(copies_)))
+        rows = rows.withColumn(turn_, F.row_number().over(turn.orderBy(F.xxhash64(quoted(text)))))
+        on = [*on, turn_]
     # by sorting, also where taken would fit a broadcast: then disk and time grow alike at every size
-    out = join_alike(rows, taken.where("copies > 0").hint("merge"), names)
-    return out.withColumn("_copies", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*[quoted(c) for c in base.columns])
+    out = join_alike(rows, taken.where(F.col(copies_) > 0).hint("merge"), on)
+    return out.withColumn(copies_, F.explode(F.expr(f"sequence(1, cast(`{copies_}` as int))"))).select(*[quoted(c) for c in df.columns])
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS level FROM w),
@@ -105,7 +122,7 @@ r AS (SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(ca
 f AS (SELECT min_by(rest / weights, level) AS fill FROM r WHERE rest / weights < level),
 t AS (SELECT source, source_size, CASE WHEN rest / weights < level THEN least(cap, (SELECT fill FROM f) * weight) ELSE cap END AS target FROM r),
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, coalesce(((d.doc_id % 1024) + 1024) % 1024, -1), d.doc_id)::DOUBLE AS place,
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || '/' || coalesce(d.text, '')), 1, 3), d.doc_id)::DOUBLE AS place,
   ('0x' || substr(md5('mix-1' || coalesce(d.source, chr(0))), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(least(floor(start + place * rate) - floor(start + (place - 1) * rate), 2) AS BIGINT) * size AS taken FROM k

@@ -893,11 +893,35 @@ def test_mix(spark, odd, none, docs):
         assert all(r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2 for r in got)
         assert sorted(map(str, mixing.mix(df.repartition(7)).collect())) == sorted(map(str, got))
         taken = sum(r["copies"] for r in got)
-        assert mixing.emitted(df.withColumn("_copies", F.lit(9))).count() == taken
+        extra = df.withColumns({"_copies": F.lit(9), "_SIZE": F.lit(8), "_key": F.lit(7), "key": F.lit("k")})
+        out = mixing.emitted(extra)
+        assert out.columns == extra.columns and out.count() == taken and {(r[0], r[1], r[2]) for r in out.select("_copies", "_SIZE", "_key").collect()} == {(9, 8, 7)}
         assert mixing.emitted(df).columns == df.columns
+        named = mixing.mix(df.withColumn("doc_id", F.concat(F.lit("k"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))).collect()
+        assert len(named) == len(got) and all(r["key"].startswith("k") for r in named)
     assert mixing.mix(none).count() == 0 and mixing.emitted(none).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(18)
+    sizes = {f"host{rng.randrange(10**6)}": rng.choice([0, 1, 3, 10, 500, 90_000]) + rng.randrange(50) for _ in range(400)} | {None: 77}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(6)
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    want = shares(sizes)
+    assert got.keys() == sizes.keys() and all(got[s] == pytest.approx(want[s]) for s in sizes)
+    one = {"only": 5}
+    assert mixing.targets(spark.createDataFrame(list(one.items()), "source string, source_size long")).first()["target"] == pytest.approx(shares(one)["only"])
+
+
+def test_mix_deals_keys_that_step(spark):
+    # keys by thousands, and none: no bucket holds more than a few of the documents of one source and size
+    df = spark.createDataFrame([(k * 4096 if k % 2 else None, f"w{k} x", None, "a", 0) for k in range(4000)], DOCS)
+    buckets = df.select(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), "text").cast("binary")), 1, 3).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert buckets < 12
+    got = mixing.mix(df).collect()
+    assert abs(sum(r["taken"] for r in got) - 1.5 * 8000) <= 2
+
+
 # ---- 8 BPE
 
 
