@@ -209,11 +209,13 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words
     An empty table gives an empty one. Columns called fp or component_id give way.
     """
     prints = stored(fingerprints(without(df, "fp", "component_id"), text, "fp", words))
-    nodes = stored(prints.groupBy("fp").agg(F.min(quoted(key)).alias("_least")))
-    roots = components(links(nodes.select("fp"), bits, leaf)).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
-    named = nodes.join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return prints.join(named.join(least, "_root").select("fp", "component_id"), "fp")
+    nodes = stored(prints.groupBy("fp").agg(F.min(quoted(key)).alias("least")))
+    found = components(links(nodes.select("fp"), bits, leaf))
+    named = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(named.join(least, "root").select("fp", "component_id"))
+    forget(nodes, found)
+    return prints.join(named, "fp")
 
 
 # ---- lower similarities
@@ -224,6 +226,8 @@ ROWS, SHINGLES = 1000, 1 << 20
 LEADERS = 16
 #: Shingles put last in prefixes, at most; counters in a histogram.
 HOT, COUNTERS = 100_000, 128
+#: What orders shingles differently.
+ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -245,6 +249,15 @@ def histogram(known: np.ndarray) -> bytes:
     return np.minimum(np.bincount((known >> np.uint64(32)).astype(np.int64) % COUNTERS, minlength=COUNTERS), 255).astype(np.uint8).tobytes()
 
 
+def least_of(known: np.ndarray) -> np.ndarray:
+    """A set's least shingle in each of a few orders, told apart by the order's number."""
+    out = np.empty(len(ORDERS) if len(known) else 0, np.uint64)
+    for k in range(len(out)):
+        x = known * ORDERS[k]
+        out[k] = (x ^ (x >> np.uint64(31))).min() // np.uint64(len(ORDERS)) * np.uint64(len(ORDERS)) + np.uint64(k)
+    return out
+
+
 def connected(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest of n rows; near(i, rest) tells which of the rows in rest are linked to row i.
 
@@ -327,62 +340,103 @@ def shared_prefixes(spots: DataFrame) -> DataFrame:
     return spots.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def in_groups(rows: DataFrame, nearness: Callable[[list[tuple]], Callable[[int, np.ndarray], np.ndarray]], payload: list[str], most: int, leaders: int = LEADERS) -> DataFrame:
-    """(uid, root): what links between rows of one group connect; root is a uid, rows without a link may be missing.
+Nearness = Callable[[list[tuple]], Callable[[int, np.ndarray], np.ndarray]]
+
+
+def _linked(held: list[tuple], found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+    at = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([held[p[i]][0] for p in at], pa.int64()) for i in (0, 1)], ["a", "b"])
+
 
-    rows: g (the group), uid, w (a row's weight) and payload columns, of which nearness makes the near() of connected(). A group that weighs more
-    than `most` is dealt in blocks of rows at random, all of which have a few leaders in common. Where most rows of a group
-    are linked that connects them. Whatever it leaves apart from a group's largest part is then compared with the whole group, block by
-    block, so nothing is missed, and no task holds more than two blocks.
+def _parts(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def first_links(rows: DataFrame, large: DataFrame, nearness: Nearness, payload: list[str], leaders: int = LEADERS) -> DataFrame:
+    """Links (a, b) that connect what links within a group connect, but for large groups: these are dealt in blocks of rows at random, all
+    of which have a few leaders in common. Where most rows of such a group are linked that connects them.
+
+    rows: g (the group), uid and payload columns, of which nearness makes the near() of connected(). large: g, n (rows) and blocks.
     """
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    large = rows.groupBy("g").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") > most)
-    large = stored(large.select("g", F.ceil(F.col("all") / most).cast("int").alias("blocks"), (leaders / F.col("n")).alias("share")))
-    random = lambda seed: (F.xxhash64("uid", F.lit(seed)).cast("double") / float(1 << 64)) + 0.5
-    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    random = (F.xxhash64("uid", F.lit(1)).cast("double") / float(1 << 64)) + 0.5
+    own = F.array(F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    each = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(random < leaders / F.col("n"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_key(batches, ["g", "block"]):
-            yield pairs(held, connected(len(held), nearness([x[1:] for x in held])))
+            if len(held) > 1:
+                yield _linked(held, connected(len(held), nearness([x[1:] for x in held])))
 
-    def pairs(held: list[tuple], found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
-        at = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([held[p[i]][0] for p in at], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    each = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(random(1) < F.col("share"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
     dealt = rows.join(large, "g", "left").select("g", F.explode(each).alias("block"), "uid", *payload)
-    first = stored(dealt.repartition(parts, "g", "block").sortWithinPartitions("g", "block", "uid").mapInArrow(linked, "a long, b long").distinct())
-    roots = components(first).select(F.col("node").alias("uid"), "root")
-    if not large.isEmpty():
-        roots = stored(roots)
-        named = rows.select("g", "uid", "w").join(large.select("g", "blocks"), "g").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        named = stored(named)
-        labels = named.groupBy("g", "root").agg(F.sum("w").alias("w"))
-        spread = labels.groupBy("g").agg(F.max_by("root", F.struct("w", "root")).alias("main"), F.count(F.lit(1)).alias("k"), (F.sum("w") - F.max("w")).alias("left")).where("k > 1")
-        spread = stored(spread.select("g", "main", F.ceil(F.col("left") / most).cast("int").alias("asks")))
-        if not spread.isEmpty():
-            both = named.join(spread, "g")
-            asked = both.where("root <> main").select("g", "uid", "root", F.lit(True).alias("asked"), F.pmod(F.xxhash64("uid"), F.col("asks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-            others = both.select("g", "uid", "root", F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"), block.alias("j"))
-            met = asked.unionByName(others).join(rows.select("g", "uid", *payload), ["g", "uid"]).select("g", "i", "j", "uid", "asked", "root", *payload)
-
-            def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for _, held in by_key(batches, ["g", "i", "j"]):
-                    ask = np.array([x[1] for x in held])
-                    label = np.unique(np.array([x[2] for x in held]), return_inverse=True)[1]
-                    yield pairs(held, crossing(np.flatnonzero(ask), np.flatnonzero(~ask), label, nearness([x[3:] for x in held])))
-
-            more = stored(met.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "uid").mapInArrow(crossed, "a long, b long").distinct())
-            forget(roots)
-            roots = components(first.unionByName(more)).select(F.col("node").alias("uid"), "root")
-            roots = stored(roots)
-            forget(more)
+    return dealt.repartition(_parts(rows), "g", "block").sortWithinPartitions("g", "block", "uid").mapInArrow(linked, "a long, b long").distinct()
+
+
+def missing_links(rows: DataFrame, values: DataFrame, roots: DataFrame, nearness: Nearness, payload: list[str], most: int) -> DataFrame | None:
+    """Links (a, b) that, with those that gave roots (uid, root), connect all that links within a group connect; None if there is nothing to compare.
+
+    rows: g, uid; values: uid, w (a row's weight) and payload columns. Groups that roots connect already drop out before any payload is fetched. Of
+    the others all rows but those of the group's largest part are compared with the whole group, block by block, so no task holds more than two
+    blocks, of weight `most`.
+    """
+    named = rows.join(roots, "uid", "left").select("g", "uid", F.coalesce("root", "uid").alias("root"))
+    wide = named.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+    named = stored(named.join(wide, "g", "left_semi").join(values.select("uid", "w"), "uid"))
+    labels = named.groupBy("g", "root").agg(F.sum("w").alias("w"))
+    spread = labels.groupBy("g").agg(F.max_by("root", F.struct("w", "root")).alias("main"), F.sum("w").alias("all"), F.max("w").alias("most"))
+    spread = stored(spread.select("g", "main", F.ceil(F.col("all") / most).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / most).cast("int").alias("asks")))
+    if spread.isEmpty():
         forget(named, spread)
-    forget(first, large)
+        return None
+    both = named.join(spread, "g")
+    place = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    asked = both.where("root <> main").select("g", "uid", "root", F.lit(True).alias("asked"), place("asks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    others = both.select("g", "uid", "root", F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"), place("blocks").alias("j"))
+    met = asked.unionByName(others).join(values.select("uid", *payload), "uid").select("g", "i", "j", "uid", "asked", "root", *payload)
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in by_key(batches, ["g", "i", "j"]):
+            ask = np.array([x[1] for x in held])
+            label = np.unique(np.array([x[2] for x in held]), return_inverse=True)[1]
+            yield _linked(held, crossing(np.flatnonzero(ask), np.flatnonzero(~ask), label, nearness([x[3:] for x in held])))
+
+    found = stored(met.repartition(_parts(rows), "g", "i", "j").sortWithinPartitions("g", "i", "j", "uid").mapInArrow(crossed, "a long, b long").distinct())
+    forget(named, spread)
+    return found
+
+
+def in_groups(groups: DataFrame, values: DataFrame, nearness: Nearness, payload: list[str], most: int, *, leaders: int = LEADERS, wanted: DataFrame | None = None) -> DataFrame:
+    """(uid, root): what links between rows of one group connect; root is a uid, rows without a link may be missing.
+
+    groups: g, uid; values: uid, w and payload, once for each uid. Groups that weigh more than `most` go out in blocks first, and what that leaves
+    apart is compared then, so no link is missed, and no task holds more than two blocks. wanted: further groups, of which only
+    what the others don't connect is compared.
+    """
+    large = groups.join(values.select("uid", "w"), "uid").groupBy("g").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") > most)
+    large = stored(large.select("g", "n", F.ceil(F.col("all") / most).cast("int").alias("blocks")))
+    links = stored(first_links(groups.join(values.select("uid", *payload), "uid"), large, nearness, payload, leaders))
+    roots = rooted(links)
+    todo = [] if large.isEmpty() else [groups.join(large.select("g"), "g", "left_semi")]
+    if wanted is not None:
+        todo.append(wanted)
+    for rows in todo:
+        more = missing_links(rows, values, roots, nearness, payload, most)
+        if more is not None:
+            after = stored(links.unionByName(more))
+            forget(links, roots, more)
+            links = after
+            roots = rooted(links)
+    forget(links, large)
     return roots
 
 
+def rooted(links: DataFrame) -> DataFrame:
+    """(uid, root) of links, stored."""
+    found = components(links)
+    out = stored(found.select(F.col("node").alias("uid"), "root"))
+    forget(found)
+    return out
+
+
 def frequent(counts: DataFrame, most: int) -> np.ndarray:
     """The shingles that stand in the most prefixes, at most `most` of them, sorted. Where to stop is read off a histogram, so no more reach the driver."""
     level = F.floor(8 * F.log2("n")).cast("int")
@@ -422,36 +476,38 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
             yield pa.StructArray.from_arrays([pa.array(fps, pa.binary()), longs(firsts)], ["fp", "p"])
 
     base = without(df, "component_id", "kept")
-    s_, fp_, p_, uid_, best_ = unused(base, "_s", "_fp", "_p", "_uid", "_best")
-    rows = base.withColumn(s_, sketched(quoted(text).cast("string"))).withColumns({fp_: F.col(s_)["fp"], p_: F.col(s_)["p"]})
-    rows = stored(rows.drop(s_).withColumn(uid_, F.monotonically_increasing_id()))
-    first = F.struct(quoted(key).isNull().alias("none"), quoted(key).alias("key"), F.col(uid_).alias("uid"))
-    nodes = stored(rows.groupBy(F.col(fp_).alias("fp")).agg(F.min(first).alias("_first"))).withColumn("uid", F.col("_first.uid"))
+    uid_, best_ = unused(base, "_uid", "_best")
+    rows = stored(base.withColumn(uid_, F.monotonically_increasing_id()))
     texts = rows.select(F.col(uid_).alias("uid"), quoted(text).cast("string").alias("t"))
+    prints = stored(rows.select(F.col(uid_).alias("uid"), quoted(key).alias("key"), sketched(quoted(text).cast("string")).alias("s")).select("uid", "key", "s.fp", "s.p"))
+    first = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("uid").alias("uid"))
+    nodes = stored(prints.groupBy("fp").agg(F.min(first).alias("_first")).withColumn("uid", F.col("_first.uid")))
 
     # a node that shares no shingle of its prefix is alone; of the others, frequent shingles go to the prefix's end
-    spots = rows.select(F.col(uid_).alias("uid"), F.col(p_).alias("p")).join(nodes.select("uid"), "uid", "left_semi").select("uid", F.explode("p").alias("s"))
+    spots = prints.select("uid", "p").join(nodes.select("uid"), "uid", "left_semi").select("uid", F.explode("p").alias("s"))
     counts = stored(shared_prefixes(spots))
     near = spots.join(counts, "s", "left_semi").select("uid").distinct()
     sent = sc.broadcast(frequent(counts, HOT))
 
-    @F.arrow_udf("struct<p:array<long>,size:long,counts:binary>")
+    @F.arrow_udf("struct<p:array<long>,least:array<long>,size:long,counts:binary>")
     def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sets = [hashed(t.as_py()) for t in batch]
-            firsts = longs([prefix(s, similarity, sent.value) for s in sets])
-            yield pa.StructArray.from_arrays([firsts, pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())], ["p", "size", "counts"])
+            firsts, least = longs([prefix(s, similarity, sent.value) for s in sets]), longs([least_of(s) for s in sets])
+            sizes, found = pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())
+            yield pa.StructArray.from_arrays([firsts, least, sizes, found], ["p", "least", "size", "counts"])
 
-    some = stored(texts.join(near, "uid").withColumn("d", described("t")).select("uid", "d.*"))
-    spots = some.select("uid", F.explode("p").alias("s"))
-    met = spots.join(shared_prefixes(spots).select("s"), "s", "left_semi").select(F.col("s").alias("g"), "uid")
-    met = met.join(some.select("uid", "size", "counts"), "uid").withColumn("w", F.lit(1))
+    some = stored(texts.join(near, "uid").withColumn("d", described("t")).select("uid", F.lit(1).alias("w"), "d.*"))
 
     def by_histograms(held: list[tuple]):
         sizes, found = zip(*held, strict=True)
         return may_be_near(np.array(sizes), np.frombuffer(b"".join(found), np.uint8).reshape(len(held), -1), similarity)
 
-    maybe = stored(in_groups(met, by_histograms, ["size", "counts"], most[0]))
+    # most that may be alike share the least shingle in one of a few orders; what these leave apart must share one of the prefix
+    few = some.select(F.explode("least").alias("g"), "uid")
+    spots = some.select(F.explode("p").alias("s"), "uid")
+    wanted = spots.join(shared_prefixes(spots).select("s"), "s", "left_semi").select(F.col("s").alias("g"), "uid")
+    maybe = in_groups(few, some.select("uid", "w", "size", "counts"), by_histograms, ["size", "counts"], most[0], wanted=wanted)
 
     # of what may be alike, the shingles themselves decide
     @F.arrow_udf("binary")
@@ -459,12 +515,12 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
         for batch in batches:
             yield pa.array([hashed(t.as_py()).tobytes() for t in batch], pa.binary())
 
-    held = maybe.join(some.select("uid", F.col("size").alias("w")), "uid").join(texts, "uid").select(F.col("root").alias("g"), "uid", "w", known("t").alias("known"))
-    roots = in_groups(held, lambda x: is_near([np.frombuffer(k, np.uint64) for (k,) in x], similarity), ["known"], most[1])
+    values = some.select("uid", F.col("size").alias("w")).join(maybe.select("uid"), "uid", "left_semi").join(texts, "uid").select("uid", "w", known("t").alias("known"))
+    roots = in_groups(maybe.select(F.col("root").alias("g"), "uid"), values, lambda x: is_near([np.frombuffer(k, np.uint64) for (k,) in x], similarity), ["known"], most[1])
     named = stored(nodes.join(roots, "uid", "left").select("fp", "_first", F.coalesce("root", "uid").alias("_root")))
-    forget(counts, some, maybe)
-    least = named.groupBy("_root").agg(F.min("_first").alias(best_))
-    found = named.join(least, "_root").select(F.col("fp").alias(fp_), best_)
-    # by sorting, also where found would fit a broadcast: then disk and time grow alike at every size
-    out = rows.drop(p_).join(found.hint("merge"), fp_).withColumns({"component_id": F.col(best_)["key"], "kept": F.col(uid_) == F.col(best_)["uid"]})
-    return out.drop(fp_, uid_, best_)
+    least = named.groupBy("_root").agg(F.min("_first").alias("best"))
+    best = stored(prints.select("uid", "fp").join(named.join(least, "_root").select("fp", "best"), "fp").select(F.col("uid").alias(uid_), F.col("best").alias(best_)))
+    forget(prints, nodes, counts, some, maybe, roots, named)
+    # by sorting, also where best would fit a broadcast: then disk and time grow alike at every size
+    out = rows.join(best.hint("merge"), uid_).withColumns({"component_id": F.col(best_)["key"], "kept": F.col(uid_) == F.col(best_)["uid"]})
+    return out.drop(uid_, best_)

@@ -511,7 +511,8 @@ def test_large_groups_lose_no_link(spark):
     rng = random.Random(41)
     points = [rng.uniform(0, 400) for _ in range(700)]
     groups = [(g, k) for g in range(3) for k in range(len(points)) if k % 3 != g]
-    df = spark.createDataFrame([(g, k, 1, points[k]) for g, k in groups], "g long, uid long, w int, x double")
+    df = spark.createDataFrame(groups, "g long, uid long")
+    values = spark.createDataFrame([(k, 1, x) for k, x in enumerate(points)], "uid long, w int, x double")
 
     def nearness(held):
         x = np.array([v for (v,) in held])
@@ -524,8 +525,9 @@ def test_large_groups_lose_no_link(spark):
             if points[b] - points[a] <= 1:
                 a, b = sorted((up[a], up[b]))
                 up = [a if y == b else y for y in up]
-    for most, leaders in ((10_000, 16), (60, 16), (25, 2), (25, 0)):
-        got = {r["uid"]: r["root"] for r in simhash.in_groups(df, nearness, ["x"], most, leaders).collect()}
+    one, rest = df.where("g = 0"), df.where("g > 0")
+    for most, leaders, first, wanted in ((10_000, 16, df, None), (60, 16, df, None), (25, 2, df, None), (25, 0, df, None), (60, 16, one, rest), (10_000, 16, one, rest)):
+        got = {r["uid"]: r["root"] for r in simhash.in_groups(first, values, nearness, ["x"], most, leaders=leaders, wanted=wanted).collect()}
         assert [got.get(k, k) for k in range(len(points))] == up
 
 
