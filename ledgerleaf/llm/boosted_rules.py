@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import quoted, small_batches, without
+from .common import quoted, small_batches, unused, without
 
 #: Labelled documents of each class that a model is fitted on, at most.
 PER_CLASS = 4000
@@ -193,7 +193,8 @@ def judge(df: DataFrame, trees: Trees | None, text: str = "text", threshold: flo
     """Adds the base counts, base_failed, score and kept; columns of these names give way.
 
     base_failed: under 10 words, or over a fifth of the words in repeated windows. kept: not failed, and a score of threshold or more;
-    without a model every document that hasn't failed is kept. Null and empty texts fail.
+    without a model every document that hasn't failed is kept, and a score of exactly the threshold is enough. Null and empty texts fail. Texts alike are
+    judged alike, so rows repeated are. Very long texts are measured whole. An empty table gives an empty one; other columns stay.
     """
     sent = df.sparkSession.sparkContext.broadcast(trees)
 
@@ -204,8 +205,10 @@ def judge(df: DataFrame, trees: Trees | None, text: str = "text", threshold: flo
             x = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             yield pa.array(model.score(x) if model is not None else np.ones(len(x)), pa.float64())
 
-    df = measured(without(df, *BASE, "base_failed", "score", "kept", "_stats"), text, "_stats")
-    df = df.withColumn("score", scored(F.col("_stats.features")))
-    df = df.withColumns({c: F.col(f"_stats.{c}") for c in BASE}).drop("_stats")
+    df = without(df, *BASE, "base_failed", "score", "kept")
+    stats, = unused(df, "_stats")
+    df = measured(df, text, stats)
+    df = df.withColumn("score", scored(F.col(stats)["features"]))
+    df = df.withColumns({c: F.col(stats)[c] for c in BASE}).drop(stats)
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches, without
+from .common import quoted, small_batches, unused, without
 
 #: Children of a node of the segment tree, whose minimum is one built-in call.
 FAN = 8
@@ -166,7 +166,11 @@ def load(path: str) -> str:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the array of token ids of each whole text. Null and empty texts give an empty array; a column called ids gives way."""
+    """Adds the array of token ids of each whole text, of any length.
+
+    Null and empty texts give an empty array; texts alike give the same. Of pairs of one rank the leftmost merges first. An empty table gives an empty
+    one. A column called ids gives way, others stay.
+    """
     small_batches(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(load(path))
 
@@ -182,7 +186,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of each array of ids, as the library's decode does: unknown and null ids are left out, null gives ''."""
+    """Adds the text of each array of ids, as the library's decode does: unknown and null ids are left out, null and empty arrays give ''.
+
+    Rows repeated give the same, an empty table an empty one. A column called like the new one gives way, others stay.
+    """
     small_batches(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(load(path))
 
@@ -196,7 +203,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """encode() and decode() of what it gives, in one Python worker for each task instead of two."""
+    """encode() and decode() of what it gives, in one Python worker for each task instead of two; what they say of odd rows holds."""
     small_batches(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(load(path))
 
@@ -209,5 +216,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", o
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.StructArray.from_arrays([found, pa.array([bpe.decode(array("i", p)) for p in parts], pa.string())], ["ids", "decoded"])
 
-    df = without(df, ids, out, "_coded").withColumn("_coded", coded(quoted(text).cast("string")))
-    return df.withColumn(ids, F.col("_coded.ids")).withColumn(out, F.col("_coded.decoded")).drop("_coded")
+    df = without(df, ids, out)
+    both, = unused(df, "_coded")
+    df = df.withColumn(both, coded(quoted(text).cast("string")))
+    return df.withColumns({ids: F.col(both)["ids"], out: F.col(both)["decoded"]}).drop(both)

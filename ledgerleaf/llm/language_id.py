@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, quoted, small_batches, without
+from .common import by_bytes, quoted, small_batches, unused, without
 from .labelled import fold, pieces
 
 SPAN = 64
@@ -256,5 +256,7 @@ def identify(df: DataFrame, net: Net | None, text: str = "text", label: str = "l
             labels, scores = predict(model, batch.to_pylist()) if model else ([UNKNOWN] * len(batch), [0.0] * len(batch))
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["label", "score"])
 
-    df = without(df, label, score, "_named").withColumn("_named", named(quoted(text).cast("string")))
-    return df.withColumn(label, F.col("_named.label")).withColumn(score, F.col("_named.score")).drop("_named")
+    df = without(df, label, score)
+    both, = unused(df, "_named")
+    df = df.withColumn(both, named(quoted(text).cast("string")))
+    return df.withColumns({label: F.col(both)["label"], score: F.col(both)["score"]}).drop(both)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches, stored, without
+from .common import forget, quoted, small_batches, stored, unused, without
 from .components import components
 from .simhash import Forest
 
@@ -145,15 +145,17 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     n_links: other rows of the same label and dimension found at a cosine of `least` or more; component_id: the least key that links reach,
     the row's own included; kept: the row's key is that one. Rows whose label is null, and vectors that are null, empty, zero or hold a
     null or non-finite number, have no links. Rows alike in label and vector are linked with one another, and are one
-    node. Columns called like the new ones give way; an empty table gives an empty one.
+    node; of rows with one key all are kept or none. key may be of any type that sorts. Columns called like the new ones give way, others stay; an
+    empty table gives an empty one. Vectors of any length go through the same number of tables.
     """
     spark = df.sparkSession
     small_batches(spark)
-    base = without(df, "n_links", "component_id", "kept", "_v", "_uid", "_n")
+    base = without(df, "n_links", "component_id", "kept")
+    v_, v2_, label_, links_, component_ = unused(base, "_v", "_v2", "_label", "_links", "_component")
     v = quoted(vector).cast("array<double>")
     usable = quoted(label).isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = base.withColumn("_v", F.when(usable, v))
-    nodes = rows.where("_v is not null").groupBy(quoted(label).alias("_label"), "_v").agg(F.min(quoted(key)).alias("_least"), F.count(F.lit(1)).alias("_w"))
+    rows = base.withColumn(v_, F.when(usable, v))
+    nodes = rows.where(F.col(v_).isNotNull()).groupBy(quoted(label).alias("_label"), F.col(v_).alias("_v")).agg(F.min(quoted(key)).alias("_least"), F.count(F.lit(1)).alias("_w"))
     nodes = stored(nodes.withColumn("_uid", F.monotonically_increasing_id()))
 
     @F.arrow_udf("struct<unit:binary,cells:binary>")
@@ -221,11 +223,25 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
             yield out
 
     found = stored(met.mapInArrow(linked, "_uid long, _links long, _to long"))
+    forget(coded, spots)
     roots_ = components(found.where("_to is not null").select(F.col("_uid").alias("a"), F.col("_to").alias("b"))).withColumnsRenamed({"node": "_uid", "root": "_root"})
     counts = found.groupBy("_uid").agg(F.sum("_links").alias("_links"))
     nodes = nodes.join(counts, "_uid", "left").join(roots_, "_uid", "left").withColumn("_root", F.coalesce("_root", "_uid"))
-    least_ = nodes.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    nodes = nodes.join(least_, "_root").select("_label", F.col("_v").alias("_v2"), (F.coalesce("_links", F.lit(0)) + F.col("_w") - 1).alias("n_links"), "component_id")
-    out = rows.join(nodes, (quoted(label) == F.col("_label")) & (F.col("_v") == F.col("_v2")), "left")
-    out = out.withColumns({"n_links": F.coalesce("n_links", F.lit(0)).cast("long"), "component_id": F.coalesce(F.col("component_id"), quoted(key)).cast("long")})
-    return out.withColumn("kept", F.coalesce(quoted(key) == F.col("component_id"), F.lit(False))).drop("_v", "_v2", "_label")
+    least_ = nodes.groupBy("_root").agg(F.min("_least").alias(component_))
+    nodes = nodes.join(least_, "_root").select(F.col("_label").alias(label_), F.col("_v").alias(v2_), (F.coalesce("_links", F.lit(0)) + F.col("_w") - 1).alias(links_), component_)
+    out = rows.join(nodes, (quoted(label) == F.col(label_)) & (F.col(v_) == F.col(v2_)), "left")
+    out = out.withColumns({"n_links": F.coalesce(F.col(links_), F.lit(0)).cast("long"), "component_id": F.coalesce(F.col(component_), quoted(key))})
+    return out.withColumn("kept", F.coalesce(quoted(key) == F.col("component_id"), F.lit(False))).drop(v_, v2_, label_, links_, component_)
+
+
+#: Every pair of a label by brute force; the operator's cells miss few links at this similarity, and none on the tables this is held against.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(coalesce(c.c, e.vec_id) AS BIGINT) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""

@@ -56,7 +56,7 @@ def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    return lattice.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+    return lattice.near_vectors(vectors).select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), "kept")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_boosted_rules": op10_boosted_rules,
 }
 
-SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op7_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op6_lattice_near_dedup": lattice.SQL, "op7_source_mixing": mixing.SQL}

@@ -1105,3 +1105,45 @@ def test_trees_are_monotonic_and_flat():
 
     for row in x[:20]:
         assert trees.score(row[None])[0] == pytest.approx(1 / (1 + math.exp(-sum(walk(r, row) for r in trees.roots))))
+
+
+def test_own_columns_of_an_input_stay(spark, many, tmp_path):
+    """Columns called like an operator's own come back as they were; keys may be texts; repeated rows get the same."""
+    names = ["_named", "_coded", "_stats", "_v", "_v2", "_label", "_uid", "_links", "_component", "_root", "_n", "features"]
+    extra = ", ".join(f"{n} int" for n in names)
+    docs, labels = many
+    df = spark.createDataFrame([(f"k{k // 2}", t, *range(len(names))) for k, t in enumerate(["the house of the town " * 4, "the house of the town " * 4, None, ""])], f"doc_id string, text string, {extra}")
+    path = tokenizer_path()
+    outs = [
+        language_id.identify(df, language_id.fresh(["a"], 4, 1)),
+        bpe.round_trip(df, path),
+        boosted_rules.judge(df, boosted_rules.trained(docs, labels)),
+        lattice.near_vectors(df.withColumn("embedding", F.array(F.lit(1.0), F.length("doc_id") * 1.0)).withColumn("label", F.lit(3)), "doc_id"),
+    ]
+    for out in outs:
+        got = out.collect()
+        assert len(got) == 4 and all([r[n] for n in names] == list(range(len(names))) for r in got)
+        assert len({str(r.asDict()) for r in got if r["text"]}) == 1
+    assert {r["component_id"] for r in outs[-1].collect()} == {"k0"}
+
+
+def test_shared_folder(spark):
+    from ledgerleaf.llm import common
+
+    n = len(common.written(spark))
+    df = common.stored(spark.range(3))
+    assert len(common.written(spark)) == n + 1 and df.count() == 3
+    common.forget(df)
+    assert len(common.written(spark)) == n
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerleaf.llm import common
+
+    nothing = SimpleNamespace(isDefined=lambda: False)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"):
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nothing)))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: ""), sparkContext=context))
