@@ -14,8 +14,8 @@ def resource_uri(path: Column) -> Column:
     return F.concat(F.lit(SCHEME), path)
 
 
-def content_stats(files: DataFrame, path: str, text: str, n_bytes: str, pages: str | None = None) -> DataFrame:
-    """file, size_kb, pages, text_length, is_blank and, for a blank text, the scale at which a picture of it would be taken."""
+def content_stats(files: DataFrame, path: str, text: str, n_bytes: str, pages: str | None = None, *also: str) -> DataFrame:
+    """file, size_kb, pages, text_length, is_blank and, for a blank text, the scale at which a picture of it would be taken; then columns of files."""
     kb = size_kb(F.col(n_bytes))
     return files.select(
         base_name(F.col(path)).alias("file"),
@@ -24,6 +24,7 @@ def content_stats(files: DataFrame, path: str, text: str, n_bytes: str, pages: s
         utf16_length(F.coalesce(F.col(text), F.lit(""))).alias("text_length"),
         is_blank(F.col(text)).alias("is_blank"),
         F.when(is_blank(F.col(text)), raster_scale(kb)).alias("scale"),
+        *also,
     )
 
 

@@ -58,9 +58,9 @@ def field_names(fields: DataFrame) -> DataFrame:
 
 
 def _by_file(fields: DataFrame) -> DataFrame:
-    """A row for each file with the map of its cells."""
+    """A row for each file with the map of its cells. Dealt by file once, which serves both aggregates."""
     pair = F.struct(F.col("field_name").alias("key"), F.col("cell").alias("value"))
-    return extract_long(fields).groupBy("file").agg(F.map_from_entries(F.collect_list(pair)).alias("_cells"))
+    return extract_long(fields.repartition("file")).groupBy("file").agg(F.map_from_entries(F.collect_list(pair)).alias("_cells"))
 
 
 def extract_wide(fields: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -15,20 +15,13 @@ def values(records: DataFrame, key: str, record: str = "record") -> DataFrame:
 
 
 def json_values(records: DataFrame, key: str, json: str = "field_data") -> DataFrame:
-    """The same of JSON objects, whose values keep their kind: string, number, boolean, null, or the JSON of anything else."""
+    """The same of JSON objects, whose values keep their kind: string, number, boolean, null, or the JSON of anything else. Keys keep the order
+    in which the object has them, but for whole numbers, which come first."""
     kind = "case schema_of_variant(v) when 'STRING' then 'string' when 'BOOLEAN' then 'boolean' when 'VOID' then 'null' else case when schema_of_variant(v) rlike '^(OBJECT|ARRAY)' then 'json' else 'number' end end"
-    parsed = records.select(F.col(key).alias("row"), F.expr(f"parse_json(`{json}`)").alias("j"))
-    rows = parsed.selectExpr("row", "explode(transform(map_entries(cast(j as map<string,variant>)), e -> struct(e.key as key, e.value as v))) as e")
-    rows = rows.selectExpr("row", "e.key as key", "e.v as v").selectExpr("row", "key", f"{kind} as value_kind", "case when schema_of_variant(v) rlike '^(OBJECT|ARRAY)' then to_json(v) else cast(v as string) end as value")
-    place = F.row_number().over(_by_row())
-    return rows.select("row", (place - 1).cast("int").alias("ordinal"), F.col("key").alias("field_name"), "value", "value_kind")
-
-
-def _by_row():
-    from pyspark.sql import Window
-
-    number = F.col("key").rlike("^(0|[1-9][0-9]{0,9})$")
-    return Window.partitionBy("row").orderBy(F.when(number, F.col("key").cast("long")).asc_nulls_last(), "key")
+    keys = F.transform(F.array_distinct(F.json_object_keys(json)), lambda k: F.struct(k.alias("key"), k.alias("value")))
+    parsed = records.select(F.col(key).alias("row"), F.expr(f"cast(parse_json(`{json}`) as map<string,variant>)").alias("m"), F.transform(in_key_order(keys), lambda e: e.key).alias("keys"))
+    rows = parsed.select("row", "m", F.posexplode("keys").alias("ordinal", "field_name")).select("row", "ordinal", "field_name", F.element_at("m", F.col("field_name")).alias("v"))
+    return rows.selectExpr("row", "ordinal", "field_name", "case when schema_of_variant(v) rlike '^(OBJECT|ARRAY)' then to_json(v) else cast(v as string) end as value", f"{kind} as value_kind")
 
 
 def new_value(kind: Column = None) -> Column:

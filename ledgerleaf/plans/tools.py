@@ -11,6 +11,7 @@ import os
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,17 +47,12 @@ def _values(spark: SparkSession, field_data: Mapping[str, Any]) -> DataFrame:
     return spark.createDataFrame(rows, "row long, ordinal int, field_name string, value string, value_kind string")
 
 
-def _template(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
-
-
 def fill_pdf(spark: SparkSession, pdf_path: str, output_path: str, field_data: Mapping[str, Any], password: str | None = None) -> DataFrame:
     """Writes one filled form; returns row, n_filled, n_errors, errors."""
     path = files.resolve(pdf_path)
     done = fill.fill(_values(spark, field_data), forms.read_forms(spark, path))
     rows = done.collect()  # one form's fields
-    sinks.put(files.resolve(output_path), pdf.filled(_template(path), {r["field_name"]: r["new_value"] for r in rows if r["status"] == "filled"}))
+    sinks.put(files.resolve(output_path), pdf.filled(files.whole(path), {r["field_name"]: r["new_value"] for r in rows if r["status"] == "filled"}))
     return fill.fill_status(done)
 
 
@@ -66,7 +62,7 @@ def bulk_fill_from_csv(spark: SparkSession, pdf_path: str, csv_path: str, output
     records = csv_text.read(spark, files.resolve(csv_path)).select("row", "record")
     template = forms.read_forms(spark, path)
     names = fill.bulk_fill(records, template, filename_column)
-    written = sinks.write_forms(fill.fill(fill.values(records, "row"), template), names, _template(path), files.resolve(output_directory))
+    written = sinks.write_forms(fill.fill(fill.values(records, "row"), template), names, files.whole(path), files.resolve(output_directory))
     return names.join(written, "filename", "left").orderBy("row")
 
 
@@ -98,8 +94,13 @@ def extract_to_csv(spark: SparkSession, pdf_paths: list[str], output_csv: str) -
     numbered = spark.createDataFrame([(i, p) for i, p in enumerate(base)], "n int, path string")
     held = files.read_bytes(spark, *dict.fromkeys(base)).join(numbered, "path")
     rows = forms.pdf_fields(held.select(F.concat(F.format_string("%08d/", "n"), F.element_at(F.split("path", "/"), -1)).alias("path"), "content"))
-    sinks.write_csv(rows, files.resolve(output_csv))
-    return rows.agg(F.lit(len(pdf_paths)).alias("n_forms"), F.count_distinct("field_name").alias("n_fields"))
+    rows = rows.persist(StorageLevel.DISK_ONLY)  # parsed once for the header, the lines and the count
+    try:
+        sinks.write_csv(rows, files.resolve(output_csv))
+        n = len(fields.header(rows))
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame([(len(pdf_paths), n)], "n_forms int, n_fields long")
 
 
 def validate_pdf(spark: SparkSession, pdf_path: str, password: str | None = None) -> DataFrame:
@@ -110,14 +111,16 @@ def validate_pdf(spark: SparkSession, pdf_path: str, password: str | None = None
 def read_pdf_content(spark: SparkSession, pdf_path: str) -> DataFrame:
     """file, size_kb, pages, text_length, is_blank, scale, text, error. Pages without text are not drawn; see pdf.raster."""
     read = forms.contents(files.read_bytes(spark, files.resolve(pdf_path)))
-    stats = content.content_stats(read, "path", "text", "n_bytes", "pages")
-    return stats.withColumnRenamed("file", "_f").join(read.select(F.element_at(F.split("path", "/"), -1).alias("_f2"), "text", "error"), F.col("_f") == F.col("_f2")).drop("_f2").withColumnRenamed("_f", "file")
+    return content.content_stats(read, "path", "text", "n_bytes", "pages", "text", "error")
 
 
 def get_pdf_resource_uri(spark: SparkSession, pdf_path: str) -> DataFrame:
     """The URI under which read_resource gives a file."""
     path = files.resolve(pdf_path)
-    size = os.stat(path).st_size
+    fs, at = files.store(path)
+    size = fs.get_file_info(at).size
+    if size is None:
+        raise FileNotFoundError(path)
     return spark.range(1).select(content.resource_uri(F.lit(path)).alias("uri"), F.lit(os.path.basename(path)).alias("file"), content.size_kb(F.lit(size)).alias("size_kb"))
 
 
@@ -135,14 +138,19 @@ def read_resource(spark: SparkSession, uri: str) -> DataFrame:
 TOOLS = {f.__name__: f for f in (list_pdfs, read_pdf_fields, fill_pdf, bulk_fill_from_csv, save_profile, load_profile, list_profiles, fill_with_profile, extract_to_csv, validate_pdf, read_pdf_content, get_pdf_resource_uri)}
 
 
-#: What each tool does and takes: name -> description, and for each parameter whether it must be given.
-CATALOGUE = {
-    name: {
-        "description": (inspect.getdoc(f) or "").split("\n")[0],
-        "parameters": {k: {"type": str(p.annotation), "required": p.default is p.empty} for k, p in inspect.signature(f).parameters.items() if k not in ("spark", "root")},
-    }
-    for name, f in TOOLS.items()
-}
+#: The JSON schema of what a parameter takes, by how it is annotated here.
+_SCHEMAS = {"str": {"type": "string"}, "list[str]": {"type": "array", "items": {"type": "string"}}, "Mapping[str, Any]": {"type": "object", "additionalProperties": True}}
+
+
+def _schema(tool: Any) -> dict:
+    """What a tool takes as JSON schema: an object of its parameters, those without a default required."""
+    taken = {k: p for k, p in inspect.signature(tool).parameters.items() if k not in ("spark", "root")}
+    properties = {k: _SCHEMAS[str(p.annotation).removesuffix(" | None")] | {"description": k.replace("_", " ")} for k, p in taken.items()}
+    return {"type": "object", "properties": properties, "required": [k for k, p in taken.items() if p.default is p.empty]}
+
+
+#: What each tool does and takes, by name.
+CATALOGUE = {name: {"name": name, "description": (inspect.getdoc(f) or "").split("\n")[0], "inputSchema": _schema(f)} for name, f in TOOLS.items()}
 
 
 def call(name: str, *args: Any, **kwargs: Any) -> Any:

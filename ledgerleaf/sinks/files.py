@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import posixpath
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,34 +14,52 @@ from pyspark.sql import functions as F
 
 from ..operators.fields import extract_lines, header, header_line
 from ..sources import pdf
-from ..sources.files import PROFILES, inside, profile_path
+from ..sources.files import PROFILES, inside, profile_path, store
+
+
+@contextmanager
+def opened(path: str):
+    """A stream to a new file, which takes its place once it is whole, in any store that Arrow writes."""
+    fs, at = store(path)
+    folder = posixpath.dirname(at)
+    fs.create_dir(folder, recursive=True)
+    part = f"{folder}/.{uuid.uuid4().hex}"
+    try:
+        with fs.open_output_stream(part, compression=None) as f:
+            yield f
+        fs.move(part, at)
+    except BaseException:
+        if fs.get_file_info(part).is_file:
+            fs.delete_file(part)
+        raise
 
 
 def put(path: str, data: bytes) -> None:
-    folder = os.path.dirname(path) or "."
-    os.makedirs(folder, exist_ok=True)
-    handle, part = tempfile.mkstemp(dir=folder)
-    with os.fdopen(handle, "wb") as f:
+    with opened(path) as f:
         f.write(data)
-    os.replace(part, path)
 
 
 def write_csv(fields: DataFrame, path: str) -> int:
     """Writes the extracted table as one file, header first, forms in order of their names; returns how many forms. Lines
-    reach the driver a partition at a time."""
+    reach the driver a partition at a time, as one file has one writer; write_csv_parts() has many."""
     names, n = header(fields), 0
     lines = extract_lines(fields, names).orderBy("file")
-    folder = os.path.dirname(path) or "."
-    handle, part = tempfile.mkstemp(dir=folder)
-    with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
-        f.write(header_line(names))
+    with opened(path) as f:
+        f.write(header_line(names).encode())
         for row in lines.toLocalIterator():
-            f.write("\n" + row["line"])
+            f.write(("\n" + row["line"]).encode("utf-8", "surrogatepass"))
             n += 1
-    os.replace(part, path)
     return n
 
 
+def write_csv_parts(fields: DataFrame, directory: str) -> None:
+    """The same lines as a directory of text files, written by the executors, in no order; the header alone is in one of its own."""
+    names = header(fields)
+    lines = extract_lines(fields, names).select("line")
+    lines.write.mode("overwrite").text(f"{directory.rstrip('/')}/lines")
+    put(f"{directory.rstrip('/')}/header.csv", header_line(names).encode())
+
+
 def write_profile(name: str, field_data: dict, root: str = PROFILES) -> str:
     path = profile_path(name, root)
     put(path, json.dumps(field_data, indent=2, ensure_ascii=False).encode())

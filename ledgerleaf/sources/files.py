@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +18,31 @@ class OutsideRoot(ValueError):
 
 
 def resolve(path: str | None) -> str | None:
-    """~ is the home directory, whatever follows it; relative paths start from the working directory."""
-    if not path:
+    """~ is the home directory, whatever follows it; relative paths start from the working directory. URIs of other stores stay."""
+    if not path or "://" in path:
         return path
     if path.startswith("~"):
         return os.path.normpath(os.path.expanduser("~") + "/" + path[1:])
     return path if os.path.isabs(path) else os.path.abspath(path)
 
 
+def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def whole(path: str) -> bytes:
+    """A file's bytes, on the driver."""
+    fs, at = store(path)
+    with fs.open_input_stream(at, compression=None) as f:
+        return f.read()
+
+
 def inside(root: str, name: str) -> str:
     """root/name, or OutsideRoot."""
+    if "://" in root:
+        scheme, _, rest = root.partition("://")
+        return f"{scheme}://{inside('/' + rest.lstrip('/'), name)[0 if rest.startswith('/') else 1 :]}"
     full = os.path.normpath(os.path.join(root, name))
     if os.path.commonpath([os.path.abspath(root), os.path.abspath(full)]) != os.path.abspath(root):
         raise OutsideRoot(name)
@@ -34,9 +50,14 @@ def inside(root: str, name: str) -> str:
 
 
 def list_directory(spark: SparkSession, directory: str, suffix: str = ".pdf", *, any_case: bool = True) -> DataFrame:
-    """path of each entry, hidden ones and directories included, by suffix. Reads only the driver's listing."""
+    """path of each entry, hidden ones and directories included, by suffix, in any store that Spark reads. Reads only the driver's listing."""
     root = resolve(directory)
-    names = spark.createDataFrame([(n,) for n in os.listdir(root)], "name string")
+    if "://" in root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        found = [x.getPath().getName() for x in path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)]
+    else:
+        found = os.listdir(root)
+    names = spark.createDataFrame([(n,) for n in found], "name string")
     return names.where(has_suffix(F.col("name"), suffix, any_case=any_case)).select(F.concat(F.lit(root.rstrip("/") + "/"), "name").alias("path"))
 
 

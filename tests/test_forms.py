@@ -184,7 +184,10 @@ def test_path_of(spark):
 
 def test_catalogue(spark):
     assert len(tools.CATALOGUE) == 12 and all(t["description"] for t in tools.CATALOGUE.values())
-    assert tools.CATALOGUE["fill_pdf"]["parameters"]["password"]["required"] is False
-    assert tools.CATALOGUE["fill_pdf"]["parameters"]["output_path"]["required"] is True
+    takes = tools.CATALOGUE["fill_pdf"]["inputSchema"]
+    assert takes["required"] == ["pdf_path", "output_path", "field_data"] and list(takes["properties"]) == [*takes["required"], "password"]
+    assert takes["type"] == "object" and takes["properties"]["field_data"]["type"] == "object" and takes["properties"]["password"]["type"] == "string"
+    assert tools.CATALOGUE["extract_to_csv"]["inputSchema"]["properties"]["pdf_paths"] == {"type": "array", "items": {"type": "string"}, "description": "pdf paths"}
+    assert tools.CATALOGUE["list_profiles"]["inputSchema"] == {"type": "object", "properties": {}, "required": []}
     assert tools.respond("nothing") == "Error: Unknown tool: nothing"
     assert tools.respond("validate_pdf", spark, "/no/such.pdf", password="x").startswith("Error: ")
