@@ -7,6 +7,7 @@ cross-reference table does no harm. Encrypted files raise PasswordProtected.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -507,8 +508,17 @@ def made(fields: list[dict], pages: list[str] = ("",), compressed: bool = False)
         del objects[1]["AcroForm"]
     kids = []
     for text in pages:
-        body = b"BT /F1 12 Tf 72 720 Td (%s) Tj ET" % text.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("latin-1")
-        kids.append(new({"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": new(Stream({}, body))}))
+        more = {}
+        if all(c < "\x7f" for c in text):
+            shown_ = b"(%s)" % text.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode()
+        else:  # codes are numbers of the letters in the page, and a map tells which
+            letters = sorted(set(text))
+            shown_ = b"<%s>" % b"".join(b"%04X" % letters.index(c) for c in text)
+            listed = b"\n".join(b"<%04X> <%s>" % (k, c.encode("utf-16-be", "surrogatepass").hex().encode()) for k, c in enumerate(letters))
+            cmap = new(Stream({}, b"1 begincodespacerange <0000> <FFFF> endcodespacerange\n%d beginbfchar\n%s\nendbfchar" % (len(letters), listed)))
+            more = {"Resources": {"Font": {"F1": new({"Type": Name("Font"), "Subtype": Name("Type0"), "Encoding": Name("Identity-H"), "ToUnicode": cmap})}}}
+        body = b"BT /F1 12 Tf 72 720 Td %s Tj ET" % shown_
+        kids.append(new({"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": new(Stream({}, body))} | more))
     objects[2] = {"Type": Name("Pages"), "Count": len(kids), "Kids": kids}
     out, places = bytearray(b"%PDF-1.7\n"), {}
 
@@ -538,19 +548,125 @@ def page_count(data: bytes) -> int:
     return len(Pdf.read(data).pages())
 
 
+# ---- text of pages
+
+# Names of glyphs whose letters no rule gives.
+GLYPHS = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(",
+    "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3",
+    "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">",
+    "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{",
+    "bar": "|", "braceright": "}", "asciitilde": "~", "bullet": "•", "endash": "–", "emdash": "—", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“",
+    "quotedblright": "”", "quotesinglbase": "‚", "quotedblbase": "„", "guillemotleft": "«", "guillemotright": "»", "guilsinglleft": "‹", "guilsinglright": "›",
+    "ellipsis": "…", "dagger": "†", "daggerdbl": "‡", "Euro": "€", "sterling": "£", "yen": "¥", "cent": "¢", "section": "§", "paragraph": "¶", "copyright": "©",
+    "registered": "®", "trademark": "™", "degree": "°", "germandbls": "ß", "AE": "Æ", "ae": "æ", "OE": "Œ", "oe": "œ", "Oslash": "Ø", "oslash": "ø", "Lslash": "Ł",
+    "lslash": "ł", "dotlessi": "ı", "fi": "fi", "fl": "fl", "ff": "ff", "ffi": "ffi", "ffl": "ffl", "exclamdown": "¡", "questiondown": "¿", "minus": "−", "multiply": "×",
+    "divide": "÷", "plusminus": "±", "mu": "µ", "ordfeminine": "ª", "ordmasculine": "º", "nbspace": "\u00a0", "eth": "ð", "Eth": "Ð", "thorn": "þ", "Thorn": "Þ",
+}
+#: What the end of a letter's name puts on it.
+ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde": "\u0303", "dieresis": "\u0308", "ring": "\u030a", "cedilla": "\u0327", "caron": "\u030c", "ogonek": "\u0328", "macron": "\u0304", "breve": "\u0306", "dotaccent": "\u0307", "hungarumlaut": "\u030b"}
+CODECS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}
+
+
+def letters_of(glyph: str) -> str:
+    """What a glyph's name stands for: listed, a single letter, a letter with an accent, or a code; '' if none."""
+    glyph = glyph.split(".")[0]
+    if glyph in GLYPHS or len(glyph) == 1:
+        return GLYPHS.get(glyph, glyph)
+    if glyph[1:] in ACCENTS:
+        return unicodedata.normalize("NFC", glyph[0] + ACCENTS[glyph[1:]])
+    code = re.fullmatch(r"uni((?:[0-9A-F]{4})+)|u([0-9A-F]{4,6})", glyph)
+    if code and code[1]:
+        return bytes.fromhex(code[1]).decode("utf-16-be", "replace")
+    return chr(int(code[2], 16)) if code and int(code[2], 16) < 0x110000 else ""
+
+
+def unicode_map(body: bytes) -> dict[bytes, str]:
+    """The letters of codes, as a ToUnicode map lists them one by one or in ranges."""
+    out: dict[bytes, str] = {}
+    text = lambda x: bytes.fromhex(re.sub(rb"\s", b"", x).decode()).decode("utf-16-be", "replace")
+    raw = lambda x: bytes.fromhex(re.sub(rb"\s", b"", x).decode())
+    for block in re.finditer(rb"beginbfchar(.*?)endbfchar", body, re.S):
+        for code, to in re.findall(rb"<([0-9A-Fa-f\s]+)>\s*<([0-9A-Fa-f\s]*)>", block[1]):
+            out[raw(code)] = text(to)
+    for block in re.finditer(rb"beginbfrange(.*?)endbfrange", body, re.S):
+        for low, high, to, each in re.findall(rb"<([0-9A-Fa-f\s]+)>\s*<([0-9A-Fa-f\s]+)>\s*(?:<([0-9A-Fa-f\s]*)>|\[([^\]]*)\])", block[1]):
+            low, high = raw(low), raw(high)
+            first, n = int.from_bytes(low, "big"), min(int.from_bytes(high, "big") - int.from_bytes(low, "big") + 1, 1 << 16)
+            listed = [text(x) for x in re.findall(rb"<([0-9A-Fa-f\s]*)>", each)] if each else None
+            start = raw(to) if to else b""
+            for k in range(max(0, n)):
+                code = (first + k).to_bytes(len(low), "big")
+                if listed is not None:
+                    out[code] = listed[k] if k < len(listed) else ""
+                elif start:
+                    out[code] = start[:-2].decode("utf-16-be", "replace") + chr(int.from_bytes(start[-2:], "big") + k) if len(start) <= 2 else (int.from_bytes(start, "big") + k).to_bytes(len(start), "big").decode("utf-16-be", "replace")
+    return out
+
+
+class Font:
+    """How a font's codes read: by its ToUnicode map, else by its encoding and what differs from that."""
+
+    def __init__(self, pdf: Pdf, node: dict):
+        self.wide = pdf.get(node.get("Subtype")) == "Type0"
+        given = pdf.get(node.get("ToUnicode"))
+        self.map = unicode_map(pdf.decoded(given)) if isinstance(given, Stream) else {}
+        self.sizes = sorted({len(x) for x in self.map} | {2 if self.wide else 1}, reverse=True)
+        encoding = pdf.get(node.get("Encoding"))
+        base = pdf.get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
+        self.codec = CODECS.get(base)
+        self.differ: dict[int, str] = {}
+        at = 0
+        for x in pdf.get(encoding.get("Differences")) or [] if isinstance(encoding, dict) else []:
+            x = pdf.get(x)
+            if isinstance(x, int):
+                at = x
+            else:
+                self.differ[at] = letters_of(str(x))
+                at += 1
+
+    def read(self, data: bytes) -> str:
+        out, k, data = [], 0, bytes(data)
+        while k < len(data):
+            size = next((n for n in self.sizes if data[k : k + n] in self.map), 2 if self.wide else 1)
+            code = data[k : k + size]
+            if code in self.map:
+                out.append(self.map[code])
+            elif not self.wide:
+                c = code[0]
+                out.append(self.differ[c] if c in self.differ else code.decode(self.codec, "replace") if self.codec else PDF_LETTERS.get(c, chr(c)))
+            k += size
+        return "".join(out)
+
+
 def page_texts(data: bytes) -> list[str]:
-    """The strings that each page shows, for fonts whose codes are letters; a line for each move to a new one. Other fonts give what their codes look like."""
-    pdf, out = Pdf.read(data), []
+    """The strings that each page shows, those of the forms that it draws too; a line for each move to a new one. Codes of composite fonts without
+    a map to letters give nothing."""
+    pdf, out, fonts = Pdf.read(data), [], {}
     for page in pdf.pages():
         contents = pdf.get(page.get("Contents"))
         streams = [pdf.get(x) for x in contents] if isinstance(contents, list) else [contents]
         body = b"\n".join(pdf.decoded(s) for s in streams if isinstance(s, Stream))
-        out.append(shown(body))
+        node, resources = page, None
+        for _ in range(64):
+            resources = pdf.get(node.get("Resources"))
+            above = pdf.get(node.get("Parent"))
+            if resources is not None or not isinstance(above, dict):
+                break
+            node = above
+        out.append("\n".join(shown(pdf, body, resources, fonts)))
     return out
 
 
-def shown(body: bytes) -> str:
-    p, stack, lines, line = Parser(body), [], [], []
+def shown(pdf: Pdf, body: bytes, resources: Any, fonts: dict, depth: int = 0) -> list[str]:
+    """The lines of a content stream. fonts: those read so far."""
+    resources = resources if isinstance(resources, dict) else {}
+    named = lambda kind, name: (pdf.get((pdf.get(resources.get(kind)) or {}).get(name)))
+    p, stack, lines, line, font = Parser(body), [], [], [], None
+
+    def text(x: Text) -> str:
+        return str(x) if font is None else font.read(x)
+
     while True:
         p.skip()
         if p.at >= len(body):
@@ -565,12 +681,21 @@ def shown(body: bytes) -> str:
         if x in (b"'", b'"', b"T*", b"Td", b"TD", b"Tm", b"ET") and line:
             lines.append("".join(line))
             line = []
-        if x in (b"Tj", b"'", b'"') and stack and isinstance(stack[-1], Text):
-            line.append(str(stack[-1]))
+        if x == b"Tf" and len(stack) > 1:
+            node = named("Font", stack[-2])
+            if isinstance(node, dict) and id(node) not in fonts:
+                fonts[id(node)] = Font(pdf, node)
+            font = fonts.get(id(node))
+        elif x in (b"Tj", b"'", b'"') and stack and isinstance(stack[-1], Text):
+            line.append(text(stack[-1]))
         elif x == b"TJ" and stack and isinstance(stack[-1], list):
-            line += [str(t) if isinstance(t, Text) else " " if isinstance(t, (int, float)) and t < -200 else "" for t in stack[-1]]
+            line += [text(t) if isinstance(t, Text) else " " if isinstance(t, (int, float)) and t < -200 else "" for t in stack[-1]]
+        elif x == b"Do" and stack and depth < 8:
+            drawn = named("XObject", stack[-1])
+            if isinstance(drawn, Stream) and pdf.get(drawn.info.get("Subtype")) == "Form":
+                lines += shown(pdf, pdf.decoded(drawn), pdf.get(drawn.info.get("Resources")) or resources, fonts, depth + 1)
         stack.clear()
-    return "\n".join([*lines, *(["".join(line)] if line else [])])
+    return [*lines, *(["".join(line)] if line else [])]
 
 
 def raster(*_: object) -> bytes:

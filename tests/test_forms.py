@@ -191,3 +191,62 @@ def test_catalogue(spark):
     assert tools.CATALOGUE["list_profiles"]["inputSchema"] == {"type": "object", "properties": {}, "required": []}
     assert tools.respond("nothing") == "Error: Unknown tool: nothing"
     assert tools.respond("validate_pdf", spark, "/no/such.pdf", password="x").startswith("Error: ")
+
+
+def test_text_of_fonts():
+    assert pdf.page_texts(pdf.made([], ["plain (x)", "日本 – é 🙂\u2028", ""])) == ["plain (x)", "日本 – é 🙂\u2028", ""]
+    assert [pdf.letters_of(x) for x in ("eacute", "Udieresis", "A", "fi", "uni20AC0041", "u1F642", "germandbls", "one.alt", "nothing")] == ["é", "Ü", "A", "fi", "€A", "🙂", "ß", "1", ""]
+    ranges = pdf.unicode_map(b"2 beginbfrange <0003> <0005> <0041>\n<10><11> [<0078> <D83DDE42>] endbfrange 1 beginbfchar <01> <00660069> endbfchar")
+    assert ranges == {b"\0\3": "A", b"\0\4": "B", b"\0\5": "C", b"\x10": "x", b"\x11": "🙂", b"\1": "fi"}
+    doc = pdf.Pdf(b"")
+    simple = pdf.Font(doc, {"Subtype": pdf.Name("Type1"), "Encoding": {"BaseEncoding": pdf.Name("WinAnsiEncoding"), "Differences": [65, pdf.Name("eacute"), pdf.Name("Euro"), 200, pdf.Name("fi")]}})
+    assert simple.read(b"AB C\x80\xc8") == "é€ C€fi"
+    assert pdf.Font(doc, {"Subtype": pdf.Name("TrueType"), "Encoding": pdf.Name("MacRomanEncoding")}).read(b"\x8e") == "é"
+    assert pdf.Font(doc, {"Subtype": pdf.Name("Type0"), "Encoding": pdf.Name("Identity-H")}).read(b"\0\1\0\2") == ""
+    drawn = pdf.Stream({"Subtype": pdf.Name("Form"), "Resources": {"Font": {"G": {"Subtype": pdf.Name("Type1"), "Encoding": {"Differences": [1, pdf.Name("x")]}}}}}, b"BT /G 1 Tf <0101> Tj ET")
+    assert pdf.shown(doc, b"BT (a) Tj ET /X Do BT [(b) -300 (c)] TJ ET", {"XObject": {"X": drawn}}, {}) == ["a", "xx", "b c"]
+
+
+def test_files_of_any_store(spark, tmp_path):
+    from ledgerleaf.sinks import files as sinks
+
+    root = f"file://{tmp_path}/far"
+    sinks.put(f"{root}/a/x.pdf", b"1"), sinks.put(f"{root}/a/x.pdf", b"22"), sinks.put(f"{root}/a/.Y.PDF", b"3")
+    assert files.whole(f"{root}/a/x.pdf") == b"22" and sorted(p.name for p in (tmp_path / "far" / "a").iterdir()) == [".Y.PDF", "x.pdf"]
+    assert sorted(r["path"].rpartition("/")[2] for r in files.list_directory(spark, f"{root}/a").collect()) == [".Y.PDF", "x.pdf"]
+    assert files.inside(root, "b/c") == f"{root}/b/c" and files.resolve("s3://b/k") == "s3://b/k"
+    with pytest.raises(files.OutsideRoot):
+        files.inside(root, "../c")
+    with pytest.raises(RuntimeError), sinks.opened(str(tmp_path / "z")) as f:
+        f.write(b"half")
+        raise RuntimeError
+    assert not [p for p in tmp_path.iterdir() if p.is_file()]
+    tools.save_profile("n", {"a": 1}, f"{root}/p")
+    assert tools.load_profile(spark, "n", f"{root}/p").first()["json"] == '{\n  "a": 1\n}'
+
+
+def test_csv_in_parts(spark, tmp_path):
+    from ledgerleaf.sinks import files as sinks
+
+    rows = spark.createDataFrame([(f"d/f{k}", 0, "a", "text", None, str(k), None, None, None) for k in range(30)], FORM_FIELDS).repartition(3)
+    sinks.write_csv_parts(rows, str(tmp_path / "o"))
+    assert (tmp_path / "o" / "header.csv").read_text() == "_filename,a"
+    assert {r["value"] for r in spark.read.text(str(tmp_path / "o" / "lines")).collect()} == {f'"f{k}","{k}"' for k in range(30)}
+
+
+def test_json_keys_keep_their_order(spark):
+    df = spark.createDataFrame([(1, '{"z": 1, "a": null, "10": "x", "2": true, "m": {"q": [1]}}'), (2, "{}")], "k long, field_data string")
+    got = [(r["ordinal"], r["field_name"], r["value"], r["value_kind"]) for r in fill.json_values(df, "k").orderBy("ordinal").collect()]
+    assert got == [(0, "2", "true", "boolean"), (1, "10", "x", "string"), (2, "z", "1", "number"), (3, "a", None, "null"), (4, "m", '{"q":[1]}', "json")]
+
+
+def test_arrivals(spark, tmp_path):
+    from ledgerleaf.streaming import arrivals
+
+    (tmp_path / "in").mkdir()
+    seen = []
+    for k in range(2):
+        (tmp_path / "in" / f"f{k}.PDF").write_bytes(pdf.made(FORM[:1]))
+        (tmp_path / "in" / f"f{k}.txt").write_bytes(b"no")
+        arrivals(spark, str(tmp_path / "in"), lambda df, _: seen.append(forms.pdf_fields(df).count()), str(tmp_path / "c")).awaitTermination(60)
+    assert sum(seen) == 2
