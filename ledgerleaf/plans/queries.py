@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import utf16_length
 from ..operators import content, fields, fill, validate
-from ..sources import csv_text, forms
+from ..sinks import files as sinks
+from ..sources import csv_text, files, forms, pdf
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,9 +149,153 @@ def required_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", is_required(F.coalesce(F.concat("text", F.when(F.col("turn") % 3 == 0, "Must").when(F.col("turn") % 5 == 0, "*").otherwise("")), F.lit(""))).alias("required"), utf16_length(F.coalesce("text", F.lit(""))).alias("units"))
 
 
+# ---- queries through files
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _made(kind: list[dict], names: list[str]):
+    """Bytes of a form with these fields, whose values are the columns' in order, and a page of the last column's text; encrypted if that is null."""
+
+    @F.arrow_udf("binary")
+    def made(*columns: pa.Array) -> pa.Array:
+        out = []
+        for *values, page in zip(*(c.to_pylist() for c in columns), strict=True):
+            data = pdf.made([f | {"value": v} for f, v in zip(kind, values, strict=True)], [page or "", page or ""])
+            out.append(data if page is not None else data.replace(b"trailer\n<<", b"trailer\n<</Encrypt 999 0 R "))
+        return pa.array(out, pa.binary())
+
+    return made(*names)
+
+
+def customer_pdfs(spark: SparkSession, d: str) -> DataFrame:
+    """path and content of a PDF form for each customer; every fourth has blank pages, every seventh is encrypted."""
+    c = F.col
+    kind = [{"name": "Name", "type": "text"}, {"name": "Segment", "type": "dropdown", "options": SEGMENTS}, {"name": "Rich", "type": "checkbox"}, {"name": "Plan", "type": "radio", "options": ["basic", "plus"]}, {"name": "Sign", "type": "button"}]
+    plan = F.expr("element_at(array(cast(null as string), 'basic', 'plus'), cast(c_custkey % 3 as int) + 1)")
+    page = F.when(c("c_custkey") % 7 == 0, F.lit(None)).when(c("c_custkey") % 4 == 0, " ").otherwise(F.concat(c("c_name"), F.lit(" – "), c("c_mktsegment"), F.lit(" é日🙂")))
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", (c("c_acctbal") > 0).alias("rich"), plan.alias("plan"), F.lit(None).cast("string").alias("sign"), page.alias("page"))
+    return rows.select(F.concat(F.lit("/c/"), "c_custkey", F.lit(".pdf")).alias("path"), _made(kind, ["c_name", "c_mktsegment", "rich", "plan", "sign", "page"]).alias("content"), (c("c_custkey") % 7 == 0).alias("locked"))
+
+
+def pdf_fields(spark: SparkSession, d: str) -> DataFrame:
+    found = forms.pdf_fields(customer_pdfs(spark, d).where("not locked"))
+    return fields.read_fields(found).select("file", "field_ordinal", "name", "type", F.array_join("options", "|").alias("options"), "current_value")
+
+
+def pdf_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Every form filled with new values, and read again."""
+
+    @F.arrow_udf("binary")
+    def filled(content: pa.Array, name: pa.Array, rich: pa.Array) -> pa.Array:
+        return pa.array([pdf.filled(x.as_py(), {"Name": n.as_py(), "Rich": r.as_py(), "Plan": "plus", "Segment": "HOUSEHOLD", "Sign": "x"}) for x, n, r in zip(content, name, rich, strict=True)], pa.binary())
+
+    key = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    rows = customer_pdfs(spark, d).where("not locked").select("path", "content", F.concat(F.lit("é-"), key).alias("name"), F.when(key % 2 == 0, "yes").otherwise("no").alias("rich"))
+    return fields.extract_long(forms.pdf_fields(rows.select("path", filled("content", "name", "rich").alias("content"))))
+
+
+def pdf_contents(spark: SparkSession, d: str) -> DataFrame:
+    read = forms.contents(customer_pdfs(spark, d))
+    return content.content_stats(read, "path", "text", "n_bytes", "pages", "text", "error").select("file", F.coalesce("pages", F.lit(0)).alias("pages"), "text_length", "is_blank", "text", "error")
+
+
+def content_scale(spark: SparkSession, d: str) -> DataFrame:
+    """The scale of a picture of every document's size, as if all were blank."""
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/docs/"), "doc_id", F.lit(".pdf")).alias("path"), F.lit(" ").alias("text"), F.octet_length("text").alias("n"))
+    return content.content_stats(rows, "path", "text", "n").select("file", "size_kb", "is_blank", "scale")
+
+
+def uri_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", content.resource_uri(F.concat(F.lit("/docs/pdf://"), "doc_id", F.lit(".pdf"))).alias("uri"))
+    return rows.select("doc_id", "uri", content.path_of(F.col("uri")).alias("path"))
+
+
+def long_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Forms of fourteen fields, of which the first (custkey mod 15) are empty."""
+    value = lambda i: F.when(F.col("c_custkey") % 15 <= i, F.col("c_name")).otherwise(" \u00a0")
+    named = [f"f{i:02d}" + ("*" if i == 3 else " Required" if i == 7 else "") for i in range(14)]
+    return forms.from_table(table(spark, d, "customer"), F.concat(F.lit("d/"), F.col("c_custkey")), [forms.field(n, "text", value(i)) for i, n in enumerate(named)])
+
+
+def report_texts(spark: SparkSession, d: str) -> DataFrame:
+    return validate.report_text(validate.validate(long_forms(spark, d)))
+
+
+def first_ten_empty(spark: SparkSession, d: str) -> DataFrame:
+    return validate.first_empty(validate.validate(long_forms(spark, d)))
+
+
+def extract_counts(spark: SparkSession, d: str) -> DataFrame:
+    return both_forms(spark, d).agg(F.count_distinct("file").alias("n_forms"), F.count_distinct("field_name").alias("n_fields"))
+
+
+def list_counts(spark: SparkSession, d: str) -> DataFrame:
+    return list_by_suffix(spark, d).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in the checkpoint folder, or, where all is one process, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}"
+    return f"{shared if '://' in shared else 'file://' + shared}".rstrip("/") + f"/forms-{uuid.uuid4().hex}"
+
+
+def bulk_fill_written(spark: SparkSession, d: str) -> DataFrame:
+    """A form written for each supplier, named by nation, so that later ones overwrite earlier ones; and what the files hold."""
+    c, folder = F.col, _folder(spark)
+    record = F.create_map(F.lit("name"), c("s_name"), F.lit("rich"), F.when(c("s_acctbal") > 0, "yes").otherwise("off"), F.lit("as"), F.concat(F.lit("n"), c("s_nationkey")), F.lit("fax"), F.lit("1"))
+    records = table(spark, d, "supplier").select(c("s_suppkey").cast("long").alias("row"), record.alias("record"))
+    data = pdf.made([{"name": "name", "type": "text"}, {"name": "rich", "type": "checkbox"}])
+    form = spark.createDataFrame([("form.pdf", data)], "path string, content binary")
+    blank = forms.pdf_fields(form)
+    done = sinks.write_forms(fill.fill(fill.values(records, "row"), blank), fill.bulk_fill(records, blank, "as"), data, folder)
+    failed = done.where("error is not null").count()
+    if failed:
+        raise OSError(f"{failed} forms could not be written")
+    found = forms.pdf_fields(spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"))
+    return fields.extract_wide(found, ["name", "rich"])
+
+
+def csv_written(spark: SparkSession, d: str) -> DataFrame:
+    """The extracted table of all suppliers as one file, read again as lines."""
+    path = f"{_folder(spark)}/out.csv"
+    sinks.write_csv(supplier_forms(spark, d), path)
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("position", "line"))
+
+
+def profiles_written(spark: SparkSession, d: str) -> DataFrame:
+    """A profile saved for each nation, listed and read again."""
+    folder = _folder(spark)
+    for r in table(spark, d, "nation").toLocalIterator():
+        sinks.write_profile(r["n_name"], {"name": r["n_name"] + " é", "region": r["n_regionkey"], "ok": r["n_nationkey"] % 2 == 0, "none": None}, folder)
+    names = content.profile_names(files.list_directory(spark, folder, ".json", any_case=False).select(F.element_at(F.split("path", "/"), -1).alias("name")), "name")
+    texts = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
+    texts = texts.select(F.regexp_replace(F.url_decode(F.element_at(F.split("path", "/"), -1)), "\\.json$", "").alias("profile_name"), "json")
+    return names.join(texts, "profile_name")
+
+
+def resources_written(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each nation, listed, and read as resources."""
+    folder = _folder(spark)
+    for r in table(spark, d, "nation").toLocalIterator():
+        sinks.put(f"{folder}/{r['n_nationkey']}.{'PDF' if r['n_nationkey'] % 2 else 'pdf'}", (r["n_name"] + " é").encode())
+        sinks.put(f"{folder}/{r['n_nationkey']}.txt", b"no form")
+    listed = files.list_directory(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    read = files.read_bytes(spark, folder)
+    blobs = content.resources(read.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"), "path", "content")
+    sizes = read.select(F.element_at(F.split("path", "/"), -1).alias("file"), content.size_kb(F.col("length")).alias("size_kb"))
+    return listed.join(sizes, "file").join(blobs.select(content.path_of(F.col("uri")).alias("file"), "uri", "mime_type", "blob"), "file")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (validate_forms, validate_first_empty, extract_wide, extract_csv_lines, field_names, read_fields, field_counts, naive_csv, fill_values, fill_status, fill_json_kinds, bulk_fill_files, profile_merge, list_by_suffix, list_profile_names, content_stats, resource_blobs, required_fields)
+    for f in (validate_forms, validate_first_empty, extract_wide, extract_csv_lines, field_names, read_fields, field_counts, naive_csv, fill_values, fill_status, fill_json_kinds, bulk_fill_files, profile_merge, list_by_suffix, list_profile_names, content_stats, resource_blobs, required_fields,
+        pdf_fields, pdf_fill, pdf_contents, content_scale, uri_paths, report_texts, first_ten_empty, extract_counts, list_counts, bulk_fill_written, csv_written, profiles_written, resources_written)
 }
 
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -172,14 +321,16 @@ SQL: dict[str, str] = {
     "validate_first_empty": f"WITH {_DOC_FIELDS} SELECT file, coalesce(min(n ORDER BY o) FILTER (e AND o = m), '') AS first_empty, CAST(greatest(count_if(e) - 1, 0) AS BIGINT) AS more FROM (SELECT *, min(o) FILTER (e) OVER (PARTITION BY file) AS m FROM f) GROUP BY file",
     "extract_wide": f'WITH {_CELLS} SELECT form_id AS _filename, "Name", "Nation", "Rich", "Segment", "Sign" FROM c',
     "extract_csv_lines": f"""WITH {_CELLS} SELECT file, '"' || form_id || '","' || "Name" || '","' || "Nation" || '","' || "Rich" || '","' || "Segment" || '","' || "Sign" || '"' AS line FROM c""",
-    "field_names": "SELECT CAST(i AS INTEGER) AS position, n AS field_name FROM (VALUES (0, 'Name'), (1, 'Nation'), (2, 'Rich'), (3, 'Segment'), (4, 'Sign')) t(i, n)",
+    "field_names": """WITH n AS (SELECT DISTINCT n FROM (SELECT unnest(['Name', 'Segment', 'Rich', 'Sign']) AS n, c_custkey FROM customer UNION ALL SELECT unnest(['Name', 'Nation']), s_suppkey FROM supplier))
+SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS INTEGER) AS position, n AS field_name FROM n""",
     "read_fields": """SELECT 'c/' || c_custkey AS file, 'Name' AS name, 'text' AS type, '' AS options, '"' || c_name || '"' AS current_value FROM customer
  UNION ALL SELECT 'c/' || c_custkey, 'Segment', 'dropdown', '', '["' || c_mktsegment || '"]' FROM customer
  UNION ALL SELECT 'c/' || c_custkey, 'Rich', 'checkbox', '', CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END FROM customer
  UNION ALL SELECT 'c/' || c_custkey, 'Sign', 'unknown', '', '""' FROM customer
  UNION ALL SELECT 's/' || s_suppkey, 'Name', 'text', '', '"' || s_name || '"' FROM supplier
  UNION ALL SELECT 's/' || s_suppkey, 'Nation', 'radio', '', '"' || s_nationkey || '"' FROM supplier""",
-    "field_counts": "SELECT 'c/' || c_custkey AS file, CAST(4 AS BIGINT) AS n_fields FROM customer UNION ALL SELECT 's/' || s_suppkey, 2 FROM supplier",
+    "field_counts": """WITH f AS (SELECT 'c/' || c_custkey AS file, unnest(['Name', 'Segment', 'Rich', 'Sign']) AS n FROM customer UNION ALL SELECT 's/' || s_suppkey, unnest(['Name', 'Nation']) FROM supplier)
+SELECT file, count(*) AS n_fields FROM f GROUP BY file""",
     "naive_csv": f"""WITH a AS (SELECT doc_id, string_split({_TRIM("text")}, chr(10)) AS lines FROM documents),
 b AS (SELECT doc_id, list_transform(string_split(lines[1], ','), lambda h: {_TRIM("h")}) AS hs, lines FROM a),
 c AS (SELECT doc_id, hs, lines, unnest(range(2, len(lines) + 1)) AS k FROM b),
@@ -198,4 +349,37 @@ SELECT doc_id, CAST(k - 2 AS BIGINT) AS row, hs[j] AS header, coalesce(vs[j], ''
     "content_stats": f"SELECT doc_id || '.pdf' AS file, printf('%.2f', floor(octet_length(encode(text)) / 1024.0::DOUBLE * 100 + 0.5) / 100) AS size_kb, CAST(length(text) + length(regexp_replace(text, '[\\x{{0000}}-\\x{{FFFF}}]', '', 'g')) AS BIGINT) AS text_length, {_TRIM('text')} = '' AS is_blank FROM documents",
     "resource_blobs": "SELECT 'pdf:///docs/' || doc_id || '.pdf' AS uri, 'application/pdf' AS mime_type, md5(base64(encode(text))) AS blob_md5, CAST(length(base64(encode(text))) AS BIGINT) AS blob_length FROM documents",
     "required_fields": "SELECT conv_id, turn, lower(t) LIKE '%required%' OR lower(t) LIKE '%must%' OR contains(t, '*') AS required, CAST(length(x) + length(regexp_replace(x, '[\\x{0000}-\\x{FFFF}]', '', 'g')) AS BIGINT) AS units FROM (SELECT conv_id, turn, coalesce(text, '') AS x, coalesce(text || CASE WHEN turn % 3 = 0 THEN 'Must' WHEN turn % 5 = 0 THEN '*' ELSE '' END, '') AS t FROM conversations)",
+    "pdf_fields": f"""WITH c AS (SELECT '/c/' || c_custkey || '.pdf' AS file, *, CASE c_custkey % 3 WHEN 1 THEN 'basic' WHEN 2 THEN 'plus' ELSE '' END AS plan FROM customer WHERE c_custkey % 7 <> 0)
+SELECT file, 0 AS field_ordinal, 'Name' AS name, 'text' AS type, '' AS options, '"' || c_name || '"' AS current_value FROM c
+ UNION ALL SELECT file, 1, 'Segment', 'dropdown', '{"|".join(SEGMENTS)}', '["' || c_mktsegment || '"]' FROM c
+ UNION ALL SELECT file, 2, 'Rich', 'checkbox', '', CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END FROM c
+ UNION ALL SELECT file, 3, 'Plan', 'radio', '', '"' || plan || '"' FROM c
+ UNION ALL SELECT file, 4, 'Sign', 'unknown', '', '""' FROM c""",
+    "pdf_fill": """WITH c AS (SELECT '/c/' || c_custkey || '.pdf' AS file, c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0)
+SELECT file, 'Name' AS field_name, 'é-' || k AS cell FROM c UNION ALL SELECT file, 'Segment', 'HOUSEHOLD' FROM c UNION ALL SELECT file, 'Rich', CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END FROM c
+ UNION ALL SELECT file, 'Plan', 'plus' FROM c UNION ALL SELECT file, 'Sign', '' FROM c""",
+    "pdf_contents": """WITH c AS (SELECT c_custkey || '.pdf' AS file, c_custkey % 7 = 0 AS locked, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_name || ' – ' || c_mktsegment || ' é日🙂' END AS page, c_custkey % 4 = 0 AS blank FROM customer)
+SELECT file, CAST(CASE WHEN locked THEN 0 ELSE 2 END AS INTEGER) AS pages, CAST(CASE WHEN locked THEN 0 WHEN blank THEN 4 ELSE 2 * (length(page) + 1) + 2 END AS BIGINT) AS text_length, locked OR blank AS is_blank,
+ CASE WHEN NOT locked THEN page || chr(10) || chr(10) || page END AS text, CASE WHEN locked THEN 'PDF is password-protected.' END AS error FROM c""",
+    "content_scale": """WITH s AS (SELECT doc_id, floor(octet_length(encode(text)) / 1024.0::DOUBLE * 100 + 0.5) / 100 AS kb FROM documents)
+SELECT doc_id || '.pdf' AS file, printf('%.2f', kb) AS size_kb, true AS is_blank, CASE WHEN CAST(printf('%.2f', kb) AS DOUBLE) = 0 THEN 1.5::DOUBLE ELSE least(1.5::DOUBLE, sqrt(375.0::DOUBLE / CAST(printf('%.2f', kb) AS DOUBLE))) END AS scale FROM s""",
+    "uri_paths": "SELECT doc_id, 'pdf:///docs/pdf://' || doc_id || '.pdf' AS uri, '/docs/pdf://' || doc_id || '.pdf' AS path FROM documents",
+    "report_texts": """WITH f AS (SELECT c_custkey AS k, CAST(c_custkey % 15 AS INTEGER) AS n, range(0, least(CAST(c_custkey % 15 AS INTEGER), 14)) AS e FROM customer),
+g AS (SELECT k, len(e) AS n, list_transform(e, lambda i: 'f' || lpad(CAST(i AS VARCHAR), 2, '0') || CASE i WHEN 3 THEN '*' WHEN 7 THEN ' Required' ELSE '' END) AS names FROM f)
+SELECT 'd/' || k AS file, 'PDF Validation Report for: ' || k || chr(10) || 'Total fields: 14' || chr(10) || 'Filled: ' || (14 - n) || chr(10) || 'Empty: ' || n || chr(10)
+ || CASE WHEN n > 3 THEN chr(10) || '⚠️  Required fields that are empty:' || chr(10) || 'f03*' || CASE WHEN n > 7 THEN chr(10) || 'f07 Required' ELSE '' END ELSE '' END
+ || CASE WHEN n > 10 THEN chr(10) || chr(10) || 'First 10 empty fields:' || chr(10) || array_to_string(names[1:10], chr(10)) || chr(10) || '... and ' || (n - 10) || ' more'
+  WHEN n > 0 THEN chr(10) || chr(10) || 'Empty fields:' || chr(10) || array_to_string(names, chr(10)) ELSE '' END AS report FROM g""",
+    "first_ten_empty": """WITH f AS (SELECT c_custkey AS k, range(0, least(CAST(c_custkey % 15 AS INTEGER), 14)) AS e FROM customer),
+g AS (SELECT k, len(e) AS n, list_transform(e, lambda i: 'f' || lpad(CAST(i AS VARCHAR), 2, '0') || CASE i WHEN 3 THEN '*' WHEN 7 THEN ' Required' ELSE '' END) AS names FROM f)
+SELECT 'd/' || k AS file, array_to_string(names[1:10], chr(10)) AS first_empty, CAST(greatest(n - 10, 0) AS BIGINT) AS more FROM g""",
+    "extract_counts": """WITH f AS (SELECT 'c/' || c_custkey AS file, unnest(['Name', 'Segment', 'Rich', 'Sign']) AS n FROM customer UNION ALL SELECT 's/' || s_suppkey, unnest(['Name', 'Nation']) FROM supplier)
+SELECT count(DISTINCT file) AS n_forms, count(DISTINCT n) AS n_fields FROM f""",
+    "list_counts": "SELECT count(*) AS n_files FROM part WHERE p_partkey % 5 IN (0, 1, 4)",
+    "bulk_fill_written": "SELECT 'n' || s_nationkey || '.pdf' AS _filename, arg_max(s_name, s_suppkey) AS name, arg_max(CASE WHEN s_acctbal > 0 THEN 'yes' ELSE 'no' END, s_suppkey) AS rich FROM supplier GROUP BY s_nationkey",
+    "csv_written": """WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY 's/' || s_suppkey) AS p, '"' || s_suppkey || '","' || s_name || '","' || s_nationkey || '"' AS line FROM supplier)
+SELECT CAST(p AS INTEGER) AS position, line FROM s UNION ALL SELECT 0, '_filename,Name,Nation'""",
+    "profiles_written": """SELECT n_name AS profile_name, '{' || chr(10) || '  "name": "' || n_name || ' é",' || chr(10) || '  "region": ' || n_regionkey || ',' || chr(10) || '  "ok": ' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || ',' || chr(10) || '  "none": null' || chr(10) || '}' AS json FROM nation""",
+    "resources_written": """WITH n AS (SELECT n_nationkey || CASE WHEN n_nationkey % 2 = 1 THEN '.PDF' ELSE '.pdf' END AS file, encode(n_name || ' é') AS b FROM nation)
+SELECT file, printf('%.2f', floor(octet_length(b) / 1024.0::DOUBLE * 100 + 0.5) / 100) AS size_kb, 'pdf://' || file AS uri, 'application/pdf' AS mime_type, base64(b) AS blob FROM n""",
 }
