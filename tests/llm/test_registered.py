@@ -148,3 +148,30 @@ def test_pipeline(spark, data, texts):
         assert r["ids"] == there.encode(kept[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
     again = corpus_pipeline.run(spark, data)
     assert sorted(map(str, again.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_stages_on_odd_rows(spark, data):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumns({"_score": F.lit(1), "_spans": F.lit(2), "_uid": F.lit(3)})
+    long = " ".join(f"word{k % 977}" for k in range(40_000))
+    odd = [(None, None), (9001, ""), (9002, None), (9003, " \n"), (9004, "a"), (9005, long), (9005, long), (None, long), (9006, "zu " * 700)]
+    odd = spark.createDataFrame([(k, t, None, None, len(t or ""), 1, 2, 3) for k, t in odd], docs.schema)
+    whole, none = docs.unionByName(odd), docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, whole, data)
+        got = out.collect()
+        texts = [r["text"] for r in got] if name != "encode" else []
+        if name != "encode":
+            assert out.columns == docs.columns and all((r["_score"], r["_spans"], r["_uid"]) == (1, 2, 3) for r in got)
+        if name == "quality":  # without evidence no text is good
+            assert texts and all((t or "").strip() and len(t) > 1 and not t.startswith("zu zu") for t in texts)
+        elif name == "near_duplicates":
+            assert texts.count(long) == 1 and sum(not (t or "").strip() for t in texts) == 1 and [r["doc_id"] for r in got if r["text"] == long] == [9005]
+        elif name == "private_data":
+            assert len(got) == whole.count() and texts.count(long) == 3 and texts.count(None) == 2
+        elif name == "mix":
+            assert texts.count(long) <= 6 and len(got) > 0
+        else:
+            assert len(got) == whole.count() and {len(r["ids"]) for r in got if r["doc_id"] in (9001, 9002, 9003)} == {0}
+        assert stage(spark, none, data).count() == 0
