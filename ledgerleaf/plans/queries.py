@@ -176,6 +176,7 @@ def customer_pdfs(spark: SparkSession, d: str) -> DataFrame:
     plan = F.expr("element_at(array(cast(null as string), 'basic', 'plus'), cast(c_custkey % 3 as int) + 1)")
     page = F.when(c("c_custkey") % 7 == 0, F.lit(None)).when(c("c_custkey") % 4 == 0, " ").otherwise(F.concat(c("c_name"), F.lit(" – "), c("c_mktsegment"), F.lit(" é日🙂")))
     rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", (c("c_acctbal") > 0).alias("rich"), plan.alias("plan"), F.lit(None).cast("string").alias("sign"), page.alias("page"))
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # making and parsing forms is the work, not reading the table
     return rows.select(F.concat(F.lit("/c/"), "c_custkey", F.lit(".pdf")).alias("path"), _made(kind, ["c_name", "c_mktsegment", "rich", "plan", "sign", "page"]).alias("content"), (c("c_custkey") % 7 == 0).alias("locked"))
 
 

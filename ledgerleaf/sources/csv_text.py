@@ -15,25 +15,25 @@ def parse(texts: DataFrame, key: str, text: str) -> DataFrame:
     are dropped. Of headers that are alike the last one counts. A text of a header alone has no rows.
     """
     rows = _rows(texts, key, text)
-    cells = rows.select(key, "row", F.explode("_entries").alias("e"))
-    return cells.select(key, "row", F.col("e.column").alias("column"), F.col("e.key").alias("header"), F.col("e.value").alias("value"))
+    cells = rows.select(key, "row", "_headers", "_cells", F.posexplode("_headers").alias("column", "header"))
+    last = F.array_position(F.slice("_headers", F.col("column") + 2, F.size("_headers")), F.col("header")) == 0
+    return cells.where(last).select(key, "row", "column", "header", F.coalesce(F.get("_cells", F.col("column")), F.lit("")).alias("value"))
 
 
 def _rows(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, row and _entries: (column, key, value) of each row's cells; nothing is shuffled."""
+    """key, row, _headers and _cells."""
     lines = texts.select(F.col(key), parts(trimmed(F.coalesce(F.col(text), F.lit(""))), "\n").alias("_lines"))
     lines = lines.select(key, F.transform(parts(F.element_at("_lines", 1), ","), trimmed).alias("_headers"), F.slice("_lines", 2, 2147483647).alias("_rest"))
-    last = F.filter(F.sequence(F.lit(0), F.size("_headers") - 1), lambda i: F.array_position(F.slice("_headers", i + 2, F.size("_headers")), F.get("_headers", i)) == 0)
-    rows = lines.select(key, "_headers", last.alias("_last"), F.posexplode("_rest").alias("row", "_line"))
-    rows = rows.select(key, F.col("row").cast("long").alias("row"), "_headers", "_last", F.transform(parts(F.col("_line"), ","), trimmed).alias("_cells"))
-    entry = lambda i: F.struct(i.alias("column"), F.get("_headers", i).alias("key"), F.coalesce(F.get("_cells", i), F.lit("")).alias("value"))
-    return rows.select(key, "row", F.transform("_last", entry).alias("_entries"))
+    rows = lines.select(key, "_headers", F.posexplode("_rest").alias("row", "_line"))
+    return rows.select(key, F.col("row").cast("long").alias("row"), "_headers", F.transform(parts(F.col("_line"), ","), trimmed).alias("_cells"))
 
 
 def records(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, row, record): the same, a map for each row."""
-    entries = F.transform("_entries", lambda e: F.struct(e.key.alias("key"), e.value.alias("value")))
-    return _rows(texts, key, text).select(key, "row", F.map_from_entries(entries).alias("record"))
+    """(key, row, record): the same, a map for each row; nothing is shuffled."""
+    last = F.filter(F.sequence(F.lit(0), F.size("_headers") - 1), lambda i: F.array_position(F.slice("_headers", i + 2, F.size("_headers")), F.get("_headers", i)) == 0)
+    # _cells is named twice, so that it isn't split again for each of its elements
+    entry = lambda i: F.struct(F.get("_headers", i).alias("key"), F.when(i < F.size("_cells"), F.element_at("_cells", i + 1)).otherwise("").alias("value"))
+    return _rows(texts, key, text).select(key, "row", F.map_from_entries(F.transform(last, entry)).alias("record"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
