@@ -329,34 +329,37 @@ def segments_of(joined: DataFrame, length: int) -> DataFrame:
 
 def dealt(segments: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """segments: h, c, level, left, right. The same with g and split: rows with one g are to meet, at most `hot` of them. And h, c, bits of windows
-    that more than `hot` segments hold, for which nothing else is left to compare.
+    that several segments hold, found on the way.
 
     A group that is too large goes to two, one for either half of its offsets: segments meet there if they agree on all bytes that the windows
-    at those offsets share. Down to one offset that is the window itself. Each round only takes on what was too large in the one before.
+    at those offsets share. Of those that agree on all bytes of all windows there one goes on, and the others are done. Down to one offset that
+    is the window itself. Each round only takes on what was too large in the one before.
     """
     rows = segments.select("*", F.col("h").alias("g"), F.lit(0).alias("lo"), F.lit(length).alias("hi"))
-    done, same = [], None
-    split = False
+    done, same, split = [], None, False
     while True:
         sizes = stored(rows.groupBy("g", "lo", "hi").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         big = sizes.where(F.col("size") > hot)
-        if big.isEmpty():
-            keep = sizes.select("g", "lo", "hi")
-        else:
-            keep = sizes.where(F.col("size") <= hot).select("g", "lo", "hi")
-        done.append(rows.join(keep, ["g", "lo", "hi"], "left_semi").withColumn("split", F.lit(split)))
-        if big.isEmpty():
+        last = big.isEmpty()
+        keep = sizes if last else sizes.where(F.col("size") <= hot)
+        done.append(rows.join(keep.select("g", "lo", "hi"), ["g", "lo", "hi"], "left_semi").withColumn("split", F.lit(split)))
+        if last:
             break
-        rows = stored(rows.join(big.select("g", "lo", "hi"), ["g", "lo", "hi"], "left_semi"))
-        one = rows.where("lo = hi").select("h", "c", one_offset(length)("lo").alias("bits"))
-        same = one if same is None else same.unionByName(one)
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
-        rows = rows.where("lo < hi").withColumn("half", F.explode(halves)).drop("lo", "hi").select("*", "half.lo", "half.hi").drop("half")
+        rows = rows.join(big.select("g", "lo", "hi"), ["g", "lo", "hi"], "left_semi").where("lo < hi")
+        rows = rows.withColumn("half", F.explode(halves)).drop("lo", "hi").select("*", "half.lo", "half.hi").drop("half")
         rows = rows.where((F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= length - F.col("hi")))
-        before = F.expr("substring(left, octet_length(left) - lo + 1, lo)")
-        after = F.expr(f"substring(right, 1, {length} - hi)")
-        rows = rows.withColumn("g", F.xxhash64("g", "lo", before, after))
+        bytes_ = lambda l, r: (F.expr(f"substring(left, greatest(octet_length(left) - {l} + 1, 1), least(octet_length(left), {l}))"), F.expr(f"substring(right, 1, {length} - {r})"))
+        core, region = bytes_("lo", "hi"), bytes_("hi", "lo")
+        rows = rows.withColumn("g", F.xxhash64("g", "lo", *core))
+        rows = stored(rows.withColumn("r", F.xxhash64("g", *region, F.octet_length(region[0]), F.octet_length(region[1]))))
+        alike = rows.groupBy("g", "lo", "hi", "r").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("level", "h", "c")).alias("one")).where("k > 1")
+        both = stored(rows.select("g", "lo", "hi", "r", "level", "h", "c", F.octet_length("left").alias("l"), F.octet_length("right").alias("n")).join(alike, ["g", "lo", "hi", "r"]))
+        hit = both.select("h", "c", bits_between(length)(F.greatest("lo", length - F.col("n")), F.least("hi", "l")).alias("bits"))
+        same = hit if same is None else same.unionByName(hit)
+        others = both.where("level <> one.level or h <> one.h or c <> one.c").select("g", "lo", "hi", "level", "h", "c")
+        rows = rows.join(others, ["g", "lo", "hi", "level", "h", "c"], "left_anti").drop("r")
         split = True
     out = done[0]
     for x in done[1:]:
@@ -364,13 +367,13 @@ def dealt(segments: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFr
     return out, same
 
 
-def one_offset(length: int):
+def bits_between(length: int):
     @F.arrow_udf("binary")
-    def bits(offsets: pa.Array) -> pa.Array:
+    def bits(first: pa.Array, last: pa.Array) -> pa.Array:
         out = []
-        for o in offsets.to_pylist():
+        for a, b in zip(first.to_pylist(), last.to_pylist(), strict=True):
             row = np.zeros(length + 1, bool)
-            row[o] = True
+            row[a : b + 1] = True
             out.append(np.packbits(row).tobytes())
         return pa.array(out, pa.binary())
 
