@@ -14,7 +14,7 @@ from __future__ import annotations
 import hmac
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -56,14 +56,19 @@ IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")
 CARD = re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])")
-#: After + or 00 and a country code, groups of any usual length; else the forms of North America, with or without a leading 1, pairs after 0
-#: (French), area codes with 0 (German), nine digits without one (Spanish) and ten after 8 (Russian). Numbers of groups of three are told apart by
-#: what stands before and after.
+#: Cards grouped as cards are, or not at all.
+GROUPED_CARD = re.compile(r"(?<![\w.\-+])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ \-])\d{6}\2\d{5}|\d{13,19})(?![\w\-])")
+#: After + or 00 and a country code, groups of any usual length; numbers of 1, 7, 33 and 34 have one length.
+PHONE_ABROAD = re.compile(
+    r"(?:(?<![\d+])\+(?:[17](?:[ .\-]?\(\d{3}\)|(?:[ .\-]?\d){3})(?:[ .\-]?\d){7}|3[34](?:[ .\-]?\(0\))?(?:[ .\-]?\d){9})(?![\w\-])"
+    r"|(?:(?<![\d+])\+\d{1,3}[ .\-]?|(?<![\w.\-+])00\d{1,3}[ .\-])(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-/]?\d{2,4}){1,5})(?![\w\-])"
+)
+#: Without: the forms of North America, with or without a leading 1, pairs after 0 (French), area codes with 0 (German), nine digits without one
+#: (Spanish) and ten after 8 (Russian). Numbers of groups of three are told apart by what stands before and after.
 PHONE = re.compile(
-    r"(?:(?:(?<![\d+])\+\d{1,3}[ .\-]?|(?<![\w.\-+])00\d{1,3}[ .\-])(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-/]?\d{2,4}){1,5}"
-    r"|(?<![\w.\-+])(?:(?:1[ .\-])?(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})|0\d(?:[ .\-]?\d{2}){4}|\(0\d{1,4}\) ?\d{3,4}(?:[ \-]?\d{2,4}){1,2}"
+    r"(?<![\w.\-+])(?:(?:1[ .\-])?(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})|0\d(?:[ .\-]?\d{2}){4}|\(0\d{1,4}\) ?\d{3,4}(?:[ \-]?\d{2,4}){1,2}"
     r"|0\d{1,4}[ /\-]\d{3,4}(?:[ \-]?\d{2,4}){1,2}|0\d{2,4}(?: \d{2}){3,4}"
-    r"|(?<!\d )(?:(?:1 )?[2-9]\d{2} \d{3}[ \-]\d{4}|[6-9]\d{2} \d{3} \d{3}|[6-9]\d{2}(?: \d{2}){3}|9\d \d{3} \d{2} \d{2}|8[ \-](?:\(\d{3}\)|\d{3})[ \-]\d{3}[ \-]\d{2}[ \-]\d{2})(?! \d)))"
+    r"|(?<!\d )(?:(?:1 )?[2-9]\d{2} \d{3}[ \-]\d{4}|[6-9]\d{2} \d{3} \d{3}|[6-9]\d{2}(?: \d{2}){3}|9\d \d{3} \d{2} \d{2}|8[ \-](?:\(\d{3}\)|\d{3})[ \-]\d{3}[ \-]\d{2}[ \-]\d{2})(?! \d))"
     r"(?![\w\-])"
 )
 DIGITS = re.compile(r"\d\d")
@@ -122,6 +127,47 @@ def gender_of(name: str) -> str:
     return "f" if name[-1] == "a" else ""
 
 
+def is_phone(surface: str) -> bool:
+    return 7 <= len(digits_of(surface)) <= 15
+
+
+def is_card(surface: str) -> bool:
+    """Whether the check digit holds; 15 digits and more in one piece are no phone number anyway."""
+    d = digits_of(surface)
+    return len(surface) == len(d) >= 15 or luhn(d[:-1]) == int(d[-1])
+
+
+def is_iban(surface: str) -> bool:
+    form = normal("iban", surface)
+    return int(form[2:4]) == iban_check(form[:2], form[4:])
+
+
+#: Numbers in the order in which they are looked for; those whose check digits hold go before others of their kind, which may be more than one.
+NUMBERS: list[tuple[str, re.Pattern, Callable[[str], bool] | None]] = [
+    ("iban", IBAN, is_iban), ("iban", IBAN, None), ("ip", IPV4, None), ("ssn", SSN, None), ("card", GROUPED_CARD, is_card),
+    ("phone", PHONE_ABROAD, is_phone), ("phone", PHONE, is_phone), ("card", CARD, None),
+]
+SEPARATORS = " .-/"
+
+
+def apart(pattern: re.Pattern, text: str, fits: Callable[[str], bool] | None) -> Iterator[tuple[int, int]]:
+    """Spans of a pattern that fit. Of one that doesn't, as where numbers follow each other, the longest beginning that does counts, up to a
+    separator; if there is none the search goes on within it."""
+    at = 0
+    while m := pattern.search(text, at):
+        start, at = m.start(), m.start() + 1
+        while m:
+            end = m.end()
+            if fits is None or fits(m[0]):
+                yield start, end
+                at = end
+                break
+            cut = max(text.rfind(c, start, end) for c in SEPARATORS)
+            while cut > start and text[cut - 1] in SEPARATORS:
+                cut -= 1
+            m = pattern.match(text, start, cut) if cut > start else None
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of each entity, in order and not overlapping; where two overlap the kind named first below wins.
 
@@ -140,6 +186,14 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             taken[start:end] = b"\1" * (end - start)
             found.append((start, end, kind, normal(kind, text[start:end])))
 
+    def rest() -> str:
+        """The text without what was found, so that numbers beside it end there."""
+        out, at = [], 0
+        for start, end, *_ in sorted(found):
+            out += [text[at:start], "\0" * (end - start)]
+            at = end
+        return "".join([*out, text[at:]]) if found else text
+
     for m in SECRET.finditer(text) if any(x in text for x in ("=", ":", "AKIA", "gh", "sk-", "xox", "eyJ")) and SECRET_HINT.search(text) else ():
         k = 1 if m[1] else 2
         add(m.start(k), m.end(k), "secret")
@@ -147,11 +201,9 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         for m in EMAIL.finditer(text):
             add(m.start(), m.end(), "email")
     if DIGITS.search(text) or IPV4_HINT.search(text):
-        for kind, pattern in (("iban", IBAN), ("ip", IPV4), ("ssn", SSN), ("phone", PHONE), ("card", CARD)):
-            for m in pattern.finditer(text):
-                if kind == "phone" and not 7 <= len(digits_of(m[0])) <= 15:
-                    continue
-                add(m.start(), m.end(), kind)
+        for kind, pattern, fits in NUMBERS:
+            for start, end in apart(pattern, rest(), fits):
+                add(start, end, kind)
     whole = lambda m: not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")
     names: dict[str, str] = {}
 
