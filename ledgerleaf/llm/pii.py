@@ -66,8 +66,8 @@ PHONE_ABROAD = re.compile(
 #: Without: the forms of North America, with or without a leading 1, pairs after 0 (French), area codes with 0 (German), nine digits without one
 #: (Spanish) and ten after 8 (Russian). Numbers of groups of three are told apart by what stands before and after.
 PHONE = re.compile(
-    r"(?<![\w.\-+])(?:(?:1[ .\-])?(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})|0\d(?:[ .\-]?\d{2}){4}|\(0\d{1,4}\) ?\d{3,4}(?:[ \-]?\d{2,4}){1,2}"
-    r"|0\d{1,4}[ /\-]\d{3,4}(?:[ \-]?\d{2,4}){1,2}|0\d{2,4}(?: \d{2}){3,4}"
+    r"(?<![\w.\-+])(?:(?:1[ .\-])?(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})|0\d([ .\-]?)\d{2}(?:\1\d{2}){3}|\(0\d{1,4}\) ?\d{3,4}(?:[ \-]?\d{2,4}){1,2}"
+    r"|0\d{2,4}[ /\-]\d{3,4}(?:[ \-]?\d{2,4}){1,2}|0\d{2,4}(?: \d{2}){3,4}"
     r"|(?<!\d )(?:(?:1 )?[2-9]\d{2} \d{3}[ \-]\d{4}|[6-9]\d{2} \d{3} \d{3}|[6-9]\d{2}(?: \d{2}){3}|9\d \d{3} \d{2} \d{2}|8[ \-](?:\(\d{3}\)|\d{3})[ \-]\d{3}[ \-]\d{2}[ \-]\d{2})(?! \d))"
     r"(?![\w\-])"
 )

@@ -103,6 +103,8 @@ def test_pii_numbers_that_follow_each_other():
                 want = [(one, a), (other, b)]
                 assert [(text[i:j], k) for i, j, k, _ in pii.detect(text)] == want, text
     assert [k for *_, k, _ in pii.detect("DE89370400440532013000 DATE")] == ["iban"]
+    for clean in ("01.02.2024 10:30", "01/2024 10 12", "2024-01-15 08:30", "01-02-2024 12", "05.06.2023, 07.08.2024", "12 345 678", "1.5 - 2.75", "9:30-10:45"):
+        assert pii.detect(f"Am {clean} war es") == [], clean
     assert pii.detect("+49 1") == [] and len(pii.detect("+49 " + "12 " * 100_000)) > 1000
 
 
