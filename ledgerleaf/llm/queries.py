@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_rules, bpe, compression_quality, filter_audit, html_extract, labelled, language_id, lattice, mixing, pii, simhash, suffix_dedup
+from . import boosted_rules, bpe, compression_quality, filter_audit, html_extract, labelled, language_id, lattice, mixing, pii, relative_lz, simhash, suffix_dedup
 from .common import table
 
 #: The key of the registered PII query; a deployment passes its own secret.
@@ -82,6 +82,11 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return relative_lz.cut_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
@@ -97,7 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_compression_quality": op9_compression_quality,
     "op10_boosted_rules": op10_boosted_rules,
+    "op12_relative_lz_dedup": op12_relative_lz_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 
-SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op6_lattice_near_dedup": lattice.SQL, "op7_source_mixing": mixing.SQL, "op13_filter_audit": filter_audit.SQL}
+SQL: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.SQL, "op6_lattice_near_dedup": lattice.SQL, "op7_source_mixing": mixing.SQL, "op12_relative_lz_dedup": relative_lz.SQL, "op13_filter_audit": filter_audit.SQL}
