@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_rules, bpe, compression_quality, filter_audit, html_extract, labelled, language_id, lattice, mixing, pii, relative_lz, simhash, suffix_dedup
+from . import alignment, boosted_rules, bpe, compression_quality, filter_audit, html_extract, labelled, language_id, lattice, mixing, pii, relative_lz, simhash, suffix_dedup
 from .common import table
 
 #: The key of the registered PII query; a deployment passes its own secret.
@@ -82,6 +82,11 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return alignment.align(docs, *map(tokenizer_path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")))
+
+
 def op12_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return relative_lz.cut_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_compression_quality": op9_compression_quality,
     "op10_boosted_rules": op10_boosted_rules,
+    "op11_token_alignment": op11_token_alignment,
     "op12_relative_lz_dedup": op12_relative_lz_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
