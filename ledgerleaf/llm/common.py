@@ -74,19 +74,24 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+#: The folder made up for a session without one, by application. The setting itself can't be changed in a running session.
+_made_up: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share. Only where all of Spark is this one process, as in tests, is one made up."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            folder = current.get()
-        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            folder = f"file://{tempfile.mkdtemp(prefix='ledgerleaf-')}"
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _made_up:
+        _made_up[app] = f"file://{tempfile.mkdtemp(prefix='ledgerleaf-')}"
+    return _made_up[app]
 
 
 #: Folders that stored() wrote and nothing has deleted yet, in order, by application.
