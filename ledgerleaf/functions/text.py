@@ -109,6 +109,17 @@ def in_key_order(entries: Column) -> Column:
     return F.concat(first, F.filter(entries, lambda e: ~number(e)))
 
 
+def indented(entries: Column) -> Column:
+    """The JSON of an object on lines of its own, two spaces before each key. entries: key, and json, the text of a value that is no object or list."""
+    lines = F.transform(entries, lambda e: F.concat(F.lit("  "), json_string(e["key"]), F.lit(": "), e["json"]))
+    return F.when(F.size(entries) > 0, F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}"))).otherwise("{}")
+
+
+def json_string(c: Column) -> Column:
+    """A text as JSON; null is null."""
+    return F.when(c.isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1))
+
+
 def utf16_order(names: list[str]) -> list[str]:
     """Names in the order of their UTF-16 code units."""
     return sorted(names, key=lambda s: s.encode("utf-16-be", "surrogatepass"))

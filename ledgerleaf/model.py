@@ -1,4 +1,4 @@
-"""Table layouts. A form is long: one row for each field, so forms of any shape share one table."""
+"""Table layouts. A form is long: one row for each field, so forms of any shape share one table. A form without fields is one row whose name is null."""
 
 from __future__ import annotations
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import utf16_length
+from ..functions.text import indented, json_string, utf16_length
 from ..operators import content, fields, fill, validate
+from ..session import new_folder
+from ..sinks import committed
 from ..sinks import files as sinks
 from ..sources import csv_text, files, forms, pdf
+from . import tools
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -236,19 +236,9 @@ def list_counts(spark: SparkSession, d: str) -> DataFrame:
     return list_by_suffix(spark, d).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in the checkpoint folder, or, where all is one process, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not shared:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = f"file://{tempfile.gettempdir()}"
-    return f"{shared if '://' in shared else 'file://' + shared}".rstrip("/") + f"/forms-{uuid.uuid4().hex}"
-
-
 def bulk_fill_written(spark: SparkSession, d: str) -> DataFrame:
     """A form written for each supplier, named by nation, so that later ones overwrite earlier ones; and what the files hold."""
-    c, folder = F.col, _folder(spark)
+    c, folder = F.col, new_folder(spark)
     record = F.create_map(F.lit("name"), c("s_name"), F.lit("rich"), F.when(c("s_acctbal") > 0, "yes").otherwise("off"), F.lit("as"), F.concat(F.lit("n"), c("s_nationkey")), F.lit("fax"), F.lit("1"))
     records = table(spark, d, "supplier").select(c("s_suppkey").cast("long").alias("row"), record.alias("record"))
     data = pdf.made([{"name": "name", "type": "text"}, {"name": "rich", "type": "checkbox"}])
@@ -262,31 +252,105 @@ def bulk_fill_written(spark: SparkSession, d: str) -> DataFrame:
     return fields.extract_wide(found, ["name", "rich"])
 
 
+# ---- forms that lack fields, batches, many names
+
+
+def bare_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Forms of customers, some without one of three fields, and every fifth without any."""
+    c, key = F.col, F.col("c_custkey")
+    some = [F.when(key % 5 != 0, forms.field("Name*", "text", F.when(key % 4 != 0, c("c_name")))), F.when((key % 5 != 0) & (key % 3 == 0), forms.field("Segment", "dropdown", c("c_mktsegment"))), F.when((key % 5 != 0) & (key % 2 == 0), forms.field("Rich", "checkbox", c("c_acctbal") > 0))]
+    return forms.from_table(table(spark, d, "customer"), F.concat(F.lit("c/"), key), some, some=True)
+
+
+def validate_bare_forms(spark: SparkSession, d: str) -> DataFrame:
+    report = validate.validate(bare_forms(spark, d))
+    return report.select("file", "total", "filled", "empty", F.array_join("required", "\n").alias("required"), F.array_join("empty_fields", "\n").alias("empty_fields"))
+
+
+def extract_bare_lines(spark: SparkSession, d: str) -> DataFrame:
+    return fields.extract_lines(bare_forms(spark, d))
+
+
+def bare_field_counts(spark: SparkSession, d: str) -> DataFrame:
+    return fields.field_counts(bare_forms(spark, d))
+
+
+def _order_paths(spark: SparkSession, d: str) -> DataFrame:
+    """A list of paths, the form of each order's customer: many a form is listed more than once."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), F.concat(F.lit("c/"), F.col("o_custkey")).alias("path"))
+
+
+def batch_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many forms a batch has, repeated paths and forms without fields included, and how many distinct names."""
+    return fields.counts(fields.batch(_order_paths(spark, d), bare_forms(spark, d)))
+
+
+def batch_csv_written(spark: SparkSession, d: str) -> DataFrame:
+    """The batch extracted into one file by many writers, and read again in byte ranges: its lines, and what the tool says of it."""
+    path = f"{new_folder(spark)}/out.csv"
+    said = tools.extract_table_to_csv(_order_paths(spark, d), bare_forms(spark, d), path)
+    return csv_text.numbered_lines(spark, path).select("number", "line", *[F.lit(v).alias(c) for c, v in said.first().asDict().items()])
+
+
+def summary_of_long_forms(spark: SparkSession, d: str) -> DataFrame:
+    return validate.summary(long_forms(spark, d))
+
+
+def conversation_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation as a form, its turns as fields that are called by turn and role."""
+    rows = table(spark, d, "conversations").groupBy("conv_id", "turn", "role").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    null = F.lit(None)
+    return rows.select(F.concat(F.lit("v/"), "conv_id").alias("file"), F.col("turn").cast("int").alias("field_ordinal"), F.concat(F.col("role"), F.lit("-"), F.col("turn")).alias("field_name"), F.lit("text").alias("field_type"), null.cast("array<string>").alias("options"), F.md5("text").alias("text_value"), null.cast("boolean").alias("checked"), null.cast("array<string>").alias("selected"), null.cast("string").alias("read_error"))
+
+
+def sparse_csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = conversation_forms(spark, d)
+    names = fields.numbered_names(rows)
+    return fields.sparse_lines(rows, names, names.count())
+
+
+def text_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all conversations as field names, in their order."""
+    rows = table(spark, d, "conversations").select(F.coalesce("text", F.lit("")).alias("field_name"))
+    return fields.numbered_names(rows)
+
+
+# ---- files written by tasks
+
+
 def csv_written(spark: SparkSession, d: str) -> DataFrame:
     """The extracted table of all suppliers as one file, read again as lines."""
-    path = f"{_folder(spark)}/out.csv"
+    path = f"{new_folder(spark)}/out.csv"
     sinks.write_csv(supplier_forms(spark, d), path)
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("position", "line"))
+    return csv_text.numbered_lines(spark, path).select(F.col("number").cast("int").alias("position"), "line")
+
+
+def csv_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of such a file of customers and suppliers, read in byte ranges."""
+    path = f"{new_folder(spark)}/out.csv"
+    sinks.write_csv(both_forms(spark, d), path)
+    return csv_text.read(spark, path).select("row", F.explode("record").alias("header", "value"))
 
 
 def profiles_written(spark: SparkSession, d: str) -> DataFrame:
-    """A profile saved for each nation, listed and read again."""
-    folder = _folder(spark)
-    for r in table(spark, d, "nation").toLocalIterator():
-        sinks.write_profile(r["n_name"], {"name": r["n_name"] + " é", "region": r["n_regionkey"], "ok": r["n_nationkey"] % 2 == 0, "none": None}, folder)
-    names = content.profile_names(files.list_directory(spark, folder, ".json", any_case=False).select(F.element_at(F.split("path", "/"), -1).alias("name")), "name")
+    """A profile saved for each supplier, named so that later ones replace earlier ones, then listed and read again."""
+    folder, c = new_folder(spark), F.col
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("json"))
+    held = F.array(entry("name", json_string(F.concat("s_name", F.lit(' é"\\')))), entry("nation", c("s_nationkey").cast("string")), entry("ok", (c("s_nationkey") % 2 == 0).cast("string")), entry("none", F.lit("null")))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("n"), c("s_nationkey"), F.lit("-"), c("s_suppkey") % 7).alias("profile_name"), indented(held).alias("json"))
+    tools.save_profiles(rows, folder, order="s_suppkey")
     texts = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
     texts = texts.select(F.regexp_replace(F.url_decode(F.element_at(F.split("path", "/"), -1)), "\\.json$", "").alias("profile_name"), "json")
-    return names.join(texts, "profile_name")
+    return tools.call("list_profiles", spark, folder).join(texts, "profile_name")
 
 
 def resources_written(spark: SparkSession, d: str) -> DataFrame:
-    """A file for each nation, listed, and read as resources."""
-    folder = _folder(spark)
-    for r in table(spark, d, "nation").toLocalIterator():
-        sinks.put(f"{folder}/{r['n_nationkey']}.{'PDF' if r['n_nationkey'] % 2 else 'pdf'}", (r["n_name"] + " é").encode())
-        sinks.put(f"{folder}/{r['n_nationkey']}.txt", b"no form")
-    listed = files.list_directory(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    """Two files for each nation, of which one counts as a form; listed, and read as resources."""
+    folder, c = new_folder(spark), F.col
+    nation = table(spark, d, "nation")
+    kept = nation.select(F.concat("n_nationkey", F.when(c("n_nationkey") % 2 == 1, ".PDF").otherwise(".pdf")).alias("name"), F.encode(F.concat("n_name", F.lit(" é")), "UTF-8").alias("content"))
+    committed.write_files(kept.unionByName(nation.select(F.concat("n_nationkey", F.lit(".txt")).alias("name"), F.lit(b"no form").alias("content"))), folder)
+    listed = tools.call("list_pdfs", spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
     read = files.read_bytes(spark, folder)
     blobs = content.resources(read.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"), "path", "content")
     sizes = read.select(F.element_at(F.split("path", "/"), -1).alias("file"), content.size_kb(F.col("length")).alias("size_kb"))
@@ -296,7 +360,8 @@ def resources_written(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (validate_forms, validate_first_empty, extract_wide, extract_csv_lines, field_names, read_fields, field_counts, naive_csv, fill_values, fill_status, fill_json_kinds, bulk_fill_files, profile_merge, list_by_suffix, list_profile_names, content_stats, resource_blobs, required_fields,
-        pdf_fields, pdf_fill, pdf_contents, content_scale, uri_paths, report_texts, first_ten_empty, extract_counts, list_counts, bulk_fill_written, csv_written, profiles_written, resources_written)
+        pdf_fields, pdf_fill, pdf_contents, content_scale, uri_paths, report_texts, first_ten_empty, extract_counts, list_counts, bulk_fill_written, csv_written, profiles_written, resources_written,
+        validate_bare_forms, extract_bare_lines, bare_field_counts, batch_counts, batch_csv_written, summary_of_long_forms, sparse_csv_lines, text_positions, csv_records)
 }
 
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -316,6 +381,11 @@ _FORM = """v AS (SELECT c_custkey, * FROM (SELECT c_custkey, 0 AS o, 'name' AS n
 w AS (SELECT *, CASE WHEN t IS NULL THEN 'not_found' WHEN t = 'radio' AND x NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN 'error' ELSE 'filled' END AS status FROM v),
 z AS (SELECT c_custkey, o, n, status, CASE WHEN status <> 'filled' THEN NULL WHEN t = 'checkbox' THEN CASE WHEN x IN ('true', 'yes', '1') THEN 'yes' ELSE 'no' END WHEN t <> 'unknown' THEN x END AS new_value,
  CASE status WHEN 'not_found' THEN 'Field ''' || n || ''' not found in PDF. Check field name or use ''read_pdf_fields'' to see available fields.' WHEN 'error' THEN 'Field ''' || n || ''': no such option: ' || x END AS error FROM w)"""
+_BARE = """b AS (SELECT 'c/' || c_custkey AS file, unnest(fs, recursive := true) FROM (SELECT c_custkey, CASE WHEN len(fs) = 0 THEN [{'o': NULL, 'n': NULL, 'e': NULL, 'x': NULL}] ELSE fs END AS fs FROM (SELECT c_custkey, list_filter([
+ CASE WHEN c_custkey % 5 <> 0 THEN {'o': 0, 'n': 'Name*', 'e': c_custkey % 4 = 0, 'x': CASE WHEN c_custkey % 4 <> 0 THEN c_name ELSE '' END} END,
+ CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 = 0 THEN {'o': 1, 'n': 'Segment', 'e': c_mktsegment IS NULL, 'x': c_mktsegment} END,
+ CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 2 = 0 THEN {'o': 2, 'n': 'Rich', 'e': false, 'x': CASE WHEN c_acctbal > 0 THEN 'yes' ELSE 'no' END} END], lambda f: f IS NOT NULL) AS fs FROM customer)))"""
+_BARE_LINES = """x AS (SELECT file, '"' || file[3:] || '","' || coalesce(max(x) FILTER (n = 'Name*'), '') || '","' || coalesce(max(x) FILTER (n = 'Rich'), '') || '","' || coalesce(max(x) FILTER (n = 'Segment'), '') || '"' AS line FROM b GROUP BY file)"""
 
 SQL: dict[str, str] = {
     "validate_forms": f"WITH {_DOC_FIELDS} SELECT file, count(*) AS total, CAST(count_if(NOT e) AS BIGINT) AS filled, CAST(count_if(e) AS BIGINT) AS empty, CAST(count_if(e AND (lower(n) LIKE '%required%' OR lower(n) LIKE '%must%' OR contains(n, '*'))) AS BIGINT) AS required_empty FROM f GROUP BY file",
@@ -380,7 +450,24 @@ SELECT count(DISTINCT file) AS n_forms, count(DISTINCT n) AS n_fields FROM f""",
     "bulk_fill_written": "SELECT 'n' || s_nationkey || '.pdf' AS _filename, arg_max(s_name, s_suppkey) AS name, arg_max(CASE WHEN s_acctbal > 0 THEN 'yes' ELSE 'no' END, s_suppkey) AS rich FROM supplier GROUP BY s_nationkey",
     "csv_written": """WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY 's/' || s_suppkey) AS p, '"' || s_suppkey || '","' || s_name || '","' || s_nationkey || '"' AS line FROM supplier)
 SELECT CAST(p AS INTEGER) AS position, line FROM s UNION ALL SELECT 0, '_filename,Name,Nation'""",
-    "profiles_written": """SELECT n_name AS profile_name, '{' || chr(10) || '  "name": "' || n_name || ' é",' || chr(10) || '  "region": ' || n_regionkey || ',' || chr(10) || '  "ok": ' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || ',' || chr(10) || '  "none": null' || chr(10) || '}' AS json FROM nation""",
+    "profiles_written": """WITH s AS (SELECT 'n' || s_nationkey || '-' || (s_suppkey % 7) AS profile_name, arg_max(s_name, s_suppkey) AS name, any_value(s_nationkey) AS k FROM supplier GROUP BY 1)
+SELECT profile_name, '{' || chr(10) || '  "name": "' || name || ' é\\"\\\\",' || chr(10) || '  "nation": ' || k || ',' || chr(10) || '  "ok": ' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || ',' || chr(10) || '  "none": null' || chr(10) || '}' AS json FROM s""",
     "resources_written": """WITH n AS (SELECT n_nationkey || CASE WHEN n_nationkey % 2 = 1 THEN '.PDF' ELSE '.pdf' END AS file, encode(n_name || ' é') AS b FROM nation)
 SELECT file, printf('%.2f', floor(octet_length(b) / 1024.0::DOUBLE * 100 + 0.5) / 100) AS size_kb, 'pdf://' || file AS uri, 'application/pdf' AS mime_type, base64(b) AS blob FROM n""",
+    "validate_bare_forms": f"WITH {_BARE} SELECT file, count(n) AS total, CAST(coalesce(count_if(n IS NOT NULL AND NOT e), 0) AS BIGINT) AS filled, CAST(coalesce(count_if(e), 0) AS BIGINT) AS empty, coalesce(string_agg(n, chr(10) ORDER BY o) FILTER (e AND contains(n, '*')), '') AS required, coalesce(string_agg(n, chr(10) ORDER BY o) FILTER (e), '') AS empty_fields FROM b GROUP BY file",
+    "extract_bare_lines": f"""WITH {_BARE}, {_BARE_LINES} SELECT file, line FROM x""",
+    "bare_field_counts": f"WITH {_BARE} SELECT file, count(n) AS n_fields FROM b GROUP BY file",
+    "batch_counts": f"WITH {_BARE} SELECT count(DISTINCT o_orderkey) AS n_forms, count(DISTINCT n) AS n_fields FROM orders JOIN b ON b.file = 'c/' || o_custkey",
+    "batch_csv_written": f"""WITH {_BARE}, {_BARE_LINES}, p AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS number, line FROM orders JOIN x ON x.file = 'c/' || o_custkey),
+q AS (SELECT count(*) AS n_forms FROM orders), u AS (SELECT count(DISTINCT n) AS n_fields FROM b)
+SELECT number, line, n_forms, n_fields FROM (SELECT * FROM p UNION ALL SELECT 0, '_filename,Name*,Rich,Segment'), q, u""",
+    "summary_of_long_forms": """WITH f AS (SELECT c_custkey AS k, range(0, least(CAST(c_custkey % 15 AS INTEGER), 14)) AS e FROM customer),
+g AS (SELECT k, len(e) AS n, list_transform(e, lambda i: 'f' || lpad(CAST(i AS VARCHAR), 2, '0') || CASE i WHEN 3 THEN '*' WHEN 7 THEN ' Required' ELSE '' END) AS names FROM f)
+SELECT 'd/' || k AS file, CAST(14 AS BIGINT) AS total, CAST(14 - n AS BIGINT) AS filled, CAST(n AS BIGINT) AS empty, array_to_string(names[1:10], chr(10)) AS first_empty, CAST(greatest(n - 10, 0) AS BIGINT) AS more FROM g""",
+    "sparse_csv_lines": """WITH r AS (SELECT conv_id, role || '-' || turn AS n, md5(max(coalesce(text, ''))) AS x FROM conversations GROUP BY conv_id, turn, role),
+g AS (SELECT c.conv_id, n.n, coalesce(r.x, '') AS x FROM (SELECT DISTINCT conv_id FROM r) c CROSS JOIN (SELECT DISTINCT n FROM r) n LEFT JOIN r ON r.conv_id = c.conv_id AND r.n = n.n)
+SELECT 'v/' || conv_id AS file, '"' || conv_id || '",' || string_agg('"' || x || '"', ',' ORDER BY n) AS line FROM g GROUP BY conv_id""",
+    "text_positions": "SELECT t AS field_name, row_number() OVER (ORDER BY t) - 1 AS position FROM (SELECT DISTINCT coalesce(text, '') AS t FROM conversations)",
+    "csv_records": f"""WITH {_CELLS}, n AS (SELECT row_number() OVER (ORDER BY file) - 1 AS row, * FROM c)
+SELECT row, unnest(['_filename', 'Name', 'Nation', 'Rich', 'Segment', 'Sign']) AS header, unnest(list_transform([form_id, "Name", "Nation", "Rich", "Segment", "Sign"], lambda v: '"' || v || '"')) AS value FROM n""",
 }

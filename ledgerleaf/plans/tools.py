@@ -11,11 +11,11 @@ import os
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import content, fields, fill, validate
+from ..session import forget, stored
 from ..sinks import files as sinks
 from ..sources import csv_text, files, forms, pdf
 
@@ -71,6 +71,11 @@ def save_profile(profile_name: str, field_data: Mapping[str, Any], root: str = f
     return sinks.write_profile(profile_name, dict(field_data), root)
 
 
+def save_profiles(profiles: DataFrame, root: str = files.PROFILES, *, order: str | None = None) -> None:
+    """Saves a table of profiles (profile_name, json), a file for each, written by the executors; of rows that share a name the last by `order` counts."""
+    sinks.write_profiles(profiles, root, order=order)
+
+
 def load_profile(spark: SparkSession, profile_name: str, root: str = files.PROFILES) -> DataFrame:
     """A profile's text as it was saved."""
     return files.read_profile(spark, profile_name, root)
@@ -91,16 +96,19 @@ def fill_with_profile(spark: SparkSession, pdf_path: str, output_path: str, prof
 def extract_to_csv(spark: SparkSession, pdf_paths: list[str], output_csv: str) -> DataFrame:
     """Writes one CSV; returns n_forms (paths, repeated ones too) and n_fields. A path given twice is a form of its own each time."""
     base = [files.resolve(p) for p in pdf_paths]
-    numbered = spark.createDataFrame([(i, p) for i, p in enumerate(base)], "n int, path string")
-    held = files.read_bytes(spark, *dict.fromkeys(base)).join(numbered, "path")
-    rows = forms.pdf_fields(held.select(F.concat(F.format_string("%08d/", "n"), F.element_at(F.split("path", "/"), -1)).alias("path"), "content"))
-    rows = rows.persist(StorageLevel.DISK_ONLY)  # parsed once for the header, the lines and the count
-    try:
-        sinks.write_csv(rows, files.resolve(output_csv))
-        n = len(fields.header(rows))
-    finally:
-        rows.unpersist()
-    return spark.createDataFrame([(len(pdf_paths), n)], "n_forms int, n_fields long")
+    listed = spark.createDataFrame([(i, p) for i, p in enumerate(base)], "n int, path string")
+    rows = stored(fields.batch(listed, forms.read_forms(spark, *dict.fromkeys(base))))  # each file is parsed once, whatever follows
+    n_forms, n_fields = sinks.write_csv(rows, files.resolve(output_csv))
+    forget(rows)
+    return spark.createDataFrame([(n_forms, n_fields)], "n_forms int, n_fields long")
+
+
+def extract_table_to_csv(paths: DataFrame, fields_: DataFrame, output_csv: str) -> DataFrame:
+    """The same of a table of paths (n, path) and the form_fields of the forms that they name."""
+    rows = stored(fields.batch(paths, fields_))
+    n_forms, n_fields = sinks.write_csv(rows, files.resolve(output_csv))
+    forget(rows)
+    return paths.sparkSession.createDataFrame([(n_forms, n_fields)], "n_forms long, n_fields long")
 
 
 def validate_pdf(spark: SparkSession, pdf_path: str, password: str | None = None) -> DataFrame:

@@ -12,9 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.fields import extract_lines, header, header_line
+from ..model import EXTRACT_NAME
+from ..operators.fields import numbered_names, sparse_lines
+from ..session import forget
 from ..sources import pdf
 from ..sources.files import PROFILES, inside, profile_path, store
+from .committed import write_files
+from .ordered import write_ordered
 
 
 @contextmanager
@@ -39,25 +43,39 @@ def put(path: str, data: bytes) -> None:
         f.write(data)
 
 
-def write_csv(fields: DataFrame, path: str) -> int:
-    """Writes the extracted table as one file, header first, forms in order of their names; returns how many forms. Lines
-    reach the driver a partition at a time, as one file has one writer; write_csv_parts() has many."""
-    names, n = header(fields), 0
-    lines = extract_lines(fields, names).orderBy("file")
-    with opened(path) as f:
-        f.write(header_line(names).encode())
-        for row in lines.toLocalIterator():
-            f.write(("\n" + row["line"]).encode("utf-8", "surrogatepass"))
-            n += 1
-    return n
+def _header(names: DataFrame) -> DataFrame:
+    """position and text: the first line in pieces, not quoted."""
+    start = names.sparkSession.createDataFrame([(-1, EXTRACT_NAME)], "position long, text string")
+    return start.unionByName(names.select("position", F.concat(F.lit(","), "field_name").alias("text")))
+
+
+def write_csv(fields: DataFrame, path: str) -> tuple[int, int]:
+    """Writes the extracted table as one file, header first, forms in order of their names; returns how many forms and how many distinct names.
+
+    Both the header and the lines are written by as many tasks as there are ranges of them, which also count them, so there is no limit to either and no job
+    for the counts.
+    """
+    names = numbered_names(fields)
+    n_names = names.count()
+    head = _header(names)
+    lines = sparse_lines(fields, names, n_names).select("file", F.concat(F.lit("\n"), "line").alias("text"))
+    _, n_forms = write_ordered(path, (head, [F.col("position")]), (lines, [F.col("file")]))
+    forget(names)
+    return n_forms, n_names
 
 
 def write_csv_parts(fields: DataFrame, directory: str) -> None:
     """The same lines as a directory of text files, written by the executors, in no order; the header alone is in one of its own."""
-    names = header(fields)
-    lines = extract_lines(fields, names).select("line")
-    lines.write.mode("overwrite").text(f"{directory.rstrip('/')}/lines")
-    put(f"{directory.rstrip('/')}/header.csv", header_line(names).encode())
+    names = numbered_names(fields)
+    sparse_lines(fields, names, names.count()).select("line").write.mode("overwrite").text(f"{directory.rstrip('/')}/lines")
+    write_ordered(f"{directory.rstrip('/')}/header.csv", (_header(names), [F.col("position")]))
+    forget(names)
+
+
+def write_profiles(profiles: DataFrame, root: str = PROFILES, *, name: str = "profile_name", json_text: str = "json", order: str | None = None) -> None:
+    """Saves the profiles of a table, a file for each, over others of their names: written by tasks, in place once all are written. json_text is what a
+    file holds. Of rows that share a name the last by `order` counts."""
+    write_files(profiles.select(F.concat(F.col(name), F.lit(".json")).alias("name"), F.encode(F.col(json_text), "UTF-8").alias("content"), *([F.col(order).alias("_order")] if order else [])), root, order="_order" if order else None)
 
 
 def write_profile(name: str, field_data: dict, root: str = PROFILES) -> str:

@@ -17,14 +17,15 @@ _FIELDS = "array<struct<field_ordinal:int,field_name:string,field_type:string,op
 
 
 def pdf_fields(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """form_fields of files' bytes, a task for each batch of files. A file that can't be read fails the job with the reason."""
+    """form_fields of files' bytes, a task for each batch of files; a form without fields is one row without a name. A file that can't be read fails
+    the job with the reason."""
 
     @F.arrow_udf(_FIELDS)
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([pdf.form_rows(x.as_py()) for x in batch], pa.list_(_FIELD))
 
-    rows = files.select(F.col(path).alias("file"), F.explode(parsed(content)).alias("f"))
+    rows = files.select(F.col(path).alias("file"), F.explode_outer(parsed(content)).alias("f"))
     return rows.select("file", "f.*")
 
 
@@ -66,9 +67,9 @@ def field(name: str, kind: str, value: Column | None = None, options: list[str]
     )
 
 
-def from_table(rows: DataFrame, file: Column, fields: list[Column]) -> DataFrame:
-    """form_fields of a table whose rows stand for forms."""
-    long = rows.select(file.cast("string").alias("file"), F.posexplode(F.array(*fields)).alias("field_ordinal", "f"))
+def from_table(rows: DataFrame, file: Column, fields: list[Column], *, some: bool = False) -> DataFrame:
+    """form_fields of a table whose rows stand for forms. some: null fields are ones that the form lacks, and a form that lacks all is one row without a name."""
+    long = rows.select(file.cast("string").alias("file"), F.posexplode_outer(F.array_compact(F.array(*fields))).alias("field_ordinal", "f")) if some else rows.select(file.cast("string").alias("file"), F.posexplode(F.array(*fields)).alias("field_ordinal", "f"))
     return long.select("file", "field_ordinal", "f.*")
 
 
