@@ -34,15 +34,15 @@ def flags(text: Column) -> list[Column]:
 def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """part, fails_A to fails_E, good and toxic of each document.
 
-    E compares texts by SHA-256 with the least key that has the text; the least keys are gathered with partial sums, and the join back is of
-    narrow rows, which Spark splits where a text is held by many.
+    E compares texts by SHA-256: the least key of each text is found with partial aggregates, and is joined back by text and key, so rows of a text that
+    a third of all documents hold are dealt by their keys, and only the first of them finds its match.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.sha2(whole, 256).alias("_text"), *flags(whole))
-    first = docs.select(F.col(key).alias("_key"), F.sha2(whole, 256).alias("_text")).groupBy("_text").agg(F.min("_key").alias("_first"))
+    first = docs.select(F.col(key).alias("_key"), F.sha2(whole, 256).alias("_text")).groupBy("_text").agg(F.min("_key").alias("_key")).withColumn("_first", F.lit(True))
     marks = labels.groupBy(F.col("doc_id").alias("_key")).agg(*[F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(f"_{c}") for c in ("quality", "toxic")])
-    out = rows.join(first, "_text").join(marks, "_key", "left")
-    late, no = F.coalesce(F.col("_key") > F.col("_first"), F.lit(False)), F.lit(False)
+    out = rows.join(first, ["_key", "_text"], "left").join(marks, "_key", "left")
+    late, no = F.col("_key").isNotNull() & F.col("_first").isNull(), F.lit(False)
     return out.select("part", *[f"fails_{x}" for x in LETTERS[:4]], late.alias("fails_E"), F.coalesce("_quality", no).alias("good"), F.coalesce("_toxic", no).alias("toxic"))
 
 
