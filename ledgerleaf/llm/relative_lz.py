@@ -329,12 +329,12 @@ def cut_passages(df: DataFrame, key: str = "doc_id", text: str = "text", *, leng
     if not several.where("hot").isEmpty():
         spans = spans.unionByName(dealt(references.where("hot"), length))
     spans = stored(spans)
-    # a later holder of a reference loses all of it, the reference itself what its factors cover
-    firsts = kinds.select("h", "c", F.col("key").alias("first")).join(spans, ["h", "c"], "left")
+    # a later holder of a reference loses all of it, the reference itself what its factors cover; stored for the same reason as heads
+    firsts = stored(kinds.select("h", "c", F.col("key").alias("first")).join(spans, ["h", "c"], "left"))
     hits = live.join(firsts, ["h", "c"]).where("key > first or spans is not null")
     hits = hits.groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("k", F.when(F.col("key") <= F.col("first"), F.col("spans")).alias("spans"))).alias("_hits"))
     hits = stored(hits)
-    forget(heads, live, kinds, several, asked, references, spans)
+    forget(heads, live, kinds, several, asked, references, spans, firsts)
     done, = unused(docs, "_done")
     out = docs.select(uid, x, *map(quoted, rest)).join(hits, uid, "left").withColumn(done, finished_udf(length)(part("z"), part("w"), part("a"), part("b"), "_hits"))
     return out.select(*map(quoted, rest), part("n").alias("n_words"), F.col(done)["removed"].alias("n_removed"), F.col(done)["kept"].alias("kept"), F.col(done)["spans"].alias("spans"))
