@@ -9,8 +9,11 @@ costs O(n log n), so one very long "word" costs no more than the same length in
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import quoted, small_batches, unused, without
 
@@ -43,6 +47,55 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Characters beyond those of most texts, looked for first.
+FAR = re.compile("[\u0530-\U0010ffff]")
+# How the vocabulary's file says that texts are normalised and split, the only way that WordBpe knows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+@dataclass(frozen=True)
+class Unicode:
+    """What the library's version of Unicode says of characters that the standard library's, an older one, has not assigned."""
+
+    #: Finds such a character.
+    late: re.Pattern
+    #: The vocabulary's words. The regex module knows a third version, so letters and numbers that the library doesn't know are left out.
+    words: regex.Pattern
+
+
+def class_of(points: list[int]) -> str:
+    """Code points, ascending, as ranges of a character class."""
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+@lru_cache(maxsize=1)
+def unicode() -> Unicode:
+    """Read off the library: which of those characters it takes for letters and numbers."""
+    late = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn"]
+    late = regex.findall(r"\P{Cn}", "".join(late))
+    kinds = {}
+    for kind in "LN":
+        mine = "".join(regex.findall(rf"\p{{{kind}}}", "".join(late)))
+        there = {c for part, _ in pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "removed", invert=True).pre_tokenize_str(mine) for c in part} if mine else set()
+        other = [ord(c) for c in mine if c not in there]
+        kinds[kind] = rf"[\p{{{kind}}}--[{class_of(other)}]]" if other else rf"\p{{{kind}}}"
+    words = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{kinds['L']}+|{kinds['N']}|[^{SPACE}{kinds['L']}{kinds['N']}]+"
+    return Unicode(re.compile(f"[{class_of([ord(c) for c in late])}]" if late else r"(?!)"), regex.compile(words))
+
+
 def merge_word(symbols: list[int], rank: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
     """Merges a word's symbol ids. rank: pair of ids -> its rank; merged: the id that a rank's pair becomes."""
     n = len(symbols)
@@ -93,6 +146,8 @@ class WordBpe:
 
     def __init__(self, spec: dict):
         model = spec["model"]
+        if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != SPLITTER or model["type"] != "BPE" or model.get("unk_token") or model.get("byte_fallback"):
+            raise ValueError("a vocabulary with another normaliser, splitter or model")
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -104,7 +159,7 @@ class WordBpe:
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        self.words, self.late = unicode().words, unicode().late
         #: Words lately seen, and those seen before them: the older half goes when the newer is full, so frequent words stay.
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -126,8 +181,8 @@ class WordBpe:
 
     def plain(self, text: str, out: list[bytes]) -> None:
         if not text.isascii():
-            import unicodedata
-
+            if FAR.search(text) and self.late.search(text):
+                text = normalizers.Lowercase().normalize_str(normalizers.NFC().normalize_str(text))
             # letter by letter, so no rule for a word's last sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         get, new = self.cache.get, self.encode_word  # should a new word start a new cache, this one's words are still right
