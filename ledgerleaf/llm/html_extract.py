@@ -26,11 +26,13 @@ from .common import quoted, small_batches, without
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements whose text is no page text.
-SILENT = {"script", "style", "noscript", "template", "title", "textarea", "select", "option", "svg", "iframe", "canvas", "head", "datalist", "video", "audio"}
+SILENT = {"script", "style", "noscript", "template", "title", "textarea", "select", "option", "svg", "iframe", "canvas", "head", "datalist", "video", "audio", "button"}
 #: Of these, the ones whose content is not markup.
 RAW = {"script", "style", "noscript", "title", "textarea", "iframe"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "br", "wbr", "meta", "link", "object", "math", "mi", "mo", "mn", "ms", "mrow", "mtext", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "mover", "munder", "munderover", "mspace", "mstyle", "semantics"}
+#: Silent elements stand within lines: what is before and after them is one block.
+INLINE |= SILENT - {"head", "title"}
 #: What an opening tag closes if it is the innermost open block.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"td", "th", "tr", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 SPACES = re.compile(r"\s+")
@@ -126,21 +128,23 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag not in INLINE:
+            if tag not in INLINE and not silent:
                 flush()
-            low = stack[-1].run if tag in INLINE and stack else 0  # an inline element is closed only if no block stands within it
+            low = stack[-1].run if tag in INLINE - SILENT and stack else 0  # an inline element is closed only if no block stands within it
             for k in range(len(stack) - 1, low - 1, -1) if standing[tag] > 0 else ():
                 if stack[k].tag == tag:
+                    if silent and tag not in INLINE and not any(x.tag in SILENT for x in stack[:k]):
+                        flush()  # it closes the silent element, left open, along with its own
                     shut(k)
                     break
             continue
         if tag in VOID:
             if not silent and (tag == "br" or tag not in INLINE):
                 parts.append(" ")
-            if tag not in INLINE:
+            if tag not in INLINE and not silent:
                 flush()
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and (not silent or tag == "body"):
             flush()
             if tag == "body" and silent:
                 shut(0)
@@ -382,7 +386,8 @@ def page(rng: np.random.Generator) -> tuple[str, list[str]]:
         return s[:1].upper() + s[1:] + pick([".", ".", ".", "?", "!"])
 
     article: list[str] = []
-    plain = lambda s: SPACES.sub(" ", html.unescape(re.sub(r"<[^>]*>", "", s.replace("<br>", " ")))).strip()
+    hidden = re.compile(r"<(svg|select|button|script|iframe)\b.*?</\1>")
+    plain = lambda s: SPACES.sub(" ", html.unescape(re.sub(r"<[^>]*>", "", hidden.sub("", s.replace("<br>", " "))))).strip()
 
     def inlined(s: str) -> str:
         bits = s.split(" ")
@@ -390,6 +395,9 @@ def page(rng: np.random.Generator) -> tuple[str, list[str]]:
             k = int(rng.integers(len(bits)))
             tag = pick(["a", "b", "em", "strong", "i", "span", "code"])
             bits[k] = f'<{tag}{" href=/x" if tag == "a" else ""}>{bits[k]}</{tag}>'
+        if chance(0.04):
+            silent = pick(["<svg><g><path d='M0'/></g></svg>", f"<select><option>{word()}<option>{word()}</select>", f"<button>{word()}</button>", "<script>x<y</script>", "<iframe src=/x></iframe>"])
+            bits.insert(int(rng.integers(len(bits) + 1)), silent)
         return " ".join(bits)
 
     def kept(tag: str, s: str, close: bool = True) -> str:
@@ -417,8 +425,10 @@ def page(rng: np.random.Generator) -> tuple[str, list[str]]:
                 out.append(kept("blockquote", prose()) if chance(0.5) else "<blockquote>" + kept("p", prose()) + "</blockquote>")
             elif r < 0.97:
                 out.append("<table>" + "".join("<tr>" + "".join(kept("td", sentence(int(rng.integers(1, 4)))) for _ in range(2)) + "</tr>" for _ in range(int(rng.integers(1, 4)))) + "</table>")
-            else:
+            elif r < 0.985:
                 out.append("<figure>" + kept("figcaption", sentence(int(rng.integers(2, 9)))) + "</figure>")
+            else:
+                out.append("<details>" + kept("summary", sentence(int(rng.integers(2, 9)))) + kept("p", prose()) + "</details>")
             if chance(0.03):
                 out.append(chrome(pick(["ad", "share", "side"])))
         return "".join(out)
