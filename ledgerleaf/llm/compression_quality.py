@@ -17,15 +17,13 @@ from .common import forget, quoted, small_batches, stored, without
 
 #: Labelled documents of each class that a model is fitted on, at most.
 PER_CLASS = 2000
-#: Pieces of each class's texts that a dictionary is built from, at most.
-PIECES = 40_000
 #: Bytes of each dictionary.
 DICTIONARY = 65536
 LEVEL = 3
 #: Bytes of a text that are compressed at a time, so that a long text's own words don't outweigh the dictionary.
 PIECE = 512
-#: The most that a text scores for which the good dictionary saves nothing over the bad one.
-NO_EVIDENCE = 0.49
+#: The share of all weight in the calibration that stands for texts without evidence, of which neither dictionary knows anything; they are no good ones.
+NO_EVIDENCE = 0.05
 
 
 @dataclass(frozen=True)
@@ -62,23 +60,24 @@ def difference(text: str | None, good: bytes, bad: bytes) -> float:
 
 
 def chance(model: Model, text: str | None) -> float:
-    """0 to 1. Below a half for a text without evidence, such as an empty one; a half for any text if the model had nothing to learn from."""
+    """0 to 1, as the calibrated curve has it; a half for any text if the model had nothing to learn from."""
     if not model.good:
         return 0.5
-    d = difference(text, model.good, model.bad)
-    found = float(np.interp(d, model.at, model.chances))
-    return found if d > 0 else min(found, NO_EVIDENCE)
+    return float(np.interp(difference(text, model.good, model.bad), model.at, model.chances))
 
 
-def calibrate(d: np.ndarray, y: np.ndarray, prior: float) -> tuple[tuple[float, ...], tuple[float, ...]]:
+def calibrate(d: np.ndarray, y: np.ndarray, prior: float, none: float = 0.0) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """The chance that a text is good, never falling with the difference: isotonic regression by pooling neighbours, the classes weighing
-    as often as they occur. Each pool counts one more text, of the prior."""
+    as often as they occur. Each pool counts one more text, of the prior. none: the weight, beside that of all texts, of the pool at 0 that texts
+    without evidence stand for, bad ones."""
     weight = {1: prior / max(1, int((y == 1).sum())), 0: (1 - prior) / max(1, int((y == 0).sum()))}
     one = 1 / len(y)
+    seen = [(float(d[k]), int(y[k]), weight[int(y[k])]) for k in np.argsort(d, kind="stable").tolist()]
+    if none:
+        seen = [x for x in seen if x[0] <= 0] + [(0.0, 0, none)] + [x for x in seen if x[0] > 0]
     pools: list[list[float]] = []  # good weight, weight, sum of differences, texts
-    for k in np.argsort(d, kind="stable").tolist():
-        w = weight[int(y[k])]
-        pools.append([w * y[k], w, float(d[k]), 1.0])
+    for at, good, w in seen:
+        pools.append([w * good, w, at, 1.0])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
@@ -87,13 +86,11 @@ def calibrate(d: np.ndarray, y: np.ndarray, prior: float) -> tuple[tuple[float,
 
 
 def dictionary(pieces: list[bytes]) -> bytes:
-    """A dictionary trained on pieces; of pieces too few or too much alike to train on, as many as fit, evenly from all of them."""
+    """A dictionary trained on pieces; pieces too few or too much alike to train on are one themselves, each distinct one once."""
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:
-        whole = sum(map(len, pieces))
-        step = max(1, -(-whole // DICTIONARY))
-        return b"".join(p[: -(-len(p) // step)] for p in pieces)[:DICTIONARY] if step > 1 else b"".join(pieces)
+        return b"".join(dict.fromkeys(pieces))
 
 
 def fit(good: list[bytes], bad: list[bytes], measured: Callable[[bytes, bytes], list[tuple[float, int]]], prior: float = 0.5) -> Model:
@@ -108,21 +105,21 @@ def fit(good: list[bytes], bad: list[bytes], measured: Callable[[bytes, bytes],
     y = np.array([label for _, label in found])
     if {*y.tolist()} != {0, 1}:
         return Model(b"", b"")
-    return Model(*built, *calibrate(np.array([d for d, _ in found]), y, prior))
+    return Model(*built, *calibrate(np.array([d for d, _ in found]), y, prior, NO_EVIDENCE))
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, pieces: int = PIECES, folds: int = 3, held_out: int = 1) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> Model:
     """Fitted on at most 2 * per_class labelled documents outside the held-out fold, whole, of any length.
 
-    Two thirds of them build the dictionaries, on the driver, from at most 2 * `pieces` pieces, an even share from all over each; the rest is
-    measured whole on the executors, and only differences and labels come back.
+    Two thirds of them build the dictionaries, on the driver, from all their pieces; the rest is measured whole on the executors, and only
+    differences and labels come back.
     """
     small_batches(docs.sparkSession)
     rows = stored(labelled.sample(docs, labels, per_class=per_class, folds=folds, held_out=held_out))
     turn = F.crc32(F.concat(F.lit("fit-"), F.col("doc_id").cast("string")).cast("binary")) % 3
     held: dict[int, list[bytes]] = {}
     for label in (0, 1):
-        got = labelled.pieces(rows.where((turn != 2) & (F.col("label") == label)), PIECE, max(1, pieces // per_class)).collect()
+        got = labelled.pieces(rows.where((turn != 2) & (F.col("label") == label)), PIECE).collect()
         held[label] = [bytes(x) for r in sorted(got, key=lambda r: str(r["doc_id"])) for x in r["pieces"]]
 
     def measured(good: bytes, bad: bytes) -> list[tuple[float, int]]:

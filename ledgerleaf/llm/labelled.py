@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,21 +38,15 @@ def sample(docs: DataFrame, labels: DataFrame, *, per_class: int, folds: int, he
     return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
-def pieces(rows: DataFrame, size: int, each: int, *keys: str) -> DataFrame:
-    """doc_id, keys and pieces: at most `each` pieces of `size` bytes of every whole text of rows (doc_id, text, keys), in order.
-
-    A longer text's pieces are drawn from all over it, the same ones for the same key, so no text counts by its first part alone, and
-    what a bounded sample of rows sends to the driver is bounded, however long its texts are.
-    """
+def pieces(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """doc_id, keys and pieces: the pieces of `size` bytes that every whole text of rows (doc_id, text, keys) is made of, in order."""
 
     @F.arrow_udf("array<binary>")
-    def cut(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array) -> pa.Array:
         out = []
-        for k, t in zip(ids, texts, strict=True):
+        for t in texts:
             data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            n = -(-len(data) // size)
-            places = range(n) if n <= each else sorted(random.Random(k.as_py()).sample(range(n), each))
-            out.append([data[size * i : size * (i + 1)] for i in places])
+            out.append([data[i : i + size] for i in range(0, len(data), size)])
         return pa.array(out, pa.list_(pa.binary()))
 
-    return rows.select("doc_id", *keys, cut(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("pieces"))
+    return rows.select("doc_id", *keys, cut(F.col("text").cast("string")).alias("pieces"))

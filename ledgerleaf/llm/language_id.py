@@ -22,8 +22,8 @@ SPAN = 64
 HIDDEN = 8
 #: Spans that go through the network together.
 TOGETHER = 2048
-#: Documents that a model is fitted on, at most, and spans of their texts.
-SAMPLE, SPANS = 2400, 40_000
+#: Documents that a model is fitted on, whole, at most; and languages that it learns, the most frequent ones, at most.
+SAMPLE, LANGUAGES = 800, 512
 PAD = 256
 #: What may hold a letter; numerals such as fractions count as word characters too, so str.isalpha() decides.
 WORD_CHARACTER = re.compile(r"[^\W\d_]")
@@ -216,16 +216,16 @@ def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
     return out
 
 
-def trained(docs: DataFrame, *, sample: int = SAMPLE, spans: int = SPANS, folds: int = 5, held_out: int = 0) -> Net | None:
-    """Fitted on the driver on spans of at most `sample` documents with a language and a letter, outside the held-out fold, chosen by key.
+def trained(docs: DataFrame, *, sample: int = SAMPLE, languages: int = LANGUAGES, folds: int = 5, held_out: int = 0) -> Net | None:
+    """Fitted on the driver on the whole texts of at most `sample` documents with a language and a letter, outside the held-out fold, chosen by key.
 
-    Each language has an even share, or all that it has; with more than `sample` languages each has one document. A document gives at most
-    spans / sample spans, drawn from all over its whole text.
+    Each language has an even share, or all that it has. Of more than `languages` languages the most frequent are learned, which bounds what is
+    counted, sent to all and collected, whatever the table's labels; with more than `sample` languages each has one document.
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).where(fold("doc_id", folds) != held_out)
     known = known.withColumn("lang", F.col("lang").cast("string"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return None
     # only keys with the least hashes are ranked: four times the share and some, so that few documents are enough
@@ -234,7 +234,7 @@ def trained(docs: DataFrame, *, sample: int = SAMPLE, spans: int = SPANS, folds:
     rows = known.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"), "lang", "doc_id", "text")
     rows = rows.join(F.broadcast(bounds), "lang").where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") <= F.col("_bound"))
     # the texts stay out of the sort
-    rows = pieces(rows, SPAN, max(1, spans // sample), "lang", "h", "_share")
+    rows = pieces(rows, SPAN, "lang", "h", "_share")
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "pieces"))).where("_rank <= _share")
     return fit([([bytes(x) for x in r["pieces"]], r["lang"]) for r in rows.orderBy("h", "doc_id", "pieces", "lang").select("pieces", "lang").collect()])
 

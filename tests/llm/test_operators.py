@@ -678,10 +678,16 @@ def test_language_learns_from_whole_texts(spark):
     # only the ends of long texts tell their languages
     same = "0123456789 " * 300
     df = spark.createDataFrame([(k, same + ("the house and the garden " if k % 2 else "το σπίτι και ο κήπος ") * 200, "en" if k % 2 else "el", "s", 1) for k in range(60)], DOCS)
-    net = language_id.trained(df, sample=40, spans=800)
+    net = language_id.trained(df, sample=16)
     assert language_id.predict(net, ["the garden and the house", "ο κήπος και το σπίτι"])[0] == ["en", "el"]
-    got = labelled.pieces(df.select("doc_id", "text", "lang"), 64, 20, "lang").collect()
-    assert all(len(r["pieces"]) == 20 for r in got) and any(r["pieces"] != got[0]["pieces"] for r in got)
+    got = labelled.pieces(df.select("doc_id", "text", "lang"), 64, "lang").collect()
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    assert all(b"".join(map(bytes, r["pieces"])).decode() == texts[r["doc_id"]] for r in got)
+
+
+def test_language_learns_a_bounded_number_of_languages(spark):
+    df = spark.createDataFrame([(k, "abc " * 20, f"l{min(k % 30, k // 30):02d}", "s", 1) for k in range(600)], DOCS)
+    assert len({r["lang"] for r in df.collect()}) == 20 and language_id.trained(df, sample=40, languages=3).labels == ["l00", "l01", "l02"]
 
 
 def test_language_of_a_long_text_is_its_parts(texts):
@@ -747,6 +753,13 @@ def test_html_gradient():
         ("<title>t</title><svg><text>s</text></svg>", []),
         ("<p>for <math><mi>x</mi><mo>=</mo><mn>2</mn></math> only</p>", ["for x=2 only"]),
         ("<object data=x><p>fallback</object>", ["fallback"]),
+        ("<p>before <svg><g><path d=M0></g></svg> after</p>", ["before after"]),
+        ("<p>Choose <select><option>a<option>b</select> now</p>", ["Choose now"]),
+        ("<p>a <button>Press</button> b<iframe src=x></iframe>c <canvas>no</canvas>d</p>", ["a bc d"]),
+        ("<p>a<video><source src=x><p>no</video> b<script>var p = '<p>';</script>c</p>", ["a bc"]),
+        ("<p>a<svg/>b <audio controls>no</audio></p><p>c", ["ab", "c"]),
+        ("<div>a <select><option>x</div><p>b", ["a", "b"]),
+        ("<p>a <button>x<div>y</div></button> b</p><p>c", ["a b", "c"]),
         ("<b><i>a</b>b</i></u>c<p>d</b>e", ["abc", "de"]),
         ("<div><b>a<div>b</b>c</div>d</div>", ["a", "bc", "d"]),
         ("", []),
@@ -962,6 +975,30 @@ def test_bpe_is_the_librarys(spark, texts, odd, none):
     assert {r["decoded"] for r in bpe.decode(with_null, path).collect()} == {""}
 
 
+def test_bpe_of_every_code_point():
+    """Each character between letters, digits and spaces gives the library's ids, whatever version of Unicode first had it."""
+    from tokenizers import Tokenizer
+
+    there, here = Tokenizer.from_file(tokenizer_path()), bpe.vocabulary(bpe.load(tokenizer_path()))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x34000 or c % 97 == 0 or 0xE0000 <= c < 0xE0200)]
+    wrong: list[str] = []
+    for k in range(0, len(points), 20_000):
+        texts = [f"a{c}b,{c}1 {c}" for c in map(chr, points[k : k + 20_000])]
+        want = [e.ids for e in there.encode_batch(texts, add_special_tokens=False)]
+        wrong += [hex(c) for c, t, ids in zip(points[k : k + 20_000], texts, want, strict=True) if np.frombuffer(here.encode(t), np.int32).tolist() != ids]
+    assert not wrong, (len(wrong), wrong[:50])
+    assert here.late.search("\u1c89") and bpe.FAR.search("\u1c89") and not any(here.late.search(chr(c)) for c in range(0x530))
+
+
+def test_other_vocabularies_are_refused():
+    import json
+
+    spec = json.loads(bpe.load(tokenizer_path()))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        with pytest.raises(ValueError, match="another normaliser"):
+            bpe.WordBpe(spec | change)
+
+
 def test_merges_in_any_order():
     rng = random.Random(19)
     rank, k = {}, 0
@@ -1018,7 +1055,7 @@ def plain_chance(model, text):
     else:
         k = next(i for i, x in enumerate(model.at) if x > d)
         p = model.chances[k - 1] + (model.chances[k] - model.chances[k - 1]) * (d - model.at[k - 1]) / (model.at[k] - model.at[k - 1])
-    return p if d > 0 else min(p, 0.49)
+    return p
 
 
 def test_compression_quality(many, odd, none):
@@ -1039,7 +1076,7 @@ def test_compression_quality(many, odd, none):
 
 
 def test_compression_sample_covers_long_texts(spark):
-    # what tells good from bad stands behind a long common beginning; keys come twice; only a bounded number of pieces is collected
+    # what tells good from bad stands behind a long common beginning; keys come twice
     rng = random.Random(31)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
     good, bad = [word("abcdefgh") for _ in range(300)], [word("mnopqrst") for _ in range(300)]
@@ -1047,7 +1084,7 @@ def test_compression_sample_covers_long_texts(spark):
     texts = [same + " ".join(rng.choice(good if k % 2 else bad) for _ in range(4000)) for k in range(60)]
     docs = spark.createDataFrame([*rows(texts), *rows(texts[:20])], DOCS)
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
-    model = compression_quality.trained(docs, labels, per_class=30, pieces=900)
+    model = compression_quality.trained(docs, labels, per_class=30)
     assert compression_quality.chance(model, " ".join(good)) > 0.6 > 0.4 > compression_quality.chance(model, " ".join(bad))
     held = labelled.sample(docs, labels, per_class=30, folds=3, held_out=1).collect()
     assert len({r["doc_id"] for r in held}) == len(held)
@@ -1063,6 +1100,14 @@ def test_isotonic_calibration():
 def test_dictionary_of_few_pieces():
     assert compression_quality.dictionary([b"abc", b"de"]) == b"abcde"
     assert compression_quality.dictionary([b"a" * 512] * 300).count(b"a") <= compression_quality.DICTIONARY
+    assert compression_quality.dictionary([b"xy" * 100_000] * 3) == b"xy" * 100_000
+
+
+def test_texts_without_evidence_weigh_as_bad():
+    d, y = np.array([-2.0, -1.0, -0.5, 0.5, 1.0, 2.0]), np.array([0, 0, 1, 1, 1, 1])
+    for none, good in ((0.0, True), (0.2, False)):
+        at, chances = compression_quality.calibrate(d, y, 0.5, none)
+        assert (np.interp(0.0, at, chances) > 0.5) == good and list(chances) == sorted(chances) and np.interp(2.0, at, chances) > 0.5
 
 
 def plain_statistics(text):
