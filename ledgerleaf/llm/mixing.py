@@ -107,8 +107,7 @@ def emitted(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
         taken = taken.withColumn(turn_, F.row_number().over(turn.orderBy(copies_)))
         rows = rows.withColumn(turn_, F.row_number().over(turn.orderBy(F.xxhash64(quoted(text)))))
         on = [*on, turn_]
-    # by sorting, also where taken would fit a broadcast: then disk and time grow alike at every size
-    out = join_alike(rows, taken.where(F.col(copies_) > 0).hint("merge"), on)
+    out = join_alike(rows, taken.where(F.col(copies_) > 0), on)
     return out.withColumn(copies_, F.explode(F.expr(f"sequence(1, cast(`{copies_}` as int))"))).select(*[quoted(c) for c in df.columns])
 
 
