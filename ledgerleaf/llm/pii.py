@@ -3,8 +3,10 @@
 Each detected entity is replaced by one of its own type and format, drawn by a secret key from its normal form, so the same person,
 number or address gets the same surrogate everywhere (coreference), however it is written. Numbers go through a keyed permutation
 of all numbers of their length. A name once found by a title or a known given name is replaced wherever it stands in the same text.
+A given name is one entity whatever its mentions tell of its gender, which is settled over the whole table; a Slavic surname is one in both genders.
 The entities of the whole table are then checked: where a surrogate is also some entity's surrogate, or is itself an entity of the
-table, the loser draws again until all are distinct.
+table, the loser draws again until all are distinct. Draws that fail get longer; of numbers so many that they crowd their space, the first draw stays, as a
+permutation draws no two alike.
 
 Names are found in Latin, Greek and Cyrillic script; numbers and addresses in any.
 """
@@ -98,9 +100,21 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
+#: Endings of Slavic surnames in Cyrillic; women's have one letter more.
+SLAVIC, FEMALE = ("ов", "ев", "ёв", "ин", "ын"), "а"
+
+
+def is_female(surname: str) -> bool:
+    """Whether a surname is a woman's form of a Slavic one."""
+    return len(surname) > 4 and surname.lower().endswith(tuple(x + FEMALE for x in SLAVIC))
+
+
 def normal(kind: str, surface: str) -> str:
     """What two ways of writing one entity have in common."""
-    if kind == "email" or kind == "surname" or kind.startswith("given"):
+    if kind == "surname":
+        form = unicodedata.normalize("NFC", surface).lower()
+        return form[:-1] if is_female(form) else form
+    if kind == "email" or kind.startswith("given"):
         return unicodedata.normalize("NFC", surface).lower()
     if kind == "phone":
         d = digits_of(surface)
@@ -239,7 +253,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         found[:] = [(a, b, names[f] if k == "given_" and names.get(f, "").startswith("given") else k, f) for a, b, k, f in found]
         for m in CAPITALISED.finditer(text):
             part = bare(m[0])
-            kind = names.get(unicodedata.normalize("NFC", part).lower())
+            kind = names.get(normal("given", part)) or names.get(normal("surname", part))
             if kind and whole(m):
                 add(m.start(), m.start() + len(part), kind)
     found.sort()
@@ -335,6 +349,7 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
     if kind == "email":
         local, _, domain = form.rpartition("@")
         labels = domain.split(".")
+        local += "a" * max(0, attempt - LONGER)  # draws that fail get longer
         return letters_like(draw, local) + "@" + ".".join([*(letters_like(Draw(key, "label", x, attempt), x) for x in labels[:-1]), labels[-1]])
     if kind == "iban":  # valid check digits stay valid, others stay as wrong as they were
         body = letters_like(draw, form[4:])
@@ -342,9 +357,9 @@ def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
         return f"{form[:2]}{(iban_check(form[:2], body) - 2 + off) % 97 + 2:02d}{body}"
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+", form):
-            return "".join("0123456789abcdef"[draw.below(16)] for _ in form)
+            return "".join("0123456789abcdef"[draw.below(16)] for _ in range(len(form) + max(0, attempt - LONGER)))
         head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-|", form)[0]
-        return head + letters_like(draw, form[len(head) :])
+        return head + letters_like(draw, form[len(head) :] + "a" * max(0, attempt - LONGER))
     if "-" in form:  # a name of two parts gets one of two parts
         return "-".join(named(kind, part, attempt, Draw(key, tweak, form, i)) for i, part in enumerate(form.split("-")) if part)
     return named(kind, form, attempt, draw)
@@ -359,7 +374,8 @@ def named(kind: str, form: str, attempt: int, draw: Draw) -> str:
         if attempt < 4:
             return pool[draw.below(len(pool))].lower()
         return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + attempt // 8)) + ENDS[script, gender]
-    return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + draw.below(2) + attempt // 4))
+    end = SLAVIC[draw.below(2)] if script == "cyrillic" and form.endswith(SLAVIC) else ""  # which a woman's form can be made of
+    return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + draw.below(2) + attempt // 4)) + end
 
 
 def rendered(kind: str, surface: str, core: str) -> str:
@@ -373,24 +389,27 @@ def rendered(kind: str, surface: str, core: str) -> str:
     if kind == "email":
         return "".join(x.upper() if c.isupper() else x for c, x in zip(surface, core, strict=True)) if len(core) == len(surface) else core
     if kind == "surname" or kind.startswith("given"):
+        if kind == "surname" and is_female(surface) and core.endswith(SLAVIC):
+            core += FEMALE
         return core.upper() if surface.isupper() and len(surface) > 1 else "-".join(x[:1].upper() + x[1:] for x in core.split("-")) if surface[:1].isupper() else core
     return core
 
 
-def written(text: str, spans: list[tuple[int, int, str, str]], attempts: dict[tuple[str, str], int], key: bytes) -> str:
-    """The text with the surrogates of detect()'s spans."""
+def written(text: str, spans: list[tuple[int, int, str, str]], settled: dict[tuple[str, str], tuple[str, int]], key: bytes) -> str:
+    """The text with the surrogates of detect()'s spans. settled: the kind and the attempt of entities that keep neither their mention's kind nor the first draw."""
     draw = _cached(key)
     out, at = [], 0
     for start, end, kind, form in spans:
-        out += [text[at:start], rendered(kind, text[start:end], draw(kind, form, attempts.get((kind, form), 0)))]
+        known, attempt = settled.get((kind, form), (kind, 0))
+        out += [text[at:start], rendered(known, text[start:end], draw(known, form, attempt))]
         at = end
     return "".join([*out, text[at:]])
 
 
-def replaced(text: str | None, attempts: dict[tuple[str, str], int], key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
+def replaced(text: str | None, settled: dict[tuple[str, str], tuple[str, int]], key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with surrogates, and (start, end, kind) of each in the original."""
     spans = detect(text)
-    return written(text, spans, attempts, key) if spans else text, [(a, b, k) for a, b, k, _ in spans]
+    return written(text, spans, settled, key) if spans else text, [(a, b, k) for a, b, k, _ in spans]
 
 
 @lru_cache(maxsize=4)
@@ -399,6 +418,8 @@ def _cached(key: bytes):
 
 
 SPANS = "array<struct<start:int,end:int,kind:string>>"
+#: Failed draws after which draws get longer; the share of a number format's space that entities may hold and still all be avoided; rounds of drawing.
+LONGER, CROWDED, ROUNDS = 2, 0.25, 200
 _FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("form", pa.string())]))
 
 
@@ -417,6 +438,9 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame | None:
     """(kind, form, attempt) of the entities whose first surrogate was another's, or an entity itself; None if there are none.
 
     Rounds go on until all are settled. Who is settled stays so: each round joins those still to settle with the others, and only they draw again.
+    A draw fails with a chance of CROWDED at most: formats of numbers of which the table holds more of their space are settled with the first draw,
+    which is a permutation, though it may be another entity of the table, and other formats get longer as draws fail. So rounds grow as the logarithm
+    of the entities, and ROUNDS is never reached but by a fault.
     """
 
     @F.arrow_udf("string")
@@ -424,7 +448,13 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame | None:
         return pa.array([surrogate(k.as_py(), f.as_py(), a.as_py(), key) for k, f, a in zip(kinds, forms, attempts, strict=True)], pa.string())
 
     family = F.regexp_replace("kind", "_.*", "")  # given names are distinct whatever their gender
-    first = known.withColumn("attempt", F.lit(0)).withColumn("core", core("kind", "form", "attempt")).withColumn("family", family)
+    # card numbers without their check digits, and a format for each length, so that the space is what a draw may give
+    long = F.when(F.col("kind") == "ip", F.lit(0)).otherwise(F.length("form") - (F.col("kind") == "card").cast("int"))
+    sizes = known.where(F.col("kind").isin("phone", "ssn", "card", "ip")).groupBy("kind", long.alias("_long")).agg(F.count(F.lit(1)).alias("n"))
+    space = F.when(F.col("kind") == "ip", F.lit(2.0**32)).otherwise(F.pow(F.lit(10.0), F.col("_long")))
+    crowded = sizes.where(F.col("n") > CROWDED * space).select("kind", "_long", F.lit(True).alias("full"))
+    first = known.withColumn("_long", long).join(crowded, ["kind", "_long"], "left").select("kind", "form", F.coalesce("full", F.lit(False)).alias("full"))
+    first = first.withColumn("attempt", F.lit(0)).withColumn("core", core("kind", "form", "attempt")).withColumn("family", family)
     first = stored(first)
     taken = first.select("family", F.col("form").alias("core")).distinct()
 
@@ -434,13 +464,12 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame | None:
         out = drawn.join(own, ["family", "core"]).withColumn("ok", (F.col("kind") == F.col("_first.kind")) & (F.col("form") == F.col("_first.form"))).drop("_first")
         gone = taken if before is None else taken.unionByName(before.where("ok").select("family", "core"))
         gone = drawn.select("family", "core").distinct().join(gone, ["family", "core"], "left_semi").withColumn("_gone", F.lit(True))
-        return out.join(gone, ["family", "core"], "left").withColumn("ok", F.col("ok") & F.col("_gone").isNull()).drop("_gone")
+        return out.join(gone, ["family", "core"], "left").withColumn("ok", F.col("full") | F.col("ok") & F.col("_gone").isNull()).drop("_gone")
 
     rounds = [stored(settled(first, None))]
-    while True:
-        losers = rounds[-1].where("not ok")
-        if losers.isEmpty():
-            break
+    while not (losers := rounds[-1].where("not ok")).isEmpty():
+        if len(rounds) > ROUNDS:
+            raise RuntimeError(f"entities are not distinct after {ROUNDS} draws")
         again = losers.drop("core", "ok").withColumn("attempt", F.col("attempt") + 1).withColumn("core", core("kind", "form", "attempt"))
         before = rounds[0]
         for x in rounds[1:]:
@@ -458,6 +487,33 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame | None:
     return out
 
 
+def genders(known: DataFrame) -> DataFrame:
+    """known: kind, form, n of given names. kind, form and what: the kind that all mentions of the name have, that of most of them, f where m is as frequent."""
+    n = lambda g: F.sum(F.when(F.col("kind") == f"given_{g}", F.col("n")).otherwise(0))
+    of = known.groupBy("form").agg(n("f").alias("f"), n("m").alias("m"))
+    what = F.when(F.col("f") + F.col("m") == 0, "given_").when(F.col("f") >= F.col("m"), "given_f").otherwise("given_m")
+    return known.select("kind", "form").join(of.select("form", what.alias("what")), "form")
+
+
+def settle(known: DataFrame, key: bytes) -> DataFrame | None:
+    """kind and form of mentions, and what and attempt, their entity's kind and draw, where these aren't the mention's own kind and 0; None if there are none."""
+    given = F.col("kind").startswith("given")
+    what = stored(genders(known.where(given)).unionByName(known.where(~given).select("form", "kind", F.col("kind").alias("what"))))
+    again = redrawn(what.select(F.col("what").alias("kind"), "form").distinct(), key)
+    if again is None:
+        out = what.where("kind <> what").withColumn("attempt", F.lit(0))
+    else:
+        out = what.join(again.withColumnRenamed("kind", "what"), ["what", "form"], "left").where("kind <> what or attempt is not null").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    out = stored(out.select("kind", "form", "what", "attempt"))
+    forget(what)
+    if again is not None:
+        forget(again)
+    if out.isEmpty():
+        forget(out)
+        return None
+    return out
+
+
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "pii_spans") -> DataFrame:
     """df with its texts' entities replaced, and an array of (start, end, kind) of what was replaced in the original text.
 
@@ -471,13 +527,13 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "pi
     uid, hits, again_, new = unused(base, "_uid", "_hits", "_again", "_new")
     held = stored(base.withColumns({uid: F.monotonically_increasing_id(), hits: detected(quoted(text).cast("string"))}))
     each = held.where(F.size(hits) > 0).select(uid, F.explode(F.array_distinct(F.transform(hits, lambda x: F.struct(x.kind.alias("kind"), x.form.alias("form"))))).alias("e")).select(uid, "e.*")
-    known = stored(each.select("kind", "form").distinct())
-    again = redrawn(known, key)
+    known = stored(each.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n")))
+    again = settle(known, key)
     forget(known)
     if again is None:
-        held = held.withColumn(again_, F.lit(None).cast("array<struct<kind:string,form:string,attempt:int>>"))
+        held = held.withColumn(again_, F.lit(None).cast("array<struct<kind:string,form:string,what:string,attempt:int>>"))
     else:
-        drawn = each.join(again, ["kind", "form"]).groupBy(uid).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(again_))
+        drawn = each.join(again, ["kind", "form"]).groupBy(uid).agg(F.collect_list(F.struct("kind", "form", "what", "attempt")).alias(again_))
         held = held.join(drawn, uid, "left")
 
     @F.arrow_udf("string")
@@ -485,7 +541,7 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", spans: str = "pi
         out = []
         for t, h, a in zip(texts, hits, again, strict=True):
             found = [(x["start"], x["end"], x["kind"], x["form"]) for x in h.as_py() or ()]
-            out.append(written(t.as_py(), found, {(x["kind"], x["form"]): x["attempt"] for x in a.as_py() or ()}, key) if found else t.as_py())
+            out.append(written(t.as_py(), found, {(x["kind"], x["form"]): (x["what"], x["attempt"]) for x in a.as_py() or ()}, key) if found else t.as_py())
         return pa.array(out, pa.string())
 
     out = held.withColumn(new, changed(quoted(text).cast("string"), F.col(hits), F.col(again_)))
