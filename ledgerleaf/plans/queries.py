@@ -357,11 +357,51 @@ def resources_written(spark: SparkSession, d: str) -> DataFrame:
     return listed.join(sizes, "file").join(blobs.select(content.path_of(F.col("uri")).alias("file"), "uri", "mime_type", "blob"), "file")
 
 
+def _supplier_files(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each supplier but every seventh: the name, repeated by the nation's key."""
+    folder, c = new_folder(spark), F.col
+    rows = table(spark, d, "supplier").where(c("s_suppkey") % 7 != 0)
+    committed.write_files(rows.select(_file_name().alias("name"), F.encode(F.repeat("s_name", c("s_nationkey")), "UTF-8").alias("content")), folder)
+    return folder
+
+
+def _file_name():
+    return F.concat(F.when(F.col("s_suppkey") % 5 == 0, ".").otherwise(""), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ".pdf").when(F.col("s_suppkey") % 3 == 0, ".PDF").otherwise(".pdf.txt"))
+
+
+def listed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of suppliers, hidden ones among them, listed by the tool."""
+    return tools.call("list_pdfs", spark, _supplier_files(spark, d)).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+def resource_table(spark: SparkSession, d: str) -> DataFrame:
+    """The resources of all suppliers, of which some have no file and some another scheme."""
+    folder, c = _supplier_files(spark, d).removeprefix("file://"), F.col
+    uri = F.concat(F.when(c("s_suppkey") % 11 == 0, "http://").otherwise("pdf://"), F.lit(folder + "/"), _file_name())
+    read = tools.read_resources(table(spark, d, "supplier").select(uri.alias("uri")))
+    gone = lambda x: F.replace(x, F.lit(folder), F.lit("/x"))
+    return read.select(gone(c("uri")).alias("uri"), "mime_type", F.md5("blob").alias("blob_md5"), gone(c("error")).alias("error"))
+
+
+def resource_uris(spark: SparkSession, d: str) -> DataFrame:
+    folder = _supplier_files(spark, d).removeprefix("file://")
+    read = tools.get_pdf_resource_uris(table(spark, d, "supplier").select(F.concat(F.lit(folder + "/"), _file_name()).alias("path")))
+    gone = lambda x: F.replace(F.col(x), F.lit(folder), F.lit("/x")).alias(x)
+    return read.select(gone("path"), gone("uri"), "file", "size_kb", gone("error"))
+
+
+def resolved_paths(spark: SparkSession, d: str) -> DataFrame:
+    name = F.regexp_replace("p_name", " ", "/")
+    path = F.concat(F.expr("element_at(array('~/', '~', '/', '', '../', './../x/.././', 's3://'), cast(p_partkey % 7 as int) + 1)"), name)
+    return table(spark, d, "part").select("p_partkey", path.alias("path"), files.resolved(path, "/home/u", "/work/dir").alias("full"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (validate_forms, validate_first_empty, extract_wide, extract_csv_lines, field_names, read_fields, field_counts, naive_csv, fill_values, fill_status, fill_json_kinds, bulk_fill_files, profile_merge, list_by_suffix, list_profile_names, content_stats, resource_blobs, required_fields,
         pdf_fields, pdf_fill, pdf_contents, content_scale, uri_paths, report_texts, first_ten_empty, extract_counts, list_counts, bulk_fill_written, csv_written, profiles_written, resources_written,
-        validate_bare_forms, extract_bare_lines, bare_field_counts, batch_counts, batch_csv_written, summary_of_long_forms, sparse_csv_lines, text_positions, csv_records)
+        validate_bare_forms, extract_bare_lines, bare_field_counts, batch_counts, batch_csv_written, summary_of_long_forms, sparse_csv_lines, text_positions, csv_records,
+        listed_files, resource_table, resource_uris, resolved_paths)
 }
 
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -381,6 +421,7 @@ _FORM = """v AS (SELECT c_custkey, * FROM (SELECT c_custkey, 0 AS o, 'name' AS n
 w AS (SELECT *, CASE WHEN t IS NULL THEN 'not_found' WHEN t = 'radio' AND x NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN 'error' ELSE 'filled' END AS status FROM v),
 z AS (SELECT c_custkey, o, n, status, CASE WHEN status <> 'filled' THEN NULL WHEN t = 'checkbox' THEN CASE WHEN x IN ('true', 'yes', '1') THEN 'yes' ELSE 'no' END WHEN t <> 'unknown' THEN x END AS new_value,
  CASE status WHEN 'not_found' THEN 'Field ''' || n || ''' not found in PDF. Check field name or use ''read_pdf_fields'' to see available fields.' WHEN 'error' THEN 'Field ''' || n || ''': no such option: ' || x END AS error FROM w)"""
+_FILES = """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN '.' ELSE '' END || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.pdf' WHEN s_suppkey % 3 = 0 THEN '.PDF' ELSE '.pdf.txt' END AS name, s_suppkey % 7 <> 0 AS there, repeat(s_name, s_nationkey) AS content FROM supplier"""
 _BARE = """b AS (SELECT 'c/' || c_custkey AS file, unnest(fs, recursive := true) FROM (SELECT c_custkey, CASE WHEN len(fs) = 0 THEN [{'o': NULL, 'n': NULL, 'e': NULL, 'x': NULL}] ELSE fs END AS fs FROM (SELECT c_custkey, list_filter([
  CASE WHEN c_custkey % 5 <> 0 THEN {'o': 0, 'n': 'Name*', 'e': c_custkey % 4 = 0, 'x': CASE WHEN c_custkey % 4 <> 0 THEN c_name ELSE '' END} END,
  CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 = 0 THEN {'o': 1, 'n': 'Segment', 'e': c_mktsegment IS NULL, 'x': c_mktsegment} END,
@@ -470,4 +511,11 @@ SELECT 'v/' || conv_id AS file, '"' || conv_id || '",' || string_agg('"' || x ||
     "text_positions": "SELECT t AS field_name, row_number() OVER (ORDER BY t) - 1 AS position FROM (SELECT DISTINCT coalesce(text, '') AS t FROM conversations)",
     "csv_records": f"""WITH {_CELLS}, n AS (SELECT row_number() OVER (ORDER BY file) - 1 AS row, * FROM c)
 SELECT row, unnest(['_filename', 'Name', 'Nation', 'Rich', 'Segment', 'Sign']) AS header, unnest(list_transform([form_id, "Name", "Nation", "Rich", "Segment", "Sign"], lambda v: '"' || v || '"')) AS value FROM n""",
+    "listed_files": f"SELECT name FROM ({_FILES}) WHERE there AND lower(name) LIKE '%.pdf'",
+    "resource_table": f"""SELECT s || '/x/' || name AS uri, CASE WHEN s = 'pdf://' AND there THEN 'application/pdf' END AS mime_type, CASE WHEN s = 'pdf://' AND there THEN md5(base64(encode(content))) END AS blob_md5,
+ CASE WHEN s <> 'pdf://' THEN 'Unsupported resource URI: ' || s || '/x/' || name WHEN NOT there THEN 'No such file: /x/' || name END AS error FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 'http://' ELSE 'pdf://' END AS s FROM ({_FILES}))""",
+    "resource_uris": f"""SELECT '/x/' || name AS path, CASE WHEN there THEN 'pdf:///x/' || name END AS uri, CASE WHEN there THEN name END AS file, CASE WHEN there THEN printf('%.2f', floor(octet_length(encode(content)) / 1024.0::DOUBLE * 100 + 0.5) / 100) END AS size_kb,
+ CASE WHEN NOT there THEN 'No such file: /x/' || name END AS error FROM ({_FILES})""",
+    "resolved_paths": """WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, replace(p_name, ' ', '/') AS n FROM part)
+SELECT p_partkey, (['~/', '~', '/', '', '../', './../x/.././', 's3://'])[k + 1] || n AS path, (['/home/u/', '/home/u/', '/', '/work/dir/', '/work/', '/work/', 's3://'])[k + 1] || n AS full FROM p""",
 }

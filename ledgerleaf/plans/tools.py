@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import content, fields, fill, validate
 from ..session import forget, stored
 from ..sinks import files as sinks
-from ..sources import csv_text, files, forms, pdf
+from ..sources import blobs, csv_text, files, forms, listing, pdf
 
 DEFAULT_DIRECTORY = os.path.join(os.path.expanduser("~"), "Documents")
 
@@ -28,7 +28,7 @@ class UnknownTool(ValueError):
 
 def list_pdfs(spark: SparkSession, directory: str | None = None) -> DataFrame:
     """The PDF files of a directory, not of those below it."""
-    return files.list_directory(spark, directory or DEFAULT_DIRECTORY)
+    return listing.list_paths(spark, directory or DEFAULT_DIRECTORY)
 
 
 def read_pdf_fields(spark: SparkSession, pdf_path: str, password: str | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ def load_profile(spark: SparkSession, profile_name: str, root: str = files.PROFI
 
 def list_profiles(spark: SparkSession, root: str = files.PROFILES) -> DataFrame:
     """The names of saved profiles."""
-    names = files.list_directory(spark, root, ".json", any_case=False)
+    names = listing.list_paths(spark, root, suffix=".json", any_case=False)
     return content.profile_names(names.select(F.element_at(F.split("path", "/"), -1).alias("name")), "name")
 
 
@@ -143,6 +143,16 @@ def read_resource(spark: SparkSession, uri: str) -> DataFrame:
     return content.resources(files.read_bytes(spark, path), "path", "content").withColumn("uri", F.lit(uri))
 
 
+def read_resources(uris: DataFrame) -> DataFrame:
+    """read_resource of a table of URIs (uri): uri, mime_type, blob and error, large and small files in tasks of like size."""
+    return blobs.resource_table(uris)
+
+
+def get_pdf_resource_uris(paths: DataFrame) -> DataFrame:
+    """get_pdf_resource_uri of a table of paths (path): path, uri, file, size_kb and error."""
+    return blobs.uri_table(paths)
+
+
 TOOLS = {f.__name__: f for f in (list_pdfs, read_pdf_fields, fill_pdf, bulk_fill_from_csv, save_profile, load_profile, list_profiles, fill_with_profile, extract_to_csv, validate_pdf, read_pdf_content, get_pdf_resource_uri)}
 
 

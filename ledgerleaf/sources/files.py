@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_suffix
@@ -26,6 +26,16 @@ def resolve(path: str | None) -> str | None:
     return path if os.path.isabs(path) else os.path.abspath(path)
 
 
+def resolved(path: Column, home: str | None = None, here: str | None = None) -> Column:
+    """resolve() of a column. home, here: the home and the working directory, by default the driver's."""
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: ~x.isin("", "."))
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    walk = lambda c: F.aggregate(parts(c), F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    full = lambda c: F.concat(F.lit("/"), F.array_join(walk(c), "/"))
+    at_home = full(F.concat(F.lit((home or os.path.expanduser("~")) + "/"), F.substring(path, F.lit(2), F.length(path))))
+    return F.when((path == "") | path.contains("://") | path.startswith("/"), path).when(path.startswith("~"), at_home).otherwise(full(F.concat(F.lit((here or os.getcwd()) + "/"), path)))
+
+
 def store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), os.path.abspath(path))
