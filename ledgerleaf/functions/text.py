@@ -102,9 +102,13 @@ def merged(base: Column, over: Column) -> Column:
     return F.map_from_entries(F.concat(kept, new))
 
 
+#: The texts that are whole numbers, as keys of objects.
+WHOLE = "^(0|[1-9][0-9]{0,8}|[1-3][0-9]{9}|4[01][0-9]{8})$"
+
+
 def in_key_order(entries: Column) -> Column:
     """Entries (key, value) in the order in which objects list them: whole numbers first, ascending, then the rest as they came."""
-    number = lambda e: e.key.rlike("^(0|[1-9][0-9]{0,8}|[1-3][0-9]{9}|4[01][0-9]{8})$")
+    number = lambda e: e.key.rlike(WHOLE)
     first = F.array_sort(F.filter(entries, number), lambda a, b: F.when(a.key.cast("long") < b.key.cast("long"), -1).when(a.key.cast("long") > b.key.cast("long"), 1).otherwise(0))
     return F.concat(first, F.filter(entries, lambda e: ~number(e)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_text, checks, in_key_order, merged
+from ..functions.text import WHOLE, as_text, checks, in_key_order, merged
 
 
 def values(records: DataFrame, key: str, record: str = "record") -> DataFrame:
@@ -74,6 +74,17 @@ def bulk_fill(records: DataFrame, template: DataFrame, filename_column: str | No
     return out.withColumn("kept", F.col("row") == F.max("row").over(Window.partitionBy("filename")))
 
 
+def merged_values(base: DataFrame, over: DataFrame) -> DataFrame:
+    """Two tables of values() as one: over's values win, base's names keep their places, over's new ones follow, and names that are whole numbers come first."""
+    both = base.withColumn("_over", F.lit(False)).unionByName(over.withColumn("_over", F.lit(True)))
+    place = F.struct("_over", "ordinal")
+    one = both.groupBy("row", "field_name").agg(F.min(place).alias("_place"), F.max_by(F.struct("value", "value_kind"), place).alias("_last"))
+    number = F.when(F.col("field_name").rlike(WHOLE), F.col("field_name").cast("long"))
+    entry = F.struct(number.isNull().alias("named"), F.coalesce(number, F.lit(0)).alias("number"), "_place", "field_name", "_last")
+    rows = one.groupBy("row").agg(F.array_sort(F.collect_list(entry)).alias("_all")).select("row", F.posexplode("_all").alias("ordinal", "e"))
+    return rows.select("row", "ordinal", F.col("e.field_name").alias("field_name"), F.col("e._last.value").alias("value"), F.col("e._last.value_kind").alias("value_kind"))
+
+
 def merge_profiles(profiles: DataFrame, base: str, over: str, out: str = "field_data") -> DataFrame:
     """Adds the merge of two maps of a row; over wins."""
     return profiles.withColumn(out, merged(F.col(base), F.col(over)))

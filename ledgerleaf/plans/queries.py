@@ -344,6 +344,20 @@ def profiles_written(spark: SparkSession, d: str) -> DataFrame:
     return tools.call("list_profiles", spark, folder).join(texts, "profile_name")
 
 
+def filled_with_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """A profile saved for each nation, and every customer's form filled with that of theirs and data of their own."""
+    folder, c = new_folder(spark), F.col
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("json"))
+    held = F.array(entry("segment", F.lit('"BUILDING"')), entry("name", json_string(c("n_name"))), entry("rich", (c("n_nationkey") % 2 == 0).cast("string")), entry("7", F.lit("null")))
+    named = F.concat("n_name", F.lit(".json"), "n_nationkey").alias("profile_name")
+    tools.save_profiles(table(spark, d, "nation").select(named, indented(held).alias("json")), folder)
+    own = F.when(c("c_custkey") % 3 == 0, F.concat(F.lit('{"segment": '), json_string(c("c_mktsegment")), F.lit(', "fax": 1, "3": true}')))
+    nation = table(spark, d, "nation").select(c("n_nationkey").alias("c_nationkey"), named)
+    requests = table(spark, d, "customer").join(nation, "c_nationkey").select(c("c_custkey").alias("row"), "profile_name", own.alias("additional_data"))
+    done = tools.fill_with_profiles(requests, tools.load_profiles(spark, folder), template(spark))
+    return done.select(c("row").alias("c_custkey"), "n_filled", "n_errors", F.array_join("errors", "\n").alias("errors"))
+
+
 def resources_written(spark: SparkSession, d: str) -> DataFrame:
     """Two files for each nation, of which one counts as a form; listed, and read as resources."""
     folder, c = new_folder(spark), F.col
@@ -401,7 +415,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (validate_forms, validate_first_empty, extract_wide, extract_csv_lines, field_names, read_fields, field_counts, naive_csv, fill_values, fill_status, fill_json_kinds, bulk_fill_files, profile_merge, list_by_suffix, list_profile_names, content_stats, resource_blobs, required_fields,
         pdf_fields, pdf_fill, pdf_contents, content_scale, uri_paths, report_texts, first_ten_empty, extract_counts, list_counts, bulk_fill_written, csv_written, profiles_written, resources_written,
         validate_bare_forms, extract_bare_lines, bare_field_counts, batch_counts, batch_csv_written, summary_of_long_forms, sparse_csv_lines, text_positions, csv_records,
-        listed_files, resource_table, resource_uris, resolved_paths)
+        filled_with_profiles, listed_files, resource_table, resource_uris, resolved_paths)
 }
 
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -512,6 +526,9 @@ SELECT 'v/' || conv_id AS file, '"' || conv_id || '",' || string_agg('"' || x ||
     "csv_records": f"""WITH {_CELLS}, n AS (SELECT row_number() OVER (ORDER BY file) - 1 AS row, * FROM c)
 SELECT row, unnest(['_filename', 'Name', 'Nation', 'Rich', 'Segment', 'Sign']) AS header, unnest(list_transform([form_id, "Name", "Nation", "Rich", "Segment", "Sign"], lambda v: '"' || v || '"')) AS value FROM n""",
     "listed_files": f"SELECT name FROM ({_FILES}) WHERE there AND lower(name) LIKE '%.pdf'",
+    "filled_with_profiles": """WITH f AS (SELECT c_custkey, 'Field ''' || x || ''' not found in PDF. Check field name or use ''read_pdf_fields'' to see available fields.' AS e, o FROM customer JOIN (VALUES ('3', 1, 3), ('7', 2, 1), ('fax', 4, 3)) v(x, o, every) ON c_custkey % every = 0
+ UNION ALL SELECT c_custkey, 'Field ''segment'': no such option: ' || c_mktsegment, 3 FROM customer WHERE c_custkey % 3 = 0 AND c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY'))
+SELECT c_custkey, CAST(CASE WHEN count_if(o = 3) > 0 THEN 2 ELSE 3 END AS BIGINT) AS n_filled, count(*) AS n_errors, string_agg(e, chr(10) ORDER BY o) AS errors FROM f JOIN customer USING (c_custkey) JOIN nation ON n_nationkey = c_nationkey GROUP BY c_custkey""",
     "resource_table": f"""SELECT s || '/x/' || name AS uri, CASE WHEN s = 'pdf://' AND there THEN 'application/pdf' END AS mime_type, CASE WHEN s = 'pdf://' AND there THEN md5(base64(encode(content))) END AS blob_md5,
  CASE WHEN s <> 'pdf://' THEN 'Unsupported resource URI: ' || s || '/x/' || name WHEN NOT there THEN 'No such file: /x/' || name END AS error FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 'http://' ELSE 'pdf://' END AS s FROM ({_FILES}))""",
     "resource_uris": f"""SELECT '/x/' || name AS path, CASE WHEN there THEN 'pdf:///x/' || name END AS uri, CASE WHEN there THEN name END AS file, CASE WHEN there THEN printf('%.2f', floor(octet_length(encode(content)) / 1024.0::DOUBLE * 100 + 0.5) / 100) END AS size_kb,

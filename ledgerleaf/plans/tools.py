@@ -81,6 +81,25 @@ def load_profile(spark: SparkSession, profile_name: str, root: str = files.PROFI
     return files.read_profile(spark, profile_name, root)
 
 
+def load_profiles(spark: SparkSession, root: str = files.PROFILES) -> DataFrame:
+    """profile_name and json of all profiles of a folder."""
+    held = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(files.resolve(root))
+    name = F.element_at(F.split("path", "/"), -1)
+    return held.select(F.substring(name, F.lit(1), F.length(name) - 5).alias("profile_name"), F.decode("content", "UTF-8").alias("json"))
+
+
+def fill_with_profiles(requests: DataFrame, profiles: DataFrame, template: DataFrame) -> DataFrame:
+    """fill_with_profile of a table: requests (row, profile_name, additional_data, the JSON of an object or null), profiles (profile_name, json) and
+    the form_fields of one form. row, n_filled, n_errors and errors of each request. Additional data wins; a profile that isn't there fails the job."""
+    known = requests.join(profiles.withColumn("_there", F.lit(True)), "profile_name", "left")
+    json_text = F.when(F.col("_there"), F.col("json")).otherwise(F.raise_error(F.concat(F.lit("No such profile: "), "profile_name")))
+    base = fill.json_values(known.select("row", json_text.alias("field_data")), "row")
+    more = fill.json_values(requests.select("row", F.coalesce("additional_data", F.lit("{}")).alias("field_data")), "row")
+    done = fill.fill_status(fill.fill(fill.merged_values(base, more), template))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return requests.select("row").join(done, "row", "left").select("row", zero("n_filled"), zero("n_errors"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+
+
 def list_profiles(spark: SparkSession, root: str = files.PROFILES) -> DataFrame:
     """The names of saved profiles."""
     names = listing.list_paths(spark, root, suffix=".json", any_case=False)

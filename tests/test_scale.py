@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_csv import CASES
 
 from ledgerleaf.model import FORM_FIELDS
-from ledgerleaf.operators import fields, validate
+from ledgerleaf.operators import fields, fill, validate
 from ledgerleaf.plans import tools
 from ledgerleaf.sinks import committed, ordered
 from ledgerleaf.sinks import files as sinks
@@ -220,3 +220,15 @@ def test_a_form_of_many_empty_fields(spark):
     r = validate.summary(rows).first()
     assert (r["total"], r["empty"], r["more"]) == (3_000_000, 3_000_000, 2_999_990) and r["first_empty"] == "\n".join(f"n{i}" for i in range(10))
 
+
+
+def test_a_table_filled_with_profiles(spark):
+    template = forms.from_table(spark.createDataFrame([("f",)], "f string"), F.col("f"), [forms.field("a", "text"), forms.field("b", "checkbox"), forms.field("10", "text")])
+    profiles = spark.createDataFrame([("p", '{"a": "x", "b": 1, "10": "t"}'), ("none", "{}")], "profile_name string, json string")
+    requests = spark.createDataFrame([(0, "p", '{"z": 1, "2": null, "b": true}'), (1, "p", None), (2, "none", None), (3, "none", '{"a": null}')], "row long, profile_name string, additional_data string")
+    got = {r["row"]: (r["n_filled"], r["n_errors"], [e.split("'")[1] for e in r["errors"]]) for r in tools.fill_with_profiles(requests, profiles, template).collect()}
+    assert got == {0: (3, 2, ["2", "z"]), 1: (3, 0, []), 2: (0, 0, []), 3: (1, 0, [])}
+    values = fill.merged_values(*(fill.json_values(df, "row", "field_data") for df in (profiles.where("profile_name = 'p'").select(F.lit(0).cast("long").alias("row"), F.col("json").alias("field_data")), requests.where("row = 0").select("row", F.col("additional_data").alias("field_data")))))
+    assert [(r["field_name"], r["value"], r["value_kind"]) for r in values.orderBy("ordinal").collect()] == [("2", None, "null"), ("10", "t", "string"), ("a", "x", "string"), ("b", "true", "boolean"), ("z", "1", "number")]
+    with pytest.raises(PySparkException, match="No such profile: q"):
+        tools.fill_with_profiles(spark.createDataFrame([(0, "q", None)], requests.schema), profiles, template).collect()
