@@ -159,7 +159,8 @@ class WordBpe:
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.words, self.late = unicode().words, unicode().late
+        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")  # for texts without late characters, as it is faster
+        self.late_words, self.late = unicode().words, unicode().late
         #: Words lately seen, and those seen before them: the older half goes when the newer is full, so frequent words stay.
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -180,13 +181,15 @@ class WordBpe:
         return array("i", merge_word(symbols, self.rank, self.merged)).tobytes()
 
     def plain(self, text: str, out: list[bytes]) -> None:
+        words = self.words
         if not text.isascii():
             if FAR.search(text) and self.late.search(text):
+                words = self.late_words
                 text = normalizers.Lowercase().normalize_str(normalizers.NFC().normalize_str(text))
             # letter by letter, so no rule for a word's last sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         get, new = self.cache.get, self.encode_word  # should a new word start a new cache, this one's words are still right
-        out += [get(w) or new(w) for w in self.words.findall(text.lower())]
+        out += [get(w) or new(w) for w in words.findall(text.lower())]
 
     def encode(self, text: str | None) -> bytes:
         """The ids as int32 bytes."""
