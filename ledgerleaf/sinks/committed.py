@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..session import ship
 from ..sources.files import inside, store
 
 FORMAT = "ledgerleaf_files"
@@ -115,4 +116,5 @@ def write_files(rows: DataFrame, folder: str, *, name: str = "name", content: st
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(Files)

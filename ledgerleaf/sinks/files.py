@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..model import EXTRACT_NAME
 from ..operators.fields import numbered_names, sparse_lines
-from ..session import forget
+from ..session import forget, ship
 from ..sources import pdf
 from ..sources.files import PROFILES, inside, profile_path, store
 from .committed import write_files
@@ -89,6 +89,7 @@ def write_forms(filled: DataFrame, names: DataFrame, template: bytes, directory:
     into a directory that all executors share. Returns filename and error, null where the file was written."""
     pairs = F.collect_list(F.when((F.col("status") == "filled") & F.col("new_value").isNotNull(), F.struct("field_name", "new_value")))
     rows = names.where("kept").join(filled.groupBy("row").agg(pairs.alias("values")), "row", "left").select("filename", "values")
+    ship(filled.sparkSession)
     sent = filled.sparkSession.sparkContext.broadcast(template)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from ..sources.files import store
 
 PART = "table int, part long, name string, size long, rows long"
@@ -117,6 +118,7 @@ def write_ordered(path: str, *tables: tuple[DataFrame, list], text: str = "text"
     Nothing is put between texts. Null and empty texts add nothing. The folder must be shared by all machines. A file that was there is replaced.
     """
     spark = tables[0][0].sparkSession
+    ship(spark)
     fs, at = store(path)
     folder, name = os.path.dirname(at), os.path.basename(at)
     own = f".{name}-{uuid.uuid4().hex}"

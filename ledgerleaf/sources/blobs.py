@@ -12,7 +12,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.text import base64_line, base_name, size_kb
 from ..operators.content import SCHEME, resource_uri
-from ..session import stored
+from ..session import ship, stored
 from .files import resolved, store
 
 #: Bytes of files that one task is meant to read.
@@ -23,6 +23,7 @@ OPENING = 64 << 10
 
 def stats(paths: DataFrame, path: str = "path") -> DataFrame:
     """paths and size, and error where there is no such file."""
+    ship(paths.sparkSession)
 
     @F.arrow_udf("struct<size:long,error:string>")
     def looked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

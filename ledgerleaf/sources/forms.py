@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import FORM_FIELDS
+from ..session import ship
 from . import pdf
 from .files import read_bytes
 
@@ -19,6 +20,7 @@ _FIELDS = "array<struct<field_ordinal:int,field_name:string,field_type:string,op
 def pdf_fields(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """form_fields of files' bytes, a task for each batch of files; a form without fields is one row without a name. A file that can't be read fails
     the job with the reason."""
+    ship(files.sparkSession)
 
     @F.arrow_udf(_FIELDS)
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -35,6 +37,7 @@ def read_forms(spark: SparkSession, *paths: str) -> DataFrame:
 
 def contents(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, n_bytes, pages, text and error of files; what can't be read has an error instead of failing."""
+    ship(files.sparkSession)
 
     @F.arrow_udf("struct<pages:int,text:string,error:string>")
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition, IsNotNull, StringEndsWith
 from pyspark.sql.types import StructType
 
+from ..session import ship
 from .files import resolve, store
 
 FORMAT = "ledgerleaf_listing"
@@ -101,6 +102,7 @@ class Listing(DataSource):
 def entries(spark: SparkSession, *directories: str) -> DataFrame:
     """directory, name, lower_name, is_directory and size of what directories hold, not of what is below. Filters on the ends of name or lower_name are
     answered by the tasks that list, where spark.sql.python.filterPushdown.enabled is set, as session() does."""
+    ship(spark)
     spark.dataSource.register(Listing)
     return spark.read.format(FORMAT).option("pushed", spark.conf.get(PUSHDOWN, "false")).option("paths", "\n".join(resolve(d) or "." for d in directories)).load()
 
