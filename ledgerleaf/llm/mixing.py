@@ -107,7 +107,8 @@ def emitted(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
         taken = taken.withColumn(turn_, F.row_number().over(turn.orderBy(copies_)))
         rows = rows.withColumn(turn_, F.row_number().over(turn.orderBy(F.xxhash64(quoted(text)))))
         on = [*on, turn_]
-    out = join_alike(rows, taken.where(F.col(copies_) > 0), on)
+    # taken has a row for each document, so its size has no bound and it isn't sent to all, whatever its size is just now
+    out = join_alike(rows, taken.where(F.col(copies_) > 0).hint("merge"), on)
     return out.withColumn(copies_, F.explode(F.expr(f"sequence(1, cast(`{copies_}` as int))"))).select(*[quoted(c) for c in df.columns])
 
 

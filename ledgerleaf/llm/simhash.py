@@ -521,5 +521,6 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, wo
     least = named.groupBy("_root").agg(F.min("_first").alias("best"))
     best = stored(prints.select("uid", "fp").join(named.join(least, "_root").select("fp", "best"), "fp").select(F.col("uid").alias(uid_), F.col("best").alias(best_)))
     forget(prints, nodes, counts, some, maybe, roots, named)
-    out = rows.join(best, uid_).withColumns({"component_id": F.col(best_)["key"], "kept": F.col(uid_) == F.col(best_)["uid"]})
+    # best has a row for each document, so its size has no bound and it isn't sent to all, whatever its size is just now
+    out = rows.join(best.hint("merge"), uid_).withColumns({"component_id": F.col(best_)["key"], "kept": F.col(uid_) == F.col(best_)["uid"]})
     return out.drop(uid_, best_)
