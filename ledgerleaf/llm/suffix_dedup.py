@@ -12,7 +12,8 @@ occurs twice where two segments agree on o bytes before the anchor and length -
 An anchor with many kinds of segment is dealt to several families: its offsets are halved, and segments meet in a half if they agree on the bytes
 that all windows of that half have, and so on.
 
-RepeatIndex keeps levels in the shared folder, so that later batches of documents meet them; cut_repeats() is a batch by itself.
+RepeatIndex keeps levels in the shared folder, so that later batches of documents meet them; cut_repeats() deals its documents to a few batches and takes
+them through such an index.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BATCH = 8192
 FAMILY = 1 << 15
 #: Kinds of segment on one anchor beyond which its offsets are halved.
 HOT = 1024
+#: Batches that a table goes through the index in: the second is scanned with the first's level and merges with it.
+BATCHES = 2
 BASE = 0x9E3779B97F4A7C15 | 1
 ODD = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -492,6 +495,9 @@ class RepeatIndex:
         #: Of each batch: segments on anchors that it met, whoever's they are, and what repeats among them.
         self.live: list[DataFrame] = []
         self.found: list[DataFrame] = []
+        #: How many levels each batch met, and how many were merged.
+        self.met: list[int] = []
+        self.merged = 0
 
     def add(self, df: DataFrame, text: str = "text") -> None:
         """Takes another batch of documents. Texts may be null; keys are not looked at."""
@@ -517,6 +523,7 @@ class RepeatIndex:
         kinds = live.where("mixed").groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("b_", "uid", "p", "a", "b")).alias("x"))
         kinds = stored(kinds.select("h", "c", "n", "x.*"))
         fresh, old = kinds, None
+        self.met.append(len(self.levels))
         for rank, (_, level) in enumerate(self.levels):
             fresh = fresh.join(level.select("h", "c"), ["h", "c"], "left_anti")
             near = level.join(heads.where("mixed").select("h"), "h", "left_semi").withColumn("level", F.lit(rank))
@@ -550,10 +557,16 @@ class RepeatIndex:
         while self.levels and self.levels[-1][0] <= rank(n):
             _, level = self.levels.pop()
             gone.append(level)
+            self.merged += 1
             merged, n = merged.unionByName(level), n + level.count()
         self.levels.append((rank(n), stored(merged.repartition(max(parts, -(-n // FAMILY)), "h").sortWithinPartitions("right"))))
         forget(*gone)
 
+    def close(self) -> None:
+        """Deletes the levels, once no batch is to come; what repeats() reads stays."""
+        forget(*[level for _, level in self.levels])
+        self.levels.clear()
+
     def repeats(self, b: int) -> DataFrame:
         """Batch b's documents, without their texts, and n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans (start, end of each removed run)."""
         rest, (uid, z, _, twice) = self.names[b]
@@ -570,16 +583,22 @@ class RepeatIndex:
         return out.select(*map(quoted, rest), "n_bytes", got["removed"].alias("n_removed"), F.size(got["spans"]).cast("long").alias("n_spans"), got["kept"].alias("kept"), got["spans"].alias("spans"))
 
 
-def cut_repeats(df: DataFrame, text: str = "text", *, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT) -> DataFrame:
+def cut_repeats(df: DataFrame, text: str = "text", *, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT, batches: int = BATCHES, index: RepeatIndex | None = None) -> DataFrame:
     """df without `text`, and n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans (start, end of each removed run).
 
     Bytes covered by a string of `length` bytes that also starts anywhere else in the table, the same text included, are removed, every copy of
     them. Null texts count as empty; shorter texts stay whole; rows repeated lose all passages of full length. Very long texts are read whole, in pieces.
     An empty table gives an empty one. Columns called like the new ones give way; others stay. Exact but for collisions of 64-bit hashes.
+    Documents go through an index in `batches` batches, by a hash of their text; index: one of the caller's, with other settings or to look at afterwards.
     """
-    index = RepeatIndex(length=length, gram=gram, batch=batch, hot=hot, keep=False)
-    index.add(df, text)
-    return index.repeats(0)
+    index = index or RepeatIndex(length=length, gram=gram, batch=batch, hot=hot)
+    for b in range(batches):
+        index.add(df.where(F.pmod(F.xxhash64(quoted(text).cast("string")), F.lit(batches)) == b), text)
+    index.close()
+    out = index.repeats(0)
+    for b in range(1, batches):
+        out = out.unionByName(index.repeats(b))
+    return out
 
 
 SQL = r"""

@@ -175,3 +175,16 @@ def test_stages_on_odd_rows(spark, data):
         else:
             assert len(got) == whole.count() and {len(r["ids"]) for r in got if r["doc_id"] in (9001, 9002, 9003)} == {0}
         assert stage(spark, none, data).count() == 0
+
+
+def test_op2_goes_through_levels(spark, data, texts, monkeypatch):
+    """Batches meet kept levels and levels merge; the result is the registered query's."""
+    from pyspark.sql import functions as F
+
+    from ledgerleaf.llm import suffix_dedup
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    index = suffix_dedup.RepeatIndex()
+    got = suffix_dedup.cut_repeats(docs, index=index).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert len(index.met) == suffix_dedup.BATCHES and index.met[0] == 0 and min(index.met[1:]) >= 1 and index.merged >= 1 and not index.levels
+    assert {r[0]: tuple(r)[1:] for r in got} == dict(zip(texts, brute_repeats([t.encode() for t in texts.values()], 400), strict=True))
