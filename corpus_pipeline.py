@@ -25,12 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least doc_id, of each group alike in 0.8 of their five-word shingles or more.
+    """One document, of the least doc_id, of each group that SimHash fingerprints of three-word shingles link, at 3 differing bits or fewer.
 
-    Of rows repeated, and of null and empty texts, one stays. Texts of any length count whole. An empty table gives an empty one; columns
-    called component_id or kept would be lost, others stay.
+    Of rows repeated, and of null and empty texts, one stays. Texts of any length count whole. An empty table gives an empty one; all columns
+    stay.
     """
-    return simhash.similar_groups(docs, words=5, similarity=0.8).where("kept").drop("component_id", "kept")
+    return simhash.first_of_groups(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,26 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words
     return prints.join(named, "fp")
 
 
+def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 3, bits: int = 3, leaf: int = LEAF) -> DataFrame:
+    """One row of each of near_groups()' groups: one with the least key, or any where the whole group has none. All columns stay.
+
+    Of rows repeated one stays, of null and empty texts too. What is grouped and linked is keys and fingerprints; texts are only stored, once, and
+    dealt once more to be met by the rows that stay. An empty table gives an empty one.
+    """
+    uid, = unused(df, "_uid")
+    rows = stored(df.withColumn(uid, F.monotonically_increasing_id()))
+    some = rows.select(F.col(uid).alias("uid"), quoted(key).alias("key"), quoted(text).cast("string").alias("text"))
+    prints = stored(fingerprints(some, "text", "fp", words).select("uid", "key", "fp"))
+    first = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("uid").alias("uid"))
+    nodes = stored(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    found = components(links(nodes.select("fp"), bits, leaf))
+    named = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    best = stored(named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias(uid)))
+    forget(prints, nodes, found)
+    # best has a row for each group, so its size has no bound and it isn't sent to all, whatever its size is just now
+    return rows.join(best.hint("merge"), uid, "left_semi").drop(uid)
+
+
 # ---- lower similarities
 
 #: Rows that share a shingle, and shingles of texts that are to be verified together, beyond which a group is dealt in blocks.

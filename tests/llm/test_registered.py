@@ -177,6 +177,21 @@ def test_stages_on_odd_rows(spark, data):
         assert stage(spark, none, data).count() == 0
 
 
+def test_near_duplicates_are_by_simhash(spark, data, texts):
+    """The stage keeps the least doc_id of each group of operator 3, whose method it names, and nothing else."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    base = " ".join(f"w{k}" for k in range(400))
+    odd = [(90_001, base), (90_002, base + " tail"), (90_003, base.replace("w7 ", "x7 ")), (90_004, base.upper()), (None, base), (90_005, " ".join(f"w{k * k}" for k in range(400)))]
+    whole = docs.unionByName(spark.createDataFrame([(k, t, None, None, len(t)) for k, t in odd], docs.schema))
+    rows = [(r["doc_id"], r["text"]) for r in whole.select("doc_id", "text").collect()]
+    root = joined([plain_fingerprint(t) for _, t in rows], 3)
+    least: dict[int, int] = {}
+    for (k, _), g in zip(rows, root, strict=True):
+        if k is not None:
+            least[g] = min(least.get(g, 1 << 60), k)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, whole, data).collect()) == sorted(least.values())
+
+
 def test_op2_goes_through_levels(spark, data, texts, monkeypatch):
     """Batches meet kept levels and levels merge; the result is the registered query's."""
     from pyspark.sql import functions as F
