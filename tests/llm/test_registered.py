@@ -13,7 +13,7 @@ from oracle import same
 from test_operators import article, brute_links, brute_repeats, joined, plain_fingerprint, plain_statistics
 
 import corpus_pipeline
-from ledgerleaf.llm import pii
+from ledgerleaf.llm import pii, simhash
 from ledgerleaf.llm.queries import QUERIES, SQL
 
 
@@ -192,6 +192,24 @@ def test_near_duplicates_are_by_simhash(spark, data, texts):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, whole, data).collect()) == sorted(least.values())
 
 
+def test_near_duplicates_store_little_beside_the_texts(spark, data):
+    """What the stage stores on its way, its own copy of the documents included, is less than twice the documents."""
+    from pathlib import Path
+
+    from ledgerleaf.llm.common import stored, written
+
+    size = lambda paths: sum(f.stat().st_size for p in paths for f in Path(p.removeprefix("file://")).rglob("*.parquet"))
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null")
+    n, sizes, kept = len(written(spark)), [], simhash.forget
+    simhash.forget = lambda *tables: sizes.append(size(written(spark)[n + 1 :]))
+    try:
+        docs = stored(docs)
+        corpus_pipeline.near_duplicates(spark, docs, data).count()
+    finally:
+        simhash.forget = kept
+    assert sizes and max(sizes) < 2 * size(written(spark)[n : n + 1])
+
+
 def test_op2_goes_through_levels(spark, data, texts, monkeypatch):
     """Batches meet kept levels and levels merge; the result is the registered query's."""
     from pyspark.sql import functions as F
