@@ -313,30 +313,32 @@ def cut_passages(df: DataFrame, key: str = "doc_id", text: str = "text", *, leng
     docs = stored(got.select(F.monotonically_increasing_id().alias(uid), quoted(key).cast("long").alias(key_), F.col(x), *map(quoted, rest)))
     placed = docs.where(F.col(key_).isNotNull()).select(F.col(uid).alias("uid"), F.col(key_).alias("key"), F.posexplode(F.arrays_zip(F.col(x)["h"].alias("h"), F.col(x)["c"].alias("c"))).alias("k", "e")).select("uid", "key", "k", "e.h", "e.c")
     heads = placed.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    # stored, so that the join's own exchange deals both sides and can split an anchor that stands everywhere
+    # stored, so that the join's own exchange deals both sides and can split an anchor that stands everywhere; the number of anchors, blocks and documents
+    # has no bound, so these tables are merged with and never sent to all, whatever their sizes are just now
     heads = stored(heads.select("h"))
-    live = stored(placed.join(heads, "h"))
+    live = stored(placed.join(heads.hint("merge"), "h"))
     kinds = stored(live.groupBy("h", "c").agg(F.min(F.struct("key", "uid", "k")).alias("first")).select("h", "c", "first.*"))
     several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = stored(several.select("h", (F.col("n") > hot).alias("hot")))
-    asked = stored(kinds.join(several, "h"))
+    asked = stored(kinds.join(several.hint("merge"), "h"))
     needs = asked.groupBy(F.col("uid").alias(uid)).agg(F.collect_list("k").alias("_needs"))
     part = lambda n: F.col(x)[n]
-    cut = docs.select(uid, part("z").alias("z"), part("w").alias("w"), part("a").alias("a"), part("b").alias("b")).join(needs, uid)
+    cut = docs.select(uid, part("z").alias("z"), part("w").alias("w"), part("a").alias("a"), part("b").alias("b")).join(needs.hint("merge"), uid)
     cut = cut.select(F.col(uid).alias("uid"), F.explode(cut_udf(length)("z", "w", "a", "b", "_needs")).alias("e")).select("uid", "e.k", "e.words")
-    references = stored(asked.join(cut, ["uid", "k"]).select("h", "c", "key", "words", "hot"))
+    references = stored(asked.join(cut.hint("merge"), ["uid", "k"]).select("h", "c", "key", "words", "hot"))
     spans = parsed(references.where("not hot"), length, batch)
     if not several.where("hot").isEmpty():
         spans = spans.unionByName(dealt(references.where("hot"), length))
     spans = stored(spans)
     # a later holder of a reference loses all of it, the reference itself what its factors cover; stored for the same reason as heads
-    firsts = stored(kinds.select("h", "c", F.col("key").alias("first")).join(spans, ["h", "c"], "left"))
-    hits = live.join(firsts, ["h", "c"]).where("key > first or spans is not null")
+    firsts = stored(kinds.select("h", "c", F.col("key").alias("first")).join(spans.hint("merge"), ["h", "c"], "left"))
+    hits = live.join(firsts.hint("merge"), ["h", "c"]).where("key > first or spans is not null")
     hits = hits.groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("k", F.when(F.col("key") <= F.col("first"), F.col("spans")).alias("spans"))).alias("_hits"))
     hits = stored(hits)
     forget(heads, live, kinds, several, asked, references, spans, firsts)
     done, = unused(docs, "_done")
-    out = docs.select(uid, x, *map(quoted, rest)).join(hits, uid, "left").withColumn(done, finished_udf(length)(part("z"), part("w"), part("a"), part("b"), "_hits"))
+    slim = F.struct(*[part(n).alias(n) for n in "nzwab"]).alias(x)  # without the hashes, which nothing needs any more and which don't compress
+    out = docs.select(uid, slim, *map(quoted, rest)).join(hits.hint("merge"), uid, "left").withColumn(done, finished_udf(length)(part("z"), part("w"), part("a"), part("b"), "_hits"))
     return out.select(*map(quoted, rest), part("n").alias("n_words"), F.col(done)["removed"].alias("n_removed"), F.col(done)["kept"].alias("kept"), F.col(done)["spans"].alias("spans"))
 
 

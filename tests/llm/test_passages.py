@@ -83,3 +83,12 @@ def test_stored_tables_go(spark):
     out = relative_lz.cut_passages(df)
     assert out.count() == 9 and len(written(spark)) == before + 2  # the documents and what was found in them
     forget_paths(spark, written(spark)[before:])
+
+
+def test_tables_without_a_bound_are_not_sent_to_all(spark):
+    """Small inputs shuffle what large ones do: no join broadcasts a table with a row for each document or block."""
+    rows = [(k, " ".join(f"w{(k // 2) * 7 + j}" for j in range(120))) for k in range(40)]
+    out = relative_lz.cut_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
