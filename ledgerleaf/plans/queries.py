@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -159,12 +159,14 @@ def _made(kind: list[dict], names: list[str]):
     """Bytes of a form with these fields, whose values are the columns' in order, and a page of the last column's text; encrypted if that is null."""
 
     @F.arrow_udf("binary")
-    def made(*columns: pa.Array) -> pa.Array:
-        out = []
-        for *values, page in zip(*(c.to_pylist() for c in columns), strict=True):
-            data = pdf.made([f | {"value": v} for f, v in zip(kind, values, strict=True)], [page or "", page or ""])
-            out.append(data if page is not None else data.replace(b"trailer\n<<", b"trailer\n<</Encrypt 999 0 R "))
-        return pa.array(out, pa.binary())
+    def made(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            for at in range(0, len(columns[0]), forms.FEW):
+                out = []
+                for *values, page in zip(*(c.slice(at, forms.FEW).to_pylist() for c in columns), strict=True):
+                    data = pdf.made([f | {"value": v} for f, v in zip(kind, values, strict=True)], [page or "", page or ""])
+                    out.append(data if page is not None else data.replace(b"trailer\n<<", b"trailer\n<</Encrypt 999 0 R "))
+                yield pa.array(out, pa.binary())
 
     return made(*names)
 
@@ -176,7 +178,8 @@ def customer_pdfs(spark: SparkSession, d: str) -> DataFrame:
     plan = F.expr("element_at(array(cast(null as string), 'basic', 'plus'), cast(c_custkey % 3 as int) + 1)")
     page = F.when(c("c_custkey") % 7 == 0, F.lit(None)).when(c("c_custkey") % 4 == 0, " ").otherwise(F.concat(c("c_name"), F.lit(" – "), c("c_mktsegment"), F.lit(" é日🙂")))
     rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", (c("c_acctbal") > 0).alias("rich"), plan.alias("plan"), F.lit(None).cast("string").alias("sign"), page.alias("page"))
-    rows = rows.repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # making and parsing forms is the work, not reading the table
+    # making and parsing forms is the work, not reading the table; more tasks than cores, so that the slowest doesn't hold up the rest
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "c_custkey")
     return rows.select(F.concat(F.lit("/c/"), "c_custkey", F.lit(".pdf")).alias("path"), _made(kind, ["c_name", "c_mktsegment", "rich", "plan", "sign", "page"]).alias("content"), (c("c_custkey") % 7 == 0).alias("locked"))
 
 
@@ -189,8 +192,10 @@ def pdf_fill(spark: SparkSession, d: str) -> DataFrame:
     """Every form filled with new values, and read again."""
 
     @F.arrow_udf("binary")
-    def filled(content: pa.Array, name: pa.Array, rich: pa.Array) -> pa.Array:
-        return pa.array([pdf.filled(x.as_py(), {"Name": n.as_py(), "Rich": r.as_py(), "Plan": "plus", "Segment": "HOUSEHOLD", "Sign": "x"}) for x, n, r in zip(content, name, rich, strict=True)], pa.binary())
+    def filled(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            for at in range(0, len(columns[0]), forms.FEW):
+                yield pa.array([pdf.filled(x.as_py(), {"Name": n.as_py(), "Rich": r.as_py(), "Plan": "plus", "Segment": "HOUSEHOLD", "Sign": "x"}) for x, n, r in zip(*(c.slice(at, forms.FEW) for c in columns), strict=True)], pa.binary())
 
     key = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
     rows = customer_pdfs(spark, d).where("not locked").select("path", "content", F.concat(F.lit("é-"), key).alias("name"), F.when(key % 2 == 0, "yes").otherwise("no").alias("rich"))

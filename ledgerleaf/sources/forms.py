@@ -17,6 +17,14 @@ _FIELD = pa.struct([("field_ordinal", pa.int32()), ("field_name", pa.string()),
 _FIELDS = "array<struct<field_ordinal:int,field_name:string,field_type:string,options:array<string>,text_value:string,checked:boolean,selected:array<string>,read_error:string>>"
 
 
+#: Files whose parsed contents a worker holds at a time, whatever the batches' size.
+FEW = 128
+
+
+def _few(batch: pa.Array) -> Iterator[pa.Array]:
+    return (batch.slice(k, FEW) for k in range(0, len(batch), FEW))
+
+
 def pdf_fields(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """form_fields of files' bytes, a task for each batch of files; a form without fields is one row without a name. A file that can't be read fails
     the job with the reason."""
@@ -25,7 +33,8 @@ def pdf_fields(files: DataFrame, path: str = "path", content: str = "content") -
     @F.arrow_udf(_FIELDS)
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([pdf.form_rows(x.as_py()) for x in batch], pa.list_(_FIELD))
+            for part in _few(batch):
+                yield pa.array([pdf.form_rows(x.as_py()) for x in part], pa.list_(_FIELD))
 
     rows = files.select(F.col(path).alias("file"), F.explode_outer(parsed(content)).alias("f"))
     return rows.select("file", "f.*")
@@ -41,9 +50,9 @@ def contents(files: DataFrame, path: str = "path", content: str = "content") ->
 
     @F.arrow_udf("struct<pages:int,text:string,error:string>")
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for part in (p for batch in batches for p in _few(batch)):
             pages, texts, errors = [], [], []
-            for x in batch:
+            for x in part:
                 try:
                     found = pdf.page_texts(x.as_py())
                     pages.append(len(found)), texts.append("\n\n".join(found)), errors.append(None)

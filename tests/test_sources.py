@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerleaf.sources import blobs, files, listing
+from ledgerleaf.sources import blobs, files, listing, pdf
 
 
 @pytest.fixture(params=["true", "false"])
@@ -95,3 +95,35 @@ def test_paths_of_a_column(spark):
         want = files.resolve(r["p"])
         assert (slash(r["r"]) if "://" not in r["p"] else r["r"]) == (slash(want) if "://" not in r["p"] else want), r["p"]
     assert spark.createDataFrame([(None,)], "p string").select(files.resolved(F.col("p"))).first()[0] is None and os.path.isabs(rows[5]["r"])
+
+
+def test_workers_hold_few_parsed_forms(spark):
+    """What a worker yields at a time doesn't grow with its batch, so its memory is bounded by a few files' contents."""
+    import pyarrow as pa
+
+    from ledgerleaf.sources import forms
+
+    data = pdf.made([{"name": "a", "type": "text", "value": "x"}])
+    assert [len(p) for p in forms._few(pa.array([data] * 300))] == [128, 128, 44]
+    files = spark.createDataFrame([(f"/f{k}.pdf", data) for k in range(300)], "path string, content binary").coalesce(1)
+    assert forms.pdf_fields(files).where("field_name = 'a' and text_value = 'x'").select("file").distinct().count() == 300
+    assert forms.contents(files).where("pages = 1").count() == 300
+
+
+def test_parsing_takes_a_match_for_each_token():
+    """One pattern finds each token, so a form costs a few times its number of tokens in calls, not its number of bytes."""
+    import sys
+
+    data = pdf.made([{"name": f"field number {k}", "type": "dropdown", "options": ["first of all", "second of all"], "value": "second of all"} for k in range(50)])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = pdf.form_rows(data)
+    finally:
+        sys.setprofile(None)
+    assert len(found) == 50 and calls < 18_000
