@@ -375,6 +375,23 @@ def test_index_of_batches(spark, docs, more):
             assert [bytes(r["right"]) for r in part] == sorted(bytes(r["right"]) for r in part)
 
 
+def test_levels_deal_one_anchor_to_many_tasks(spark):
+    """One passage in texts that are otherwise unlike: its anchors' kinds of segment don't all land in one task's run of a level."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(12))
+    df = spark.createDataFrame(rows([" ".join([*(word() for _ in range(30)), passage, *(word() for _ in range(30))]) for _ in range(200)]), DOCS)
+    index = suffix_dedup.RepeatIndex(length=100, gram=16)
+    for k in range(2):
+        index.add(df.where(f"doc_id % 2 = {k}"))
+    ((_, level),) = index.levels
+    runs = [collections.Counter(r["h"] for r in part) for part in level.rdd.glom().collect()]
+    h, n = sum(runs, collections.Counter()).most_common(1)[0]
+    assert n >= 100 and max(run[h] for run in runs) < n / 2
+    got = [tuple(r) for k in range(2) for r in index.repeats(k).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()]
+    assert sorted(got, key=str) == wanted(df, 100)
+
+
 # ---- 3 SimHash
 
 
